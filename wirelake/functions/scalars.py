@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelake.functions.lookups import TCP_FLAG_NAMES
 
-# Accepted timestamp texts.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd",
-)
+# Accepted timestamp texts are 'Y-m-d H:M:S', the same with fractions, both with 'T' between
+# day and time, 'Y-m-dTH:M:SZ', and 'Y-m-d'.
 _TIMESTAMP_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?|T\d{1,2}:\d{1,2}:\d{1,2}Z)?$"
 
 
