@@ -201,3 +201,31 @@ def gather(df: DataFrame, keys: Sequence[str], hot: Column, part: Column, entry:
         df.withColumn("part", F.when(hot, part).otherwise(F.lit(0)).cast("bigint"))
         .groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias(name))
     )
+
+
+def match_first(df: DataFrame, keys: Sequence[str], request: Sequence[str], reply: Sequence[str],
+                horizon: str, width: str = "1m") -> DataFrame:
+    """For each request its first reply with the same key at or after it, within `horizon`, else null.
+
+    Input has BOOLEAN `_is_reply` and BIGINT `_us`; null key parts equal each other. Result: the keys, `_us`,
+    the `request` columns and struct `_reply(_us, *reply)`. One shuffle and one running window, newest row
+    first, instead of a join: a key with many requests and replies never forms pairs. The key is cut into
+    time slices; a reply early in a slice is also given to the slice before, whose requests may wait for it.
+    """
+    reach, span = window_micros(horizon), window_micros(width)
+    span = max(span, reach)
+    own = F.floor(F.col("_us") / F.lit(span))
+    early = F.col("_is_reply") & (F.col("_us") - own * span <= reach)
+    rows = df.select(*keys, "_us", "_is_reply", *dict.fromkeys([*request, *reply]),
+                     F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("_slice"))
+    newest = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(F.desc("_us"), F.desc("_is_reply"), *[F.desc(c) for c in reply])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    answer = F.last(F.when(F.col("_is_reply"), F.struct("_us", *reply)), ignorenulls=True).over(newest)
+    return (
+        rows.withColumn("_reply", answer).where(~F.col("_is_reply"))
+        .withColumn("_reply", F.when(F.col("_reply._us") - F.col("_us") <= reach, F.col("_reply")))
+        .select(*keys, "_us", *[c for c in request if c not in keys], "_reply")
+    )

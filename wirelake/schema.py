@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wirelake.errors import MissingColumnError
 
-_LAYERS = {
+LAYER_FIELDS = {
     "Ethernet": "dst_mac string, src_mac string, type int",
     "IP": "version int, ihl int, tos int, len bigint, id int, flags string, frag int, ttl int, proto int, "
           "chksum int, src string, dst string, options string",
@@ -30,7 +30,7 @@ _LAYERS = {
 
 def _packet_ddl() -> str:
     parts = ["timestamp timestamp_ntz", "raw_size bigint"]
-    for layer, fields in _LAYERS.items():
+    for layer, fields in LAYER_FIELDS.items():
         parts += [f"{layer}_{field.strip()}" for field in fields.split(",")]
     return ", ".join(parts + ["extras map<string,string>"])
 
