@@ -19,7 +19,7 @@ PRIVATE_V4 = (
 PUBLIC_HOLES_V4 = ("192.0.0.9/32", "192.0.0.10/32")
 PRIVATE_V6 = (
     "::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
-    "3fff::/20", "fc00::/7", "fe80::/10",
+    "fc00::/7", "fe80::/10",
 )
 PUBLIC_HOLES_V6 = (
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
@@ -27,6 +27,38 @@ PUBLIC_HOLES_V6 = (
 
 _OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 _V4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_ZEROS_FFFF = "0" * 20 + "ffff"  # start of an IPv4-mapped IPv6 address
+
+
+def _digits_pattern(cidr: str) -> str:
+    """Pattern of the leading hex digits of all addresses of a network."""
+    net = ipaddress.ip_network(cidr)
+    digits = f"{int(net.network_address):0{net.max_prefixlen // 4}x}"
+    whole, rest = divmod(net.prefixlen, 4)
+    if not rest:
+        return digits[:whole]
+    first = int(digits[whole], 16)
+    return digits[:whole] + "[" + "".join(f"{d:x}" for d in range(first, first + (1 << (4 - rest)))) + "]"
+
+
+def _dotted_pattern(cidr: str) -> str:
+    """Pattern of the leading octets of all addresses of an IPv4 network, as dotted text."""
+    net = ipaddress.ip_network(cidr)
+    low, high = net.network_address.packed, net.broadcast_address.packed
+    octets = ["(?:" + "|".join(str(n) for n in range(a, b + 1)) + ")" if (a, b) != (0, 255) else None
+              for a, b in zip(low, high)]
+    fixed = [o for o in octets if o is not None]
+    return r"\.".join(fixed) + (r"\." if len(fixed) < 4 else "$")
+
+
+def _one_of(patterns, holes) -> str:
+    return "^(?!" + "|".join(holes) + ")(?:" + "|".join(patterns) + ")"
+
+
+_PRIVATE_DOTTED = _one_of(map(_dotted_pattern, PRIVATE_V4), map(_dotted_pattern, PUBLIC_HOLES_V4))
+_PRIVATE_MAPPED = _one_of(map(_digits_pattern, PRIVATE_V4), map(_digits_pattern, PUBLIC_HOLES_V4)).lstrip("^")
+_PRIVATE_DIGITS = _one_of([*map(_digits_pattern, PRIVATE_V6), _ZEROS_FFFF + _PRIVATE_MAPPED],
+                          map(_digits_pattern, PUBLIC_HOLES_V6))
 
 
 def ipv4_long(ip: Column) -> Column:
@@ -36,51 +68,35 @@ def ipv4_long(ip: Column) -> Column:
     return F.when(ip.rlike(_V4), number)
 
 
+# Eight groups; or '::' once, standing for at least one group, and no single colon at an end.
+_EIGHT = r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}"
+_SHORT = (r"(?=.*::)(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?!(?:[^0-9a-f]*[0-9a-f]+(?![0-9a-f])){8})"
+          r"(?:[0-9a-f]{1,4}(?![0-9a-f])|:)+")
+
+
 def ipv6_hex(ip: Column) -> Column:
-    """IPv6 text as 32 lower-case hex digits, else null. A zone suffix (%eth0) is ignored."""
+    """IPv6 text as 32 lower-case hex digits, else null. A zone suffix (%eth0) is ignored.
+
+    Built from string functions only, so it stays inside whole-stage codegen.
+    """
     text = F.lower(F.regexp_replace(ip, "%.+$", ""))
-    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    tail_hex = F.lower(F.lpad(F.hex(ipv4_long(tail)), 8, "0"))
-    text = F.when(tail == "", text).otherwise(
-        F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""),
-                 F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4)))
-    halves = F.split(text, "::")
-    head, rest = halves[0], F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left, right = groups(head), groups(rest)
-    gap = 8 - F.size(left) - F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    well_formed = (
-        text.rlike(r"^[0-9a-f:]+$")
-        & ~text.rlike(r":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}")
-        & F.when(text.contains("::"), gap >= 1).otherwise(gap == 0)
-    )
-    return F.when(well_formed, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def _v4_in(number: Column, networks) -> Column:
-    nets = [ipaddress.ip_network(n) for n in networks]
-    test = F.lit(False)
-    for net in nets:
-        test = test | number.between(int(net.network_address), int(net.broadcast_address))
-    return test
-
-
-def _v6_in(digits: Column, networks) -> Column:
-    test = F.lit(False)
-    for net in map(ipaddress.ip_network, networks):
-        test = test | digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
-    return test
+    tail = ipv4_long(F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+    tail_groups = F.lower(F.regexp_replace(F.lpad(F.hex(tail), 8, "0"), "^(.{4})", "$1:"))
+    text = F.when(ip.contains("."), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), tail_groups)).otherwise(text)
+    missing = 8 - F.regexp_count(text, F.lit("[0-9a-f]+"))
+    filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
+    for zeros in (1, 2, 3):
+        filled = F.regexp_replace(filled, f"(?<![0-9a-f])([0-9a-f]{{{4 - zeros}}})(?![0-9a-f])", "0" * zeros + "$1")
+    return F.when(text.rlike(f"^(?:{_EIGHT}|{_SHORT})$"), F.replace(filled, F.lit(":"), F.lit("")))
 
 
 def is_private_ip(ip: Column) -> Column:
-    """True / false for an address, null for anything else. IPv4-mapped IPv6 follows its IPv4 address."""
-    v4 = lambda n: _v4_in(n, PRIVATE_V4) & ~_v4_in(n, PUBLIC_HOLES_V4)
-    digits = ipv6_hex(ip)
-    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    v6 = F.when(digits.startswith("0" * 20 + "ffff"), v4(mapped)).otherwise(
-        _v6_in(digits, PRIVATE_V6) & ~_v6_in(digits, PUBLIC_HOLES_V6))
-    return F.when(ip.contains(":"), F.when(digits.isNotNull(), v6)).otherwise(v4(ipv4_long(ip)))
+    """True / false for an address, null for anything else. IPv4-mapped IPv6 follows its IPv4 address.
+
+    Each family is one pattern match on the address text or digits.
+    """
+    return F.when(ip.contains(":"), ipv6_hex(ip).rlike(_PRIVATE_DIGITS)).when(
+        ip.rlike(_V4), ip.rlike(_PRIVATE_DOTTED))
 
 
 def is_public_ip(ip: Column) -> Column:
@@ -91,7 +107,8 @@ def is_public_ip(ip: Column) -> Column:
 def in_subnet(ip: Column, cidr: str) -> Column:
     """Whether the address lies in `cidr`; null for text that is not an address."""
     net = ipaddress.ip_network(cidr, strict=False)
-    v4, v6 = ipv4_long(ip), ipv6_hex(ip)
+    is_v4, v6 = ip.rlike(_V4), ipv6_hex(ip)
     if net.version == 4:
-        return F.when(v4.isNotNull(), _v4_in(v4, [str(net)])).when(v6.isNotNull(), F.lit(False))
-    return F.when(v6.isNotNull(), _v6_in(v6, [str(net)])).when(v4.isNotNull(), F.lit(False))
+        return F.when(is_v4, ip.rlike("^" + _dotted_pattern(str(net)) if net.prefixlen else "")).when(
+            ip.contains(":") & v6.isNotNull(), F.lit(False))
+    return F.when(ip.contains(":"), v6.rlike("^" + _digits_pattern(str(net)))).when(is_v4, F.lit(False))

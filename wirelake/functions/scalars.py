@@ -43,14 +43,36 @@ def column_entropy(df: DataFrame, value: str, *groups: str) -> DataFrame:
 
 
 def format_bytes(count: Column) -> Column:
-    """1536000 -> '1.46 MB'; negative -> '0 B'."""
-    units = ["B", "KB", "MB", "GB", "TB", "PB"]
-    size = count.cast("double")
-    text = F.when(size < 0, F.lit("0 B"))
-    for power, unit in enumerate(units):
-        shown = F.format_string(f"%.2f {unit}", size / float(1024 ** power))
-        text = text.when(size < float(1024 ** (power + 1)), shown) if unit != "PB" else text.otherwise(shown)
-    return F.when(size.isNotNull(), text)
+    """1536000 -> '1.46 MB'; negative -> '0 B'. Hundredths are rounded half to even, in exact integer steps."""
+    count = count.cast("bigint")
+    text = F.when(count < 0, F.lit("0 B")).when(count < 1024, F.concat(count.cast("string"), F.lit(".00 B")))
+    for power, unit in enumerate(["KB", "MB", "GB", "TB", "PB"], start=1):
+        size = 1024 ** power
+        hundreds = count.bitwiseAND(size - 1) * 100
+        down, rest = F.shiftright(hundreds, 10 * power), hundreds.bitwiseAND(size - 1)
+        up = (rest > size // 2) | ((rest == size // 2) & (down % 2 == 1))
+        total = F.shiftright(count, 10 * power) * 100 + down + up.cast("int")
+        shown = F.concat(F.floor(total / 100).cast("string"), F.lit("."),
+                         F.lpad((total % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        text = text.when(count < size * 1024, shown) if unit != "PB" else text.when(count.isNotNull(), shown)
+    return text
+
+
+def _two_places(x: Column) -> Column:
+    """A non-negative double with two decimals, rounded from its exact binary value, ties to even.
+
+    Java rounds the shortest decimal form instead. The two differ only where that form ends in a 5 at the third
+    place; there the sign of the (exactly computed) error of x * 1000 decides.
+    """
+    k = F.round(x * 1000.0)
+    looks_tied = (k / 1000.0 == x) & (k % 10 == 5)
+    c = x * 134_217_729.0
+    high = c - (c - x)
+    error = ((high * 1000.0 - x * 1000.0) + (x - high) * 1000.0) + (x * 1000.0 - k)
+    down = F.floor(k / 10)
+    up = (error > 0) | ((error == 0) & (down % 2 == 1))
+    tied = (down + up.cast("int")) / 100.0
+    return F.format_string("%.2f", F.when(looks_tied, tied).otherwise(x))
 
 
 def format_duration(seconds: Column) -> Column:
@@ -59,20 +81,25 @@ def format_duration(seconds: Column) -> Column:
     days, hours = F.floor(s / 86400), F.floor(s % 86400 / 3600)
     minutes, rest = F.floor(s % 3600 / 60), s % 60
     part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit)))
-    parts = F.concat_ws(" ", part(days, "d"), part(hours, "h"), part(minutes, "m"),
-                        F.when(rest > 0, F.format_string("%.2fs", rest)))
-    return F.when(s < 0, F.lit("0s")).when(s < 60, F.format_string("%.2fs", s)).when(s >= 60, parts)
+    last = F.concat(_two_places(rest), F.lit("s"))
+    parts = F.concat_ws(" ", part(days, "d"), part(hours, "h"), part(minutes, "m"), F.when(rest > 0, last))
+    return F.when(s < 0, F.lit("0s")).when(s < 60, F.concat(_two_places(s), F.lit("s"))).when(s >= 60, parts)
 
 
-def epoch_to_timestamp(seconds: Column) -> Column:
-    """Epoch seconds (any number) to the UTC wall clock as TIMESTAMP_NTZ."""
-    whole = F.round(seconds.cast("double") * 1e6).cast("bigint")
-    days = F.floor(whole / F.lit(86_400_000_000)).cast("int")
-    rest = whole - days.cast("bigint") * F.lit(86_400_000_000)
+def micros_to_timestamp(us: Column) -> Column:
+    """Epoch microseconds to the UTC wall clock as TIMESTAMP_NTZ, whatever the session time zone."""
+    day = F.lit(86_400_000_000)
+    days = F.floor(us / day).cast("int")
+    rest = us - days.cast("bigint") * day
     return (F.date_add(F.lit("1970-01-01").cast("date"), days).cast("timestamp_ntz")
             + F.make_dt_interval(secs=(rest.cast("decimal(20,6)") / F.lit(1_000_000)).cast("decimal(18,6)")))
 
 
+def epoch_to_timestamp(seconds: Column) -> Column:
+    """Epoch seconds (any number) to the UTC wall clock as TIMESTAMP_NTZ."""
+    return micros_to_timestamp(F.round(seconds.cast("double") * 1e6).cast("bigint"))
+
+
 def parse_timestamp(value: Column, kind: str = "string") -> Column:
     """Timestamp text or epoch number to TIMESTAMP_NTZ; text of another form gives null.
 

@@ -190,8 +190,8 @@ def detect_off_hours_activity(packets: DataFrame, business_hours=(9, 17)) -> Dat
 def detect_data_exfiltration(packets: DataFrame, threshold: int = 100_000_000) -> DataFrame:
     """Private sources that send more than `threshold` bytes to public addresses.
 
-    Bytes are summed per pair first: the addresses are classified once per pair and destinations need no
-    distinct count.
+    Bytes are summed per pair first, so a hot source is spread over its destinations and these need no
+    distinct count. Catalyst moves the address filter below that grouping.
     """
     positive("threshold", threshold)
     pairs = packets.groupBy(source_ip(packets).alias("src_ip"), destination_ip(packets).alias("dst_ip")).agg(

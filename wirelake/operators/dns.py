@@ -1,6 +1,6 @@
 """DNS statistics and detectors over packets with port 53 at either end.
 
-Queries have DNS_qr 0 (or null), responses 1. A response answers a query with the same transaction id, client,
+Queries have DNS_qr 0, responses 1; a packet without the field (a bare TCP handshake, say) is neither. A response answers a query with the same transaction id, client,
 server and client port; the first one within `horizon` counts.
 """
 
@@ -33,12 +33,12 @@ def _dns(packets: DataFrame) -> DataFrame:
 
 
 def _queries(packets: DataFrame) -> DataFrame:
-    return _dns(packets).where(F.coalesce("DNS_qr", F.lit(0)) == 0)
+    return _dns(packets).where(F.col("DNS_qr") == 0)
 
 
 def _matched(packets: DataFrame, horizon: str) -> DataFrame:
     """One row per query, with struct `_reply` of its first response or null."""
-    dns = _dns(packets).withColumn("_is_reply", F.coalesce("DNS_qr", F.lit(0)) == 1)
+    dns = _dns(packets).where(F.col("DNS_qr").isin(0, 1)).withColumn("_is_reply", F.col("DNS_qr") == 1)
     side = lambda request, reply: F.when(F.col("_is_reply"), F.col(reply)).otherwise(F.col(request))
     rows = dns.select(
         "timestamp", "_is_reply", "DNS_id", "DNS_qname", "DNS_rcode", "length", micros(dns).alias("_us"),
@@ -62,8 +62,8 @@ def get_queried_domains_list(packets: DataFrame) -> DataFrame:
 
 def get_query_response_ratio(packets: DataFrame) -> DataFrame:
     """Queries, responses, and responses per query."""
-    query = F.coalesce(F.col("DNS_qr"), F.lit(0)) == 0
-    counts = _dns(packets).agg(F.count_if(query).alias("queries"), F.count_if(~query).alias("responses"))
+    counts = _dns(packets).agg(F.count_if(F.col("DNS_qr") == 0).alias("queries"),
+                               F.count_if(F.col("DNS_qr") == 1).alias("responses"))
     return counts.withColumn("ratio", ratio(F.col("responses"), F.col("queries")))
 
 
@@ -138,7 +138,7 @@ def identify_dga_domains(packets: DataFrame, min_entropy: float = 3.5, min_label
     """
     names = (
         _dns(packets).where(F.col("DNS_qname").isNotNull()).groupBy(F.col("DNS_qname").alias("domain"))
-        .agg(F.count_if(F.coalesce("DNS_qr", F.lit(0)) == 0).alias("queries"),
+        .agg(F.count_if(F.col("DNS_qr") == 0).alias("queries"),
              F.count_if(F.col("DNS_qr") == 1).alias("_responses"),
              F.count_if((F.col("DNS_qr") == 1) & (F.col("DNS_rcode") == 3)).alias("_nx"))
     )

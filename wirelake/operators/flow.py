@@ -225,7 +225,7 @@ def calculate_inter_arrival_times(packets: DataFrame, group_by: str = "flow", sl
 
 
 def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_width: str = "1s", max_lag: int = 300,
-                             min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "1d") -> DataFrame:
+                             min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "7d") -> DataFrame:
     """Dominant period of the packets of each source (or of one), by autocorrelation of packets per bin.
 
     With x the counts per bin, T bins, C(k) = sum x[t] x[t+k]: strength(k) = (C(k)/(T-k) - mean^2) / variance.
@@ -250,20 +250,18 @@ def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_widt
                          F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))).alias("slice"))
 
     def lag_products(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["t"].min())
-        whole = np.zeros(int(pdf["t"].max()) - start + 1, dtype=np.int64)
-        at = (pdf["t"] - start).to_numpy()
-        whole[at] = pdf["x"].to_numpy()
+        pdf = pdf.sort_values("t")
+        t, x = pdf["t"].to_numpy(), pdf["x"].to_numpy()
         mine = (pdf["own"] == pdf["slice"]).to_numpy()
-        first, counts = at[mine], pdf["x"].to_numpy()[mine]
-        out = []
-        for lag in range(1, min(max_lag, len(whole) - 1) + 1):
-            ahead = first + lag
-            inside = ahead < len(whole)
-            product = int(counts[inside] @ whole[ahead[inside]])
-            if product:
-                out.append((pdf["src_ip"].iloc[0], lag, product))
-        return pd.DataFrame(out, columns=["src_ip", "lag", "c"]).astype({"lag": "int64", "c": "int64"})
+        sums = np.zeros(max_lag + 1, dtype=np.int64)
+        for step in range(1, len(t)):  # the step-th neighbour of every bin; bins are distinct, so step <= max_lag
+            lag = t[step:] - t[:-step]
+            near = (lag <= max_lag) & mine[:-step]
+            if not (lag <= max_lag).any():
+                break
+            np.add.at(sums, lag[near], (x[:-step] * x[step:])[near])
+        lags = np.flatnonzero(sums)
+        return pd.DataFrame({"src_ip": pdf["src_ip"].iloc[0], "lag": lags, "c": sums[lags]})
 
     products = (
         sliced.groupBy("src_ip", "slice").applyInPandas(lag_products, "src_ip string, lag long, c long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirelake.errors import InvalidThresholdError, one_of, positive
 from wirelake.functions.addresses import in_subnet, is_private_ip
@@ -125,7 +125,7 @@ def get_ip_traffic_stats(packets: DataFrame, ip: str) -> DataFrame:
 
 
 def _private_ends(packets: DataFrame) -> DataFrame:
-    """Packets and the private flag of both ends. The flags come from the pair table's addresses."""
+    """Packets with the private flag of both ends."""
     return packets.withColumns({"_src_private": is_private_ip(source_ip(packets)),
                                 "_dst_private": is_private_ip(destination_ip(packets))})
 
@@ -133,21 +133,20 @@ def _private_ends(packets: DataFrame) -> DataFrame:
 def get_internal_vs_external_ratio(packets: DataFrame) -> DataFrame:
     """Packets and share per direction, over packets with two valid addresses.
 
-    Addresses are parsed once per pair, not once per packet.
+    Addresses are classified once per pair, not once per packet; the last step sees nine rows at most.
     """
     pairs = packets.groupBy(source_ip(packets).alias("src"), destination_ip(packets).alias("dst")).agg(
         F.count(F.lit(1)).alias("n"))
-    src, dst = F.col("src_private"), F.col("dst_private")
-    pairs = pairs.select("n", is_private_ip(F.col("src")).alias("src_private"),
-                         is_private_ip(F.col("dst")).alias("dst_private")).where(src.isNotNull() & dst.isNotNull())
-    direction = (F.when(src & dst, "internal").when(src, "outbound").when(dst, "inbound").otherwise("external"))
-    counts = pairs.agg(F.sum("n").alias("total"), *[
-        zero_if_null(F.sum(F.when(direction == d, F.col("n")))).alias(d)
-        for d in ("internal", "outbound", "inbound", "external")])
-    entries = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(d).alias("packets"),
-                                 ratio(F.col(d), F.col("total")).alias("ratio"))
-                        for d in ("internal", "outbound", "inbound", "external")])
-    return counts.select(F.explode(entries).alias("x")).select("x.*").where(F.col("packets") > 0)
+    counts = pairs.groupBy(is_private_ip(F.col("src")).alias("s"), is_private_ip(F.col("dst")).alias("d")).agg(
+        F.sum("n").alias("packets"))
+    direction = (F.when(F.col("s") & F.col("d"), "internal").when(F.col("s") & ~F.col("d"), "outbound")
+                 .when(~F.col("s") & F.col("d"), "inbound").when(~F.col("s") & ~F.col("d"), "external"))
+    valid = F.when(F.col("direction").isNotNull(), F.col("packets"))
+    return (
+        counts.select(direction.alias("direction"), "packets", F.lit(0).alias("_all"))
+        .withColumn("ratio", ratio(F.col("packets"), F.sum(valid).over(Window.partitionBy("_all"))))
+        .where(F.col("direction").isNotNull()).drop("_all")
+    )
 
 
 def identify_internal_network(packets: DataFrame, subnet: str) -> DataFrame:

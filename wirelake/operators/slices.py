@@ -77,7 +77,7 @@ def interval_stats(df: DataFrame, keys: Sequence[str], width: str = "5m") -> Dat
         .withColumn("_e", F.col("_edge").isNotNull().cast("int"))
         .withColumn("_edge0", F.coalesce("_edge", F.lit(0.0)))
         .withColumn("_total", F.sum(F.col("_n") + F.col("_e")).over(whole))
-        .withColumn("_avg", F.try_divide(F.sum(F.col("_n") * F.col("_mean") + F.col("_edge0")).over(whole),
+        .withColumn("_avg", F.try_divide((F.max("_end").over(whole) - F.min("_start").over(whole)) / F.lit(1e6),
                                          F.col("_total")))
     )
     spread = (F.col("_m2") + F.col("_n") * F.pow(F.col("_mean") - F.col("_avg"), 2)

@@ -28,16 +28,24 @@ LAYER_FIELDS = {
 }
 
 
-def _packet_ddl() -> str:
-    parts = ["timestamp timestamp_ntz", "raw_size bigint"]
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+          "binary": T.BinaryType()}
+
+
+def _packet_schema() -> T.StructType:
+    schema = T.StructType().add("timestamp", T.TimestampNTZType()).add("raw_size", T.LongType())
     for layer, fields in LAYER_FIELDS.items():
-        parts += [f"{layer}_{field.strip()}" for field in fields.split(",")]
-    return ", ".join(parts + ["extras map<string,string>"])
+        for name, kind in (field.split() for field in fields.split(",")):
+            schema = schema.add(f"{layer}_{name}", _TYPES[kind])
+    return schema.add("extras", T.MapType(T.StringType(), T.StringType()))
 
 
-PACKET_SCHEMA: T.StructType = T.StructType.fromDDL(_packet_ddl())
-NESTED_SCHEMA: T.StructType = T.StructType.fromDDL(
-    "timestamp double, layers array<struct<layer_name:string,fields:map<string,string>>>, raw_size bigint"
+PACKET_SCHEMA = _packet_schema()
+NESTED_SCHEMA = (
+    T.StructType().add("timestamp", T.DoubleType())
+    .add("layers", T.ArrayType(T.StructType().add("layer_name", T.StringType())
+                               .add("fields", T.MapType(T.StringType(), T.StringType()))))
+    .add("raw_size", T.LongType())
 )
 
 PORT_COLUMNS = ("UDP_dport", "UDP_sport", "TCP_dport", "TCP_sport")

@@ -36,6 +36,19 @@ def _merge(layers: Column, fields) -> Column:
     return F.aggregate(layers, F.expr(_NO_FIELDS), later)
 
 
+def _named(name: str):
+    names = (name, "Ether") if name == "Ethernet" else (name,)
+    return lambda layer: layer["layer_name"].isin(*names)
+
+
+def _prefixed(fields: Column, prefix: Column) -> Column:
+    return F.transform_keys(fields, lambda k, _: F.concat(prefix, k))
+
+
+def _without(fields: Column, names: list[str]) -> Column:
+    return F.map_filter(fields, lambda k, _: ~k.isin(*names))
+
+
 def flatten_packets(nested: DataFrame) -> DataFrame:
     """One wide row per packet, in the fixed packet schema.
 
@@ -43,11 +56,9 @@ def flatten_packets(nested: DataFrame) -> DataFrame:
     `<layer>_<field>`. The Ethernet layer may also be called Ether.
     """
     known = F.array(*[F.lit(x) for x in (*LAYERS, "Ether")])
-    columns = {f"_{name}": _merge(
-        F.filter("layers", lambda x, n=name: x["layer_name"].isin(n, "Ether") if n == "Ethernet" else x["layer_name"] == n),
-        lambda x: x["fields"]) for name in LAYERS}
-    other = lambda x: F.transform_keys(x["fields"], lambda k, _: F.concat(x["layer_name"], F.lit("_"), k))
-    columns["_extras"] = _merge(F.filter("layers", lambda x: ~F.array_contains(known, x["layer_name"])), other)
+    columns = {f"_{name}": _merge(F.filter("layers", _named(name)), lambda x: x["fields"]) for name in LAYERS}
+    columns["_extras"] = _merge(F.filter("layers", lambda x: ~F.array_contains(known, x["layer_name"])),
+                                lambda x: _prefixed(x["fields"], F.concat(x["layer_name"], F.lit("_"))))
     wide = nested.withColumns(columns)
 
     unnamed = []
@@ -58,9 +69,7 @@ def flatten_packets(nested: DataFrame) -> DataFrame:
             name = f"{layer}_{field}"
             projected.append(F.try_element_at(F.col(f"_{layer}"), F.lit(field))
                              .try_cast(PACKET_SCHEMA[name].dataType).alias(name))
-        unnamed.append(F.transform_keys(
-            F.map_filter(F.col(f"_{layer}"), lambda k, _, f=fields: ~k.isin(*f)),
-            lambda k, _, n=layer: F.concat(F.lit(f"{n}_"), k)))
+        unnamed.append(_prefixed(_without(F.col(f"_{layer}"), fields), F.lit(f"{layer}_")))
     extras = F.map_concat(F.col("_extras"), *unnamed)
     projected.append(F.when(F.size(extras) > 0, extras).alias("extras"))
     return wide.select(*projected)

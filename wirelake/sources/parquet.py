@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wirelake.errors import one_of
-from wirelake.functions.scalars import epoch_to_timestamp, format_bytes
+from wirelake.functions.scalars import epoch_to_timestamp, format_bytes, micros_to_timestamp
 from wirelake.schema import PACKET_SCHEMA
 
 # Codecs the writer takes. brotli and lzo are known names without a codec in a stock Spark.
@@ -32,7 +32,7 @@ def normalise(df: DataFrame, strict: bool = False) -> DataFrame:
         elif isinstance(want, T.TimestampNTZType) and isinstance(have, T.NumericType):
             columns.append(epoch_to_timestamp(column).alias(field.name))
         elif isinstance(want, T.TimestampNTZType) and isinstance(have, T.TimestampType):
-            columns.append(epoch_to_timestamp(F.unix_micros(column) / F.lit(1e6)).alias(field.name))
+            columns.append(micros_to_timestamp(F.unix_micros(column)).alias(field.name))
         elif isinstance(want, (T.ArrayType, T.MapType)) or isinstance(have, (T.ArrayType, T.MapType, T.StructType)):
             columns.append(F.to_json(column).alias(field.name) if isinstance(want, T.StringType) else column)
         else:
