@@ -74,20 +74,27 @@ _SHORT = (r"(?=.*::)(?!.*::.*::)(?!.*:::)(?!:[^:])(?!.*[^:]:$)(?!(?:[^0-9a-f]*[0
           r"(?:[0-9a-f]{1,4}(?![0-9a-f])|:)+")
 
 
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv6_hex(ip: Column) -> Column:
-    """IPv6 text as 32 lower-case hex digits, else null. A zone suffix (%eth0) is ignored.
+    """IPv6 text as 32 lower-case hex digits, else null. A zone suffix (%eth0) is ignored."""
+    def dotted_tail(text):
+        tail = ipv4_long(F.substring_index(text, ":", -1))
+        groups = F.lower(F.regexp_replace(F.lpad(F.hex(tail), 8, "0"), "^(.{4})", "$1:"))
+        return F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), groups)).otherwise(text)
 
-    Built from string functions only, so it stays inside whole-stage codegen.
-    """
-    text = F.lower(F.regexp_replace(ip, "%.+$", ""))
-    tail = ipv4_long(F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1))
-    tail_groups = F.lower(F.regexp_replace(F.lpad(F.hex(tail), 8, "0"), "^(.{4})", "$1:"))
-    text = F.when(ip.contains("."), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), tail_groups)).otherwise(text)
-    missing = 8 - F.regexp_count(text, F.lit("[0-9a-f]+"))
-    filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
-    for zeros in (1, 2, 3):
-        filled = F.regexp_replace(filled, f"(?<![0-9a-f])([0-9a-f]{{{4 - zeros}}})(?![0-9a-f])", "0" * zeros + "$1")
-    return F.when(text.rlike(f"^(?:{_EIGHT}|{_SHORT})$"), F.replace(filled, F.lit(":"), F.lit("")))
+    def digits(text):
+        missing = 8 - F.regexp_count(text, F.lit("[0-9a-f]+"))
+        filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
+        for zeros in (1, 2, 3):
+            filled = F.regexp_replace(filled, f"(?<![0-9a-f])([0-9a-f]{{{4 - zeros}}})(?![0-9a-f])", "0" * zeros + "$1")
+        return F.when(text.rlike(f"^(?:{_EIGHT}|{_SHORT})$"), F.replace(filled, F.lit(":"), F.lit("")))
+
+    plain = F.lower(F.regexp_replace(ip, "%.+$", ""))
+    return F.when(ip.contains(":"), _bind(_bind(plain, dotted_tail), digits))
 
 
 def is_private_ip(ip: Column) -> Column:
@@ -95,8 +102,7 @@ def is_private_ip(ip: Column) -> Column:
 
     Each family is one pattern match on the address text or digits.
     """
-    return F.when(ip.contains(":"), ipv6_hex(ip).rlike(_PRIVATE_DIGITS)).when(
-        ip.rlike(_V4), ip.rlike(_PRIVATE_DOTTED))
+    return F.when(ip.rlike(_V4), ip.rlike(_PRIVATE_DOTTED)).otherwise(ipv6_hex(ip).rlike(_PRIVATE_DIGITS))
 
 
 def is_public_ip(ip: Column) -> Column:
@@ -107,8 +113,8 @@ def is_public_ip(ip: Column) -> Column:
 def in_subnet(ip: Column, cidr: str) -> Column:
     """Whether the address lies in `cidr`; null for text that is not an address."""
     net = ipaddress.ip_network(cidr, strict=False)
-    is_v4, v6 = ip.rlike(_V4), ipv6_hex(ip)
+    is_v4 = ip.rlike(_V4)
     if net.version == 4:
-        return F.when(is_v4, ip.rlike("^" + _dotted_pattern(str(net)) if net.prefixlen else "")).when(
-            ip.contains(":") & v6.isNotNull(), F.lit(False))
-    return F.when(ip.contains(":"), v6.rlike("^" + _digits_pattern(str(net)))).when(is_v4, F.lit(False))
+        inside = ip.rlike("^" + _dotted_pattern(str(net))) if net.prefixlen else F.lit(True)
+        return F.when(is_v4, inside).when(ipv6_hex(ip).isNotNull(), F.lit(False))
+    return F.when(is_v4, F.lit(False)).otherwise(ipv6_hex(ip).rlike("^" + _digits_pattern(str(net))))

@@ -12,7 +12,7 @@ from wirelake.errors import positive
 from wirelake.functions.lookups import DNS_QUERY_TYPES, lookup
 from wirelake.functions.scalars import ratio, string_entropy
 from wirelake.operators.filters import destination_ip, dns_packets, source_ip
-from wirelake.operators.slices import match_first, value_stats
+from wirelake.operators.slices import compute_once, match_first, value_stats
 from wirelake.schema import length_column, micros, optional, require
 
 _MATCH_KEY = ("DNS_id", "client_ip", "server_ip", "client_port")
@@ -144,12 +144,11 @@ def identify_dga_domains(packets: DataFrame, min_entropy: float = 3.5, min_label
     )
     longest = F.aggregate(F.split("domain", r"\."), F.lit(""),
                           lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    names = names.withColumn("_label", longest)
+    names = compute_once(compute_once(names, "_label", longest), "entropy", string_entropy(F.col("_label")))
     size = F.length("_label")
     digits = size - F.length(F.translate("_label", "0123456789", ""))
     return (
-        names.select("domain", size.alias("label_length"), string_entropy(F.col("_label")).alias("entropy"),
-                     ratio(digits, size).alias("digit_ratio"), "queries",
+        names.select("domain", size.alias("label_length"), "entropy", ratio(digits, size).alias("digit_ratio"), "queries",
                      ratio(F.col("_nx"), F.col("_responses")).alias("nxdomain_rate"))
         .where(((F.col("entropy") >= min_entropy) & (F.col("label_length") >= min_label))
                | ((F.col("nxdomain_rate") > failing_rate) & (F.col("entropy") >= failing_entropy)))

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelake.errors import one_of
-from wirelake.functions.scalars import has_flag, zero_if_null
+from wirelake.functions.scalars import has_flag
 from wirelake.functions.windows import tumbling
 from wirelake.operators.filters import destination_ip, source_ip
+from wirelake.operators.slices import sums_and_distincts
 from wirelake.schema import PORT_COLUMNS, integral, length_column, require, seconds_between
 
 
@@ -116,22 +117,20 @@ def export_summary_report(packets: DataFrame, format: str, output: str, path: st
 
 
 def behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: str = "source_ip") -> DataFrame:
-    """Feature table per (time window, host).
+    """Feature table per (time window, host): volume, distinct peers and ports, protocol and flag counts.
 
-    Distinct peers and ports come from a first grouping by (window, host, peer, ports): it collapses the
-    packets of a flow before the shuffle, spreads a hot host over its flows, and leaves the three distinct
-    counts a table of flows to work on instead of the packets.
+    A feature is left out when its column is absent. See `sums_and_distincts` for the plan.
     """
     one_of("group_by", group_by, ("source_ip", "destination_ip"))
-    have = set(packets.columns)
-    sending = group_by == "source_ip"
     require(packets, "timestamp")
+    have, sending = set(packets.columns), group_by == "source_ip"
     host, peer = (source_ip, destination_ip) if sending else (destination_ip, source_ip)
-    base = packets.withColumns({"_host": host(packets), "_peer": peer(packets), "_w": tumbling(time_window)})
-    base = base.where(F.col("_host").isNotNull())
+    base = packets.withColumns({group_by: host(packets), "_peer": peer(packets)}).where(F.col(group_by).isNotNull())
+    base = base.withColumn("window_start", tumbling(time_window).start)
 
-    sums = {"packet_count": F.count(F.lit(1)),
-            "total_bytes_sent" if sending else "total_bytes_received": zero_if_null(F.sum(length_column(packets)))}
+    sums = {"packet_count": ("sum", F.lit(1)),
+            "total_bytes_sent" if sending else "total_bytes_received":
+                ("sum", F.coalesce(length_column(packets), F.lit(0)))}
     tests = {}
     if "IP_proto" in have:
         for name, number in (("tcp", 6), ("udp", 17), ("icmp", 1)):
@@ -142,14 +141,9 @@ def behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: st
     if "IP_flags" in have:
         tests["ip_fragment_count"] = F.col("IP_flags") == "MF"
         tests["ip_dont_fragment_count"] = F.col("IP_flags") == "DF"
-    sums |= {name: F.count_if(test) for name, test in tests.items()}
-    ports = {"TCP_dport": "unique_tcp_dst_port_count", "UDP_dport": "unique_udp_dst_port_count"}
-    ports = {c: n for c, n in ports.items() if c in have}
-
-    flows = base.groupBy("_w", "_host", "_peer", *ports).agg(*[a.alias(n) for n, a in sums.items()])
-    peers = F.count_distinct("_peer").alias("unique_dst_ip_count" if sending else "unique_src_ip_count")
-    return (
-        flows.groupBy(F.col("_w.start").alias("window_start"), F.col("_host").alias(group_by))
-        .agg(*[F.sum(n).alias(n) for n in sums], peers,
-             *[F.count_distinct(c).alias(n) for c, n in ports.items()])
-    )
+    sums |= {name: ("sum", F.coalesce(test, F.lit(False)).cast("int")) for name, test in tests.items()}
+    distincts = {"unique_dst_ip_count" if sending else "unique_src_ip_count": "_peer"}
+    for column, name in (("TCP_dport", "unique_tcp_dst_port_count"), ("UDP_dport", "unique_udp_dst_port_count")):
+        if column in have:
+            distincts[name] = column
+    return sums_and_distincts(base, ["window_start", group_by], sums, distincts)

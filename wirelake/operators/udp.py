@@ -9,6 +9,7 @@ from wirelake.functions.lookups import AMPLIFIER_PORTS, UDP_SERVICES, classify_p
 from wirelake.functions.scalars import create_flow_id, safe_cast_to_int, zero_if_null
 from wirelake.functions.windows import tumbling, window_seconds
 from wirelake.operators.filters import destination_ip, source_ip, udp_packets
+from wirelake.operators.slices import sums_and_distincts
 from wirelake.schema import integral, length_column, optional, require, whole_seconds_between
 
 
@@ -105,15 +106,11 @@ def calculate_packet_rate(packets: DataFrame, time_window: str = "1m") -> DataFr
 def detect_udp_flood(packets: DataFrame, threshold: int = 1000, time_window: str = "1m") -> DataFrame:
     """Sources with at least `threshold` UDP packets in a window."""
     positive("threshold", threshold)
-    base = _udp(packets, "timestamp", "IP_len").withColumn("_w", tumbling(time_window))
-    # Grouping by the peer and port first keeps a flooding source on many tasks and feeds both distinct counts.
+    base = _udp(packets, "timestamp", "IP_len").withColumn("window_start", tumbling(time_window).start)
+    sums = {"packet_count": ("sum", F.lit(1)), "byte_count": ("sum", F.coalesce("length", F.lit(0)))}
     return (
-        base.groupBy("_w", "src_ip", "dst_ip", "dst_port")
-        .agg(F.count(F.lit(1)).alias("_n"), zero_if_null(F.sum("length")).alias("_b"))
-        .groupBy(F.col("_w.start").alias("window_start"), "src_ip")
-        .agg(F.sum("_n").alias("packet_count"), F.sum("_b").alias("byte_count"),
-             F.count_distinct("dst_ip").alias("unique_destinations"),
-             F.count_distinct("dst_port").alias("unique_ports"))
+        sums_and_distincts(base, ["window_start", "src_ip"], sums,
+                           {"unique_destinations": "dst_ip", "unique_ports": "dst_port"})
         .where(F.col("packet_count") >= threshold)
         .orderBy(F.desc("packet_count"), "window_start", "src_ip")
     )
@@ -151,14 +148,11 @@ def detect_udp_amplification(packets: DataFrame, min_amplification_ratio: float
 def identify_udp_scan(packets: DataFrame, threshold: int = 100) -> DataFrame:
     """Sources that touch at least `threshold` distinct destination ports."""
     positive("threshold", threshold)
-    base = _udp(packets, "UDP_dport", "timestamp")
+    sums = {"total_packets": ("sum", F.lit(1)), "first_seen": ("min", F.col("timestamp")),
+            "last_seen": ("max", F.col("timestamp"))}
     return (
-        base.groupBy("src_ip", "dst_ip", "dst_port")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z"))
-        .groupBy("src_ip")
-        .agg(F.count_distinct("dst_port").alias("unique_ports_scanned"),
-             F.count_distinct("dst_ip").alias("unique_destinations"), F.sum("_n").alias("total_packets"),
-             F.min("_a").alias("first_seen"), F.max("_z").alias("last_seen"))
+        sums_and_distincts(_udp(packets, "UDP_dport", "timestamp"), ["src_ip"], sums,
+                           {"unique_ports_scanned": "dst_port", "unique_destinations": "dst_ip"})
         .withColumn("scan_duration_seconds", whole_seconds_between("first_seen", "last_seen"))
         .where(F.col("unique_ports_scanned") >= threshold)
         .orderBy(F.desc("unique_ports_scanned"), "src_ip")
