@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wirelake.operators import anomaly, arp, dns, flow, icmp, ip, summary, tcp, udp  # noqa: E402
 from wirelake.plans import workflows  # noqa: E402
+from wirelake.plans.findings import Report  # noqa: E402
 from wirelake.session import local_session  # noqa: E402
 from wirelake.sources import parquet  # noqa: E402
 from wirelake.sources.events_view import packets_from_folder  # noqa: E402
@@ -48,12 +49,13 @@ QUERIES = {
     "data_exfiltration": lambda p: anomaly.detect_data_exfiltration(p, 2000),
     "behavior_by_hour": lambda p: summary.behavioral_summary(p, "1h"),
     "summary": summary.generate_summary,
-    "daily_audit": lambda p: workflows.daily_audit(p).findings,
+    "daily_audit": lambda p: workflows.daily_audit(p),
 }
 
 
 def run(df) -> float:
     began = time.perf_counter()
+    df = df.run() if isinstance(df, Report) else df
     df.write.format("noop").mode("overwrite").save()
     return time.perf_counter() - began
 

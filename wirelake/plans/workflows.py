@@ -142,13 +142,13 @@ def check_scanning_patterns(packets: DataFrame, hosts: int = 50, ports: int = 10
 
 def daily_audit(packets: DataFrame, business_hours=(9, 17)) -> Report:
     """All checks over one packet table."""
-    findings = union([
+    checks = [
         basic_stats(packets), check_port_scans(packets), check_syn_floods(packets), check_udp_floods(packets),
         check_dns_threats(packets), check_arp_threats(packets), check_icmp_threats(packets),
         check_failed_connections(packets), check_suspicious_ips(packets), check_data_exfiltration(packets),
         check_off_hours_activity(packets, business_hours), check_beaconing(packets), check_scanning_patterns(packets),
-    ])
-    return Report("Daily Security Audit Report", findings, union([network_statistics(packets), top_talkers(packets)]))
+    ]
+    return Report("Daily Security Audit Report", checks, union([network_statistics(packets), top_talkers(packets)]))
 
 
 def host_basics(packets: DataFrame, ip: str) -> DataFrame:
@@ -200,34 +200,34 @@ def check_dns_activity(packets: DataFrame, ip: str, top: int = 20) -> DataFrame:
 
 def ip_investigation(packets: DataFrame, ip: str) -> Report:
     """Everything about one address. The address filter reaches the scan in all checks but the top-n one."""
-    findings = union([check_connections(packets, ip), check_scanning_behavior(packets, ip),
-                      check_attack_patterns(packets, ip), check_dns_activity(packets, ip)])
+    checks = [check_connections(packets, ip), check_scanning_behavior(packets, ip),
+              check_attack_patterns(packets, ip), check_dns_activity(packets, ip)]
     sections = union([host_basics(packets, ip), host_traffic(packets, ip), host_protocols(packets, ip)])
-    return Report(f"IP Investigation Report: {ip}", findings, sections)
+    return Report(f"IP Investigation Report: {ip}", checks, sections)
 
 
 def hunt_for_c2(packets: DataFrame) -> Report:
     """Beacons, long-lived connections and DNS tunnels."""
     long_lived = tcp.identify_long_lived_connections(packets, "30m")
-    return Report("Command and Control Hunt", union([
+    return Report("Command and Control Hunt", [
         check_beaconing(packets, 0.1, "Beaconing"),
         finding(long_lived, "medium", "Long-lived Connections", "Detected {n} connections lasting >30 minutes"),
         check_dns_tunneling(packets, 80),
-    ]))
+    ])
 
 
 def hunt_for_data_theft(packets: DataFrame) -> Report:
     """Large outbound transfers, DNS and ICMP tunnels."""
-    return Report("Data Theft Hunt", union([
+    return Report("Data Theft Hunt", [
         check_data_exfiltration(packets, 50_000_000, "Large Outbound Transfer"),
         check_dns_tunneling(packets, 100), check_icmp_tunneling(packets),
-    ]))
+    ])
 
 
 def hunt_for_lateral_movement(packets: DataFrame) -> Report:
     """Hosts with many peers and port scans between hosts."""
     scans = anomaly.detect_port_scanning(packets, threshold=20, time_window="5m", ports_contacted=False)
-    return Report("Lateral Movement Hunt", union([
+    return Report("Lateral Movement Hunt", [
         check_hubs(packets, 30),
         finding(scans, "high", "Internal Port Scanning", "Detected {n} potential internal port scans"),
-    ]))
+    ])
