@@ -60,12 +60,10 @@ def detect_vertical_scanning(packets: DataFrame, threshold: int = 50) -> DataFra
     positive("threshold", threshold)
     pairs = _ends(packets).select("src_ip", "dst_port", "dst_ip").where(
         F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull() & F.col("dst_ip").isNotNull()).distinct()
-    found = (pairs.groupBy("src_ip", "dst_port").agg(F.count(F.lit(1)).alias("unique_hosts"))
-             .where(F.col("unique_hosts") > threshold))
-    share = sequential_share(pairs, ["src_ip", "dst_port"], ipv4_long(F.col("dst_ip"))).drop("n")
     return (
-        found.join(share, ["src_ip", "dst_port"], "left")
-        .withColumn("sequential_share", F.coalesce("sequential_share", F.lit(0.0)))
+        sequential_share(pairs, ["src_ip", "dst_port"], ipv4_long(F.col("dst_ip")), {"unique_hosts": F.lit(1)})
+        .where(F.col("unique_hosts") > threshold)
+        .select("src_ip", "dst_port", "unique_hosts", "sequential_share")
         .orderBy(F.desc("unique_hosts"), "src_ip", "dst_port")
     )
 

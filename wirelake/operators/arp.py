@@ -99,12 +99,11 @@ def detect_arp_scanning(packets: DataFrame, threshold: int = 20) -> DataFrame:
         .groupBy(F.col("ARP_sender_ip").alias("sender_ip"), F.col("ARP_target_ip").alias("target_ip"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = (asked.groupBy("sender_ip").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("unique_targets"))
-             .where(F.col("unique_targets") >= threshold))
-    share = sequential_share(asked, ["sender_ip"], ipv4_long(F.col("target_ip"))).drop("n")
     return (
-        found.join(share, "sender_ip", "left")
-        .withColumn("sequential_share", F.coalesce("sequential_share", F.lit(0.0)))
+        sequential_share(asked, ["sender_ip"], ipv4_long(F.col("target_ip")),
+                         {"requests": F.col("n"), "unique_targets": F.lit(1)})
+        .where(F.col("unique_targets") >= threshold)
+        .select("sender_ip", "requests", "unique_targets", "sequential_share")
         .orderBy(F.desc("unique_targets"), "sender_ip")
     )
 

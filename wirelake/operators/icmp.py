@@ -55,15 +55,11 @@ def analyze_ping_patterns(packets: DataFrame, ip: str, horizon: str = "5s") -> D
     rtt = matched.agg(F.avg((F.col("_reply._us") - F.col("_us")) / 1000.0).alias("avg_rtt_ms"))
     sent = rows.where(~F.col("_is_reply")).select("timestamp", F.lit(ip).alias("ip_address"))
     pace = interval_stats(sent, ["ip_address"])
-    return (  # three results of one row each, meeting on the address
-        counts.withColumn("ip_address", F.lit(ip))
-        .join(rtt.withColumn("ip_address", F.lit(ip)), "ip_address", "left")
-        .join(pace.select("ip_address", F.col("avg").alias("avg_interval_s"),
-                          F.try_divide("std", "avg").alias("cv")), "ip_address", "left")
-        .select("ip_address", "requests", "replies", "avg_interval_s", "cv", "avg_rtt_ms",
-                F.when(F.col("cv") <= 0.1, "regular").when(F.col("cv") > 1.0, "bursty")
-                .otherwise("irregular").alias("pattern"))
-    )
+    pace = pace.select(F.col("avg").alias("avg_interval_s"), F.try_divide("std", "avg").alias("cv"))
+    parts = counts.unionByName(rtt, allowMissingColumns=True).unionByName(pace, allowMissingColumns=True)
+    names = ("requests", "replies", "avg_interval_s", "cv", "avg_rtt_ms")
+    return parts.agg(F.lit(ip).alias("ip_address"), *[F.max(n).alias(n) for n in names]).withColumn(
+        "pattern", F.when(F.col("cv") <= 0.1, "regular").when(F.col("cv") > 1.0, "bursty").otherwise("irregular"))
 
 
 def detect_icmp_flood(packets: DataFrame, threshold: int = 1000, time_window: str = "1m") -> DataFrame:

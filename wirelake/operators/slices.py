@@ -162,33 +162,31 @@ def value_stats(df: DataFrame, value: Column, quantiles: dict[str, float],
     return result if groups else result.drop("_all")
 
 
-def sequential_share(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def sequential_share(df: DataFrame, keys: Sequence[str], value: Column, sums: dict[str, Column] | None = None) -> DataFrame:
     """Per key: n distinct values and the share of +1 steps between neighbours in value order.
 
-    Distinct values are cut into ranges of 65,536; each range is scanned alone and gives one row, and the
-    ranges are then checked for touching at their borders.
+    With `sums`, the rows must already be distinct per (key, value) and the named sums over them come along; a
+    null value then counts in the sums only. Values are cut into ranges of 65,536; each range is scanned alone and
+    gives one row, and the ranges are then checked for touching at their borders.
     """
-    keys = list(keys)
-    distinct = (
-        df.select(*keys, value.cast("bigint").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-        .withColumn("_range", F.shiftright("_v", 16))
-    )
+    keys, sums = list(keys), sums or {}
+    rows = df.select(*keys, value.cast("bigint").alias("_v"), *[c.alias(f"_sum_{n}") for n, c in sums.items()])
+    if not sums:
+        rows = rows.where(F.col("_v").isNotNull()).distinct()
+    rows = rows.withColumn("_range", F.shiftright("_v", 16))
     inside = Window.partitionBy(*keys, "_range").orderBy("_v")
     ranges = (
-        distinct.withColumn("_step", (F.col("_v") - F.lag("_v").over(inside) == 1).cast("int"))
+        rows.withColumn("_step", (F.col("_v") - F.lag("_v").over(inside) == 1).cast("int"))
         .groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_step").alias("_steps"),
-             F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.count("_v").alias("_n"), F.sum("_step").alias("_steps"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+             *[F.sum(f"_sum_{n}").alias(n) for n in sums])
     )
     across = Window.partitionBy(*keys).orderBy("_range")
     touching = (F.col("_lo") - F.lag("_hi").over(across) == 1).cast("int")
-    return (
-        ranges.withColumn("_touch", touching).groupBy(*keys)
-        .agg(F.sum("_n").alias("n"),
-             F.coalesce(F.try_divide(
-                 F.coalesce(F.sum("_steps"), F.lit(0)) + F.coalesce(F.sum("_touch"), F.lit(0)),
-                 (F.sum("_n") - 1).cast("double")), F.lit(0.0)).alias("sequential_share"))
-    )
+    steps = F.coalesce(F.sum("_steps"), F.lit(0)) + F.coalesce(F.sum("_touch"), F.lit(0))
+    share = F.when(F.sum("_n") > 1, steps / (F.sum("_n") - 1)).otherwise(F.lit(0.0))
+    return ranges.withColumn("_touch", touching).groupBy(*keys).agg(
+        F.sum("_n").alias("n"), share.alias("sequential_share"), *[F.sum(n).alias(n) for n in sums])
 
 
 def gather(df: DataFrame, keys: Sequence[str], hot: Column, part: Column, entry: Column, name: str) -> DataFrame:

@@ -71,28 +71,31 @@ def unique_hosts(packets: DataFrame, approximate: bool = False) -> DataFrame:
     return hosts.agg(count.alias("unique_hosts"))
 
 
-def _long(df: DataFrame, category: str, metrics: dict[str, str]) -> DataFrame:
-    """One row of named columns -> rows of (category, metric, value)."""
-    entries = [F.struct(F.lit(name).alias("metric"), F.col(column).cast("string").alias("value"))
-               for name, column in metrics.items()]
-    return df.select(F.lit(category).alias("category"), F.explode(F.array(*entries)).alias("m")).select("category", "m.*")
+def _long(df: DataFrame, metrics: dict[tuple[str, str], Column]) -> DataFrame:
+    """One row -> rows of (category, metric, value)."""
+    entries = [F.struct(F.lit(category).alias("category"), F.lit(metric).alias("metric"),
+                        value.cast("string").alias("value")) for (category, metric), value in metrics.items()]
+    return df.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
 
 
 def generate_summary(packets: DataFrame, path: str | None = None) -> DataFrame:
     """The summary as rows of (category, metric, value): packet_counts, date_range, analyzers_available,
-    protocols, general.unique_hosts and, when `path` is given, file_info."""
-    counts = protocol_counts(packets).join(  # both sides are one-row aggregates
-        F.broadcast(get_date_range(packets)), F.lit(True))
-    available = counts.select(
-        *[(F.col(c) > 0).alias(c) for c in ("tcp", "udp", "dns", "arp", "icmp", "ip")],
-        (F.col("total") > 0).alias("flow"), (F.col("total") > 0).alias("anomaly"))
-    names = ("total", "tcp", "udp", "dns", "arp", "icmp", "ip")
-    parts = [
-        _long(counts, "packet_counts", {n: n for n in names}),
-        _long(counts, "date_range", {"start": "start", "end": "end", "duration": "duration"}),
-        _long(available, "analyzers_available", {c: c for c in available.columns}),
-        _long(unique_hosts(packets), "general", {"unique_hosts": "unique_hosts"}),
-    ]
+    protocols, general.unique_hosts and, when `path` is given, file_info.
+
+    Counts, availability and time range come out of one pass; hosts and protocols are one more each.
+    """
+    timed = "timestamp" in packets.columns
+    bounds = [F.min("timestamp").alias("start"), F.max("timestamp").alias("end")] if timed else [
+        F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(None).cast("timestamp_ntz").alias("end")]
+    tests = _predicates(packets)
+    totals = packets.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(t).alias(n) for n, t in tests.items()], *bounds)
+    totals = totals.withColumn("duration", seconds_between("start", "end"))
+    metrics = {("packet_counts", n): F.col(n) for n in ("total", *tests)}
+    metrics |= {("date_range", n): F.col(n) for n in ("start", "end", "duration")}
+    metrics |= {("analyzers_available", n): F.col(n) > 0 for n in tests}
+    metrics |= {("analyzers_available", n): F.col("total") > 0 for n in ("flow", "anomaly")}
+    parts = [_long(totals, metrics),
+             _long(unique_hosts(packets), {("general", "unique_hosts"): F.col("unique_hosts")})]
     if "IP_proto" in packets.columns:
         parts.append(protocol_distribution(packets).select(
             F.lit("protocols").alias("category"),
@@ -101,9 +104,8 @@ def generate_summary(packets: DataFrame, path: str | None = None) -> DataFrame:
     if path is not None:
         from wirelake.sources.parquet import get_file_info
 
-        info = get_file_info(packets.sparkSession, path)
-        parts.append(_long(info, "file_info", {"path": "path", "size_bytes": "size_bytes", "size_mb": "size_mb",
-                                               "size_formatted": "size_formatted"}))
+        shown = ("path", "size_bytes", "size_mb", "size_formatted")
+        parts.append(_long(get_file_info(packets.sparkSession, path), {("file_info", n): F.col(n) for n in shown}))
     return reduce(DataFrame.unionByName, parts)
 
 

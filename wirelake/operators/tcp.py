@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirelake.errors import one_of, positive
 from wirelake.functions.lookups import TCP_FLAG_NAMES, TCP_SERVICES, lookup
@@ -187,15 +187,14 @@ def get_throughput_by_connection(packets: DataFrame) -> DataFrame:
 def get_most_used_ports(packets: DataFrame, n: int = 10) -> DataFrame:
     """Top destination ports with service name and percent of all TCP packets."""
     positive("n", n)
-    tcp = _tcp(packets, "TCP_dport")
-    top = (tcp.where(F.col("TCP_dport").isNotNull()).groupBy("TCP_dport").agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.desc("count"), "TCP_dport").limit(n))
-    total = tcp.agg(F.count(F.lit(1)).alias("total"))  # one row
+    # One row per port (16 bits), so the total is taken over the counts and the packets are read once.
+    counts = _tcp(packets, "TCP_dport").groupBy("TCP_dport").agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy("_all"))
     return (
-        top.join(F.broadcast(total), F.lit(True))
+        counts.withColumn("_all", F.lit(0)).withColumn("percentage", F.col("count") * 100.0 / total)
+        .where(F.col("TCP_dport").isNotNull()).orderBy(F.desc("count"), "TCP_dport").limit(n)
         .select("TCP_dport", lookup(F.col("TCP_dport"), TCP_SERVICES, "Unknown").alias("service_name"), "count",
-                (F.col("count") * 100.0 / F.col("total")).alias("percentage"))
-        .orderBy(F.desc("count"), "TCP_dport")
+                "percentage")
     )
 
 
@@ -287,13 +286,11 @@ def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_c
     if ports_contacted:
         rows = with_time_slice(base.withColumn("_us", micros(base)), "1s")
         same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
-        rows = rows.alias("r").join(found.select(*key, "total_packets").alias("f"), same).select("r.*", "total_packets")
-        lists = gather(rows, key, F.col("total_packets") > list_rows, F.col("_slice"),
+        rows = rows.alias("r").join(found.alias("f"), same).select("f.*", "r._us", "r._slice", "r._port")
+        lists = gather(rows, found.columns, F.col("total_packets") > list_rows, F.col("_slice"),
                        F.when(F.col("_port").isNotNull(), F.struct("_us", "_port")), "_ports")
-        lists = lists.select(*key, "part",
+        found = lists.select(*found.columns, "part",
                              F.transform("_ports", lambda e: e["_port"]).alias("ports_contacted"))
-        same = [F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]
-        found = found.alias("f").join(lists.alias("l"), same).select("f.*", "l.part", "l.ports_contacted")
     return found.orderBy(F.desc("unique_ports"), *key, *(["part"] if ports_contacted else []))
 
 

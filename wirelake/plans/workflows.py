@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wirelake.functions.lookups import protocol_name
-from wirelake.operators import anomaly, arp, dns, flow, icmp, ip as ips, summary, tcp
+from wirelake.operators import anomaly, arp, dns, flow, icmp, ip as ips, tcp
 from wirelake.operators.filters import destination_ip, find_ip_information, source_ip
 from wirelake.plans.findings import Report, finding, section, union
+from wirelake.schema import seconds_between
 
 
 def _largest(value: str, shown: str):
@@ -30,8 +31,8 @@ def basic_stats(packets: DataFrame) -> DataFrame:
 
 def network_statistics(packets: DataFrame) -> DataFrame:
     """Section: packets, first and last time, duration."""
-    stats = packets.agg(F.count(F.lit(1)).alias("total_packets")).join(
-        F.broadcast(summary.get_date_range(packets)), F.lit(True))  # one row each
+    stats = packets.agg(F.count(F.lit(1)).alias("total_packets"), F.min("timestamp").alias("start"),
+                        F.max("timestamp").alias("end")).withColumn("duration", seconds_between("start", "end"))
     return section(stats, "Network Statistics", "total_packets", "start", "end", "duration")
 
 
