@@ -580,7 +580,7 @@ WITH b AS (SELECT IP_src AS src_ip, epoch_us(timestamp) // 1000000 AS t, count(*
 s AS (SELECT src_ip, sum(x) AS n, sum(x * x) AS xx, max(t) - min(t) + 1 AS bins FROM b GROUP BY 1),
 c AS (SELECT a.src_ip, z.t - a.t AS lag, sum(a.x * z.x) AS c FROM b a JOIN b z ON a.src_ip = z.src_ip
       AND z.t > a.t AND z.t <= a.t + 300 GROUP BY 1, 2),
-r AS (SELECT src_ip, lag, (c / (bins - lag) - (n / bins) * (n / bins)) / (xx / bins - (n / bins) * (n / bins)) AS st
+r AS (SELECT src_ip, lag, (c - (n / bins) * (n / bins) * (bins - lag)) / (xx - (n / bins) * (n / bins) * bins) AS st
       FROM c JOIN s USING (src_ip) WHERE bins - 1 >= lag * 3)
 SELECT src_ip, CAST(lag AS DOUBLE) AS period_s, round(round(st, 9), 6) AS strength FROM r WHERE st >= 0.005
 QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY round(st, 9) DESC, lag) = 1"""),

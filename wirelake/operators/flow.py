@@ -228,7 +228,8 @@ def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_widt
                              min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "7d") -> DataFrame:
     """Dominant period of the packets of each source (or of one), by autocorrelation of packets per bin.
 
-    With x the counts per bin, T bins, C(k) = sum x[t] x[t+k]: strength(k) = (C(k)/(T-k) - mean^2) / variance.
+    With x the counts per bin, T bins, C(k) = sum x[t] x[t+k]:
+    strength(k) = (C(k) - (T-k) mean^2) / (C(0) - T mean^2), which favours a period over its multiples.
     The largest wins, the shortest lag on ties; the series must span `min_periods` periods.
 
     Packets are counted per (source, bin) first. C(k) is summed over slices of the series, each with the next
@@ -271,8 +272,8 @@ def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_widt
         F.sum("x").alias("n"), F.sum((F.col("x") * F.col("x")).cast("double")).alias("xx"),
         (F.max("t") - F.min("t") + 1).alias("bins"))
     mean = F.col("n") / F.col("bins")
-    variance = F.col("xx") / F.col("bins") - mean * mean
-    strength = F.try_divide(F.col("c") / (F.col("bins") - F.col("lag")) - mean * mean, variance)
+    strength = F.try_divide(F.col("c") - mean * mean * (F.col("bins") - F.col("lag")),
+                            F.col("xx") - mean * mean * F.col("bins"))
     return (
         products.join(series, "src_ip").where(F.col("bins") - 1 >= F.col("lag") * min_periods)
         .withColumn("strength", strength).where(F.col("strength") >= min_strength)
