@@ -1,27 +1,16 @@
 """Shape of the plans: what must reach the scan, and what must not appear."""
 
-import pytest
-
 import __spark_entry__ as contract
 from wirelake.sources import parquet
 from wirelake.sources.events_view import packets_from_folder
 
 QUERIES = contract.queries()
-WRITES = ("stream_", "table_", "summary_export", "audit_report_json")
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(WRITES)])
-def test_no_pair_joins_and_no_python(spark, small_dir, name):
-    text = plan_of(QUERIES[name](spark, small_dir))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "LocalTableScan"):
-        assert bad not in text
-    assert ("InPandas" in text) == (name == "flow_periodic_patterns")
-
-
 def test_filters_and_columns_reach_the_scan(spark, small_dir, tmp_path):
     from wirelake.operators import anomaly, tcp
     from wirelake.operators.flow import get_flow_by_id
@@ -29,12 +18,14 @@ def test_filters_and_columns_reach_the_scan(spark, small_dir, tmp_path):
     path = str(tmp_path / "p")
     parquet.save_packets(packets_from_folder(spark, small_dir), path)
     packets = parquet.load_landed(spark, path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     text = plan_of(tcp.get_syn_count(packets))
     assert "EqualTo(IP_proto,6)" in text and "ReadSchema: struct<IP_proto:int,TCP_flags:string>" in text
     text = plan_of(anomaly.detect_port_scanning(packets, ports_contacted=False).where("scanner_ip = '10.0.9.9'"))
     assert "IP_src" in text.split("ReadSchema")[1] and "raw_size" not in text
     text = plan_of(get_flow_by_id(packets, "10.0.8.8:20501->93.184.216.34:443:TCP"))
-    assert "10.0.8.8" in text.split("PushedFilters")[0] or "10.0.8.8" in text
+    pushed = text.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "EqualTo(IP_src,10.0.8.8)" in pushed and "EqualTo(TCP_sport,20501)" in pushed
 
 
 def test_percentiles_share_one_count_of_values(spark, small_dir):

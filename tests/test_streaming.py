@@ -1,4 +1,9 @@
 
+import os
+import time
+
+import pyarrow.parquet as pq
+
 from tests.conftest import at
 from wirelake.operators import arp, flow
 from wirelake.plans import workflows
@@ -11,12 +16,9 @@ SCHEMA = ("timestamp timestamp_ntz, IP_src string, IP_dst string, IP_proto int,
 
 def stream_of(spark, folder, *batches):
     """A stream that takes one file per micro-batch, in the order given."""
-    import os
-    import time
-
     for i, rows in enumerate(batches):
         path = f"{folder}/part{i}.parquet"
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).toPandas().to_parquet(path, coerce_timestamps="us", allow_truncated_timestamps=True)
+        pq.write_table(spark.createDataFrame(rows, SCHEMA).toArrow(), path)
         os.utime(path, (time.time() - 100 + i,) * 2)
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
@@ -26,7 +28,7 @@ def tcp_row(t, src="a", dst="b", sport=1, dport=80, flags="S", size=10):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    stream = stream_of(spark, tmp_path, [tcp_row(0), tcp_row(30)], [tcp_row(600)], [tcp_row(5), tcp_row(610)], [tcp_row(1200)])
+    stream = stream_of(spark, tmp_path, [tcp_row(0), tcp_row(30)], [tcp_row(600)], [tcp_row(601)], [tcp_row(5)], [tcp_row(1200)])
     got = run_available(detectors.live_packet_rate(stream, "1m", "1m"), "t", 4).orderBy("window_start").collect()
     assert [(r.window_start, r.packet_count) for r in got] == [(at(0), 2), (at(600), 2)]
 

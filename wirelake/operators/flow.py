@@ -94,6 +94,14 @@ def get_all_flows(packets: DataFrame, timeout=None) -> DataFrame:
     return create_flows(packets, timeout)
 
 
+def _either(packets: DataFrame, columns: tuple[str, str], value) -> Column:
+    """coalesce(first, second) = value, spelled with plain comparisons that a parquet scan can use."""
+    first, second = [F.col(c) if c in packets.columns else F.lit(None) for c in columns]
+    if value is None:
+        return first.isNull() & second.isNull()
+    return (first == value) | (first.isNull() & (second == value))
+
+
 def get_flow_by_id(packets: DataFrame, flow_id: str, timeout=None) -> DataFrame:
     """The packets of one flow. The id is taken apart, so the filters reach the scan as plain comparisons."""
     found = re.fullmatch(r"(.+):(\d+|\*)->(.+):(\d+|\*):([^:#]+)(?:#(\d+))?", flow_id)
@@ -102,16 +110,18 @@ def get_flow_by_id(packets: DataFrame, flow_id: str, timeout=None) -> DataFrame:
     src, sport, dst, dport, name, seq = found.groups()
     numbers = {v: k for k, v in PROTOCOL_NAMES.items()}
     number = numbers.get(name, name.removeprefix("Protocol-"))
-    same = lambda column, text: column.isNull() if text == "*" else column == int(text)
-    mine = flow_packets(packets).where(
-        (F.col("src_ip") == src) & (F.col("dst_ip") == dst) & same(F.col("src_port"), sport)
-        & same(F.col("dst_port"), dport) & same(F.col("protocol"), str(number)))
+    wanted = (_either(packets, ("IP_src", "IPv6_src"), src) & _either(packets, ("IP_dst", "IPv6_dst"), dst)
+              & _either(packets, ("TCP_sport", "UDP_sport"), None if sport == "*" else int(sport))
+              & _either(packets, ("TCP_dport", "UDP_dport"), None if dport == "*" else int(dport))
+              & _either(packets, ("IP_proto", "IPv6_nh"), None if number == "*" else int(number)))
+    packets = packets.where(wanted)
+    mine = flow_packets(packets)
     if seq is None:
         return mine
     if timeout is None:
         raise InvalidValueError("a flow id with '#seq' needs the timeout it was made with")
     # The sessions of one flow; the wanted one is a single row.
-    span = create_flows(packets.where((source_ip(packets) == src) & (destination_ip(packets) == dst)), timeout)
+    span = create_flows(packets, timeout)
     span = span.where(F.col("flow_id") == flow_id).select(*FLOW_KEY, "start_time", "end_time")
     pairs = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FLOW_KEY]
     return (mine.alias("p").join(F.broadcast(span.alias("s")), pairs, "inner")

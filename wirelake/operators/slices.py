@@ -252,7 +252,8 @@ def sums_and_distincts(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple
     combine = {"sum": F.sum, "min": F.min, "max": F.max}
     rows = (
         df.select(*keys, *[value.alias(f"_{name}") for name, (_, value) in sums.items()],
-                  F.explode(F.array_compact(F.array(*entries))).alias("_x"))
+                  F.explode(F.array(*entries)).alias("_x"))
+        .where(F.col("_x").isNotNull())  # not array_compact: a lambda would leave whole-stage codegen
         .select(*keys, *[f"_{name}" for name in sums], F.col("_x.k").alias("_k"),
                 *[F.col(f"_x.v{j}").alias(f"_v{j}") for j in range(len(types))])
     )

@@ -128,8 +128,7 @@ def detect_udp_amplification(packets: DataFrame, min_amplification_ratio: float
         F.col(port).isin(*AMPLIFIER_PORTS),
         F.struct(F.lit(name).alias("role"), F.col(reflector).alias("reflector_ip"),
                  F.col(port).alias("service_port"), F.col(client).alias("victim_ip")))
-    roles = F.array_compact(F.array(role("request", "dst_ip", "dst_port", "src_ip"),
-                                    role("response", "src_ip", "src_port", "dst_ip")))
+    roles = F.array(role("request", "dst_ip", "dst_port", "src_ip"), role("response", "src_ip", "src_port", "dst_ip"))
     is_request, is_response = F.col("role") == "request", F.col("role") == "response"
     size = F.col("length")
     return (
