@@ -33,10 +33,10 @@ def live(build, sql: str | None):
     return tables(run, oracle(sql) if sql else None)
 
 
-def _closed(width: str, rows: str, delay: str = "10 minutes") -> str:
-    """Rows of windows that end at or before the watermark."""
+def _closed(width: str, rows: str, test: str = "true") -> str:
+    """Rows of windows that end at or before the watermark, which follows the packets that pass the query's filter."""
     return (f"SELECT t.* FROM ({rows}) t WHERE window_start + INTERVAL '{width}' <= "
-            f"(SELECT date_trunc('milliseconds', max(timestamp)) - INTERVAL '{delay}' FROM p)")
+            f"(SELECT date_trunc('milliseconds', max(timestamp)) - INTERVAL '10 minutes' FROM p WHERE {test})")
 
 
 def _rate(test: str) -> str:
@@ -117,9 +117,10 @@ ENTRIES = {
         lambda p: detectors.live_host_scans(p, 1, "1h"),
         _closed("1 hour", f"SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, {_PORT} AS dst_port, "
                           f"count(DISTINCT IP_dst) AS unique_hosts FROM p WHERE {_PORT} IS NOT NULL GROUP BY 1, 2, 3 "
-                          "HAVING count(DISTINCT IP_dst) > 1")),
+                          "HAVING count(DISTINCT IP_dst) > 1", f"{_PORT} IS NOT NULL AND IP_dst IS NOT NULL")),
     "stream_syn_flood": live(
-        lambda p: detectors.live_syn_flood(p, 2, "1h"), _closed("1 hour", DETECTORS["anomaly_syn_flood"].rows)),
+        lambda p: detectors.live_syn_flood(p, 2, "1h"), _closed(
+            "1 hour", DETECTORS["anomaly_syn_flood"].rows, "contains(TCP_flags, 'S')")),
     "stream_udp_flood": live(
         lambda p: detectors.live_udp_flood(p, 2, "1h"),
         f"SELECT t.* FROM (SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, count(*) AS packet_count, "
@@ -129,7 +130,7 @@ ENTRIES = {
     "stream_behavior": live(
         lambda p: detectors.live_behavioral_summary(p, "1h").select(
             "window_start", "source_ip", "packet_count", "total_bytes_sent", "tcp_packet_count", "syn_count"),
-        _closed("1 hour", _BEHAVIOR)),
+        _closed("1 hour", _BEHAVIOR, "IP_src IS NOT NULL")),
     "stream_flows": live(lambda p: _ports(stateful.live_flows(p, "5m")), _SESSIONS),
     "stream_dns_answers": live(
         lambda p: stateful.live_dns_answers(p).select(
