@@ -3,10 +3,13 @@
 import pytest
 
 import __spark_entry__ as contract
+from wirelake.catalog import all_entries
 from tests.oracle_check import compare, connect
 
 WRITES = ("stream_", "table_", "summary_export", "audit_report_json")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+ENTRIES = all_entries()
+QUERIES = {name: e.run for name, e in ENTRIES.items()}
+ORACLES = {name: e.sql for name, e in ENTRIES.items() if e.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +32,10 @@ def test_only_the_random_sample_has_no_oracle():
     assert set(QUERIES) - set(ORACLES) == {"rows_sample"}
 
 
+def test_contract_holds_the_catalog():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.count() > 0 and {"window_start", "source_ip", "packet_count"} <= set(df.columns)
