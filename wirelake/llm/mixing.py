@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirelake.llm.common import quoted, without
+from wirelake.llm.common import quoted, without, written
 
 RANGES = 4096
+#: Rows of a table by source up to which executors get it whole (six numbers and a name each).
+BROADCAST_ROWS = 100_000
 CYCLE = (5.0, 2.0, 1.0)
 CEILING = 3.0
 _ADDED = ["size", "source_size", "target", "taken", "epochs"]
@@ -65,8 +67,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     upto = "sum(size) over (partition by source order by {} rows between unbounded preceding and current row)"
     ends = ranges.withColumn("upto", F.expr(upto.format("range"))).alias("r").join(sources.alias("s"), same) \
         .where("upto > left and upto - size <= left") \
-        .select("s.source", "range", (F.col("left") - (F.col("upto") - F.col("size"))).alias("rest"))
-    inside = keyed.alias("r").join(ends.alias("s"), same & (F.col("r.range") == F.col("s.range"))) \
+        .select(F.col("s.source").alias("source"), "range", (F.col("left") - (F.col("upto") - F.col("size"))).alias("rest"))
+    inside = keyed.alias("r").join(_small(ends, "ends").alias("s"), same & (F.col("r.range") == F.col("s.range"))) \
         .groupBy("r.source", "key").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     cuts = inside.withColumn("upto", F.expr(upto.format("key"))) \
         .where("upto > rest and upto - size <= rest") \
@@ -75,6 +77,15 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         .select("r.source", "source_size", "target", "epochs", "cut_key", "cut_share")
 
 
+def _small(by_source: DataFrame, name: str) -> DataFrame:
+    """A table with a row per source, marked for broadcast if its counted rows are few enough.
+
+    Else it is joined by shuffle; the documents of a hot source are then split by Spark's skew join.
+    """
+    made = written(by_source, name)
+    return F.broadcast(made) if made.count() <= BROADCAST_ROWS else made
+
+
 def _key(id_col: str, text_col: str) -> Column:
     """Hash-random key of 63 bits, not negative, so that its order is that of its leading bits."""
     return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), quoted(id_col), quoted(text_col)), 1)
@@ -90,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source is a source of its own; columns of `docs` with such names are replaced; an empty table gives an empty one.
     """
     keep = without(docs, _ADDED)
-    p = plan(docs, id_col, text_col, source_col, ceiling, cycle)
+    p = _small(plan(docs, id_col, text_col, source_col, ceiling, cycle), "plan")
     sized = docs.select(*[quoted(x).alias(f"c{i}") for i, x in enumerate(keep)], quoted(source_col).alias("own_source"),
                         _key(id_col, text_col).alias("key"), word_count(text_col).alias("size"))
     joined = sized.join(p, F.col("own_source").eqNullSafe(F.col("source")))
