@@ -137,24 +137,28 @@ def test_sessions_match_gaps(spark):
         assert got == sizes
 
 
-def test_long_lists_are_cut_but_whole(spark):
+def test_positions_of_long_sequences(spark):
     rows = [(at(i * 0.01), "9.9.9.9", "8.8.8.8", 6, 40, 1, i % 70, "SA"[i % 2]) for i in range(1000)]
     frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, IP_src string, IP_dst string, IP_proto int, IP_len int, "
                                         "TCP_sport int, TCP_dport int, TCP_flags string").withColumn("TCP_seq", F.lit(1).cast("long"))
-    whole = tcp.detect_port_scanning(frame, "balanced").collect()
-    cut = tcp.detect_port_scanning(frame, "balanced", list_rows=100).orderBy("part").collect()
-    assert len(whole) == 1 and len(cut) > 5
-    assert [p for r in cut for p in r.ports_contacted] == whole[0].ports_contacted == [i % 70 for i in range(1000)]
-    one = frame.withColumn("TCP_dport", F.lit(5))
-    texts = [r.flag_sequence for r in tcp.analyze_flag_sequences(one, list_rows=100).orderBy("part").collect()]
-    assert " ".join(texts) == tcp.analyze_flag_sequences(one).first().flag_sequence
-
-
-def test_duplicate_lists_are_cut_but_whole(spark):
-    rows = [(at(i), "1.1.1.1", f"02:00:00:00:00:{i:02x}", 1) for i in range(40)]
-    frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, ARP_sender_ip string, ARP_sender_mac string, ARP_opcode int")
-    cut = arp.get_duplicate_ips(frame, list_rows=10).collect()
-    assert len(cut) > 1 and sorted(m for r in cut for m in r.macs) == arp.get_duplicate_ips(frame).first().macs
+    scan = tcp.detect_port_scanning(frame, "balanced").orderBy("position").collect()
+    assert [(r.position, r.port) for r in scan] == [(i + 1, i % 70) for i in range(1000)]
+    flags = tcp.analyze_flag_sequences(frame.withColumn("TCP_dport", F.lit(5))).orderBy("position").collect()
+    assert [(r.position, r.TCP_flags, r.packet_count) for r in flags] == [(i + 1, "SA"[i % 2], 1000) for i in range(1000)]
+
+
+def test_one_second_of_a_hot_connection_is_spread_over_tasks(spark):
+    from wirelake.operators.slices import with_position
+
+    frame = spark.range(1_000_000).select(F.lit("x").alias("key"), (F.col("id") + 1_700_000_000_000_000).alias("_us"), F.col("id"))
+    placed = with_position(frame, ["key"], ["_us"])
+    assert placed.where("position <> id + 1 or _total <> 1000000").isEmpty()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few bytes would be put together again
+    try:
+        shares = placed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) > 1 and max(r["count"] for r in shares) < 600_000
 
 
 def test_period_of_a_beacon(spark):

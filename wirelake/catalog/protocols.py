@@ -29,20 +29,22 @@ WITH c AS (SELECT {_KEY}, min(timestamp) AS start_time, max(timestamp) AS end_ti
 """
 
 
-def _scan(proto: str, port: str, window: str, threshold: int) -> str:
-    return f"""
-SELECT {bucket(window)} AS window_start, IP_src AS scanner_ip, IP_dst AS target_ip,
-  count(DISTINCT {port}) AS unique_ports, count(*) AS total_packets, min(timestamp) AS scan_start,
-  max(timestamp) AS scan_end, round({seconds('min(timestamp)', 'max(timestamp)')}, 6) AS scan_duration_s,
-  CASE WHEN count(DISTINCT {port}) > 50 THEN 'critical' WHEN count(DISTINCT {port}) > 30 THEN 'high'
-       ELSE 'medium' END AS severity,
-  CAST(0 AS BIGINT) AS part,
-  string_agg(CAST({port} AS VARCHAR), ',' ORDER BY timestamp, {port}) AS ports_contacted
-FROM p WHERE {proto} GROUP BY ALL HAVING count(DISTINCT {port}) > {threshold}"""
+SCAN_PORTS = """SELECT s.*, row_number() OVER (PARTITION BY window_start, scanner_ip, target_ip ORDER BY timestamp, port)
+  AS position, port FROM s JOIN r USING (window_start, scanner_ip, target_ip) WHERE port IS NOT NULL"""
 
 
-def _joined_ports(df):
-    return df.withColumn("ports_contacted", F.array_join("ports_contacted", ","))
+def _scan(proto: str, port: str, window: str, threshold: int, each_port: bool = True) -> str:
+    every = SCAN_PORTS if each_port else "SELECT * FROM s"
+    return f"""
+WITH r AS (SELECT {bucket(window)} AS window_start, IP_src AS scanner_ip, IP_dst AS target_ip, timestamp, {port} AS port
+  FROM p WHERE {proto}),
+s AS (SELECT window_start, scanner_ip, target_ip, count(DISTINCT port) AS unique_ports, count(*) AS total_packets,
+  min(timestamp) AS scan_start, max(timestamp) AS scan_end,
+  round({seconds('min(timestamp)', 'max(timestamp)')}, 6) AS scan_duration_s,
+  CASE WHEN count(DISTINCT port) > 50 THEN 'critical' WHEN count(DISTINCT port) > 30 THEN 'high'
+       ELSE 'medium' END AS severity
+  FROM r GROUP BY ALL HAVING count(DISTINCT port) > {threshold})
+{every}"""
 
 
 TCP = {
@@ -85,8 +87,8 @@ FROM p, (VALUES ('FIN','F'),('SYN','S'),('RST','R'),('PSH','P'),('ACK','A'),('UR
     "tcp_psh_count": packets(tcp.get_psh_count, _flag_count("P")),
     "tcp_flag_sequences": packets(
         tcp.analyze_flag_sequences,
-        f"SELECT {_KEY}, CAST(0 AS BIGINT) AS part, string_agg(TCP_flags, ' ' ORDER BY timestamp, TCP_seq, TCP_flags) "
-        f"AS flag_sequence, count(TCP_flags) AS packet_count FROM p WHERE {_TCP} AND TCP_flags IS NOT NULL GROUP BY ALL"),
+        f"SELECT {_KEY}, row_number() OVER (PARTITION BY {_KEY} ORDER BY timestamp, TCP_seq NULLS FIRST, TCP_flags) AS position, "
+        f"TCP_flags, count(*) OVER (PARTITION BY {_KEY}) AS packet_count FROM p WHERE {_TCP} AND TCP_flags IS NOT NULL"),
     "tcp_window_size_stats": packets(
         tcp.get_window_size_stats,
         "SELECT min(TCP_window) AS min, max(TCP_window) AS max, round(avg(TCP_window), 6) AS mean, "
@@ -120,11 +122,11 @@ SELECT *, round(well_known * 100.0 / total, 6) AS well_known_percent,
   round(registered * 100.0 / total, 6) AS registered_percent, round(ephemeral * 100.0 / total, 6) AS ephemeral_percent
 FROM c"""),
     "tcp_port_scans_balanced": packets(
-        lambda p: _joined_ports(tcp.detect_port_scanning(p, "balanced")), _scan(_TCP, "TCP_dport", "5 minutes", 20)),
+        lambda p: tcp.detect_port_scanning(p, "balanced"), _scan(_TCP, "TCP_dport", "5 minutes", 20)),
     "tcp_port_scans_stealth": packets(
-        lambda p: _joined_ports(tcp.detect_port_scanning(p, "stealth")), _scan(_TCP, "TCP_dport", "30 minutes", 25)),
+        lambda p: tcp.detect_port_scanning(p, "stealth"), _scan(_TCP, "TCP_dport", "30 minutes", 25)),
     "tcp_port_scans_aggressive": packets(
-        lambda p: _joined_ports(tcp.detect_port_scanning(p, "aggressive")), _scan(_TCP, "TCP_dport", "1 minute", 15)),
+        lambda p: tcp.detect_port_scanning(p, "aggressive"), _scan(_TCP, "TCP_dport", "1 minute", 15)),
 }
 
 _UDP_NAMES = """CASE port WHEN 53 THEN 'DNS' WHEN 67 THEN 'DHCP-SERVER' WHEN 68 THEN 'DHCP-CLIENT' WHEN 69 THEN 'TFTP'
@@ -412,20 +414,14 @@ WITH t AS (SELECT ARP_sender_ip AS ip_address, ARP_sender_mac AS mac_address, mi
 """
 
 
-def _list_text(df, column):
-    return df.withColumn(column, F.array_join(column, ","))
-
-
 ARP = {
     "arp_table": packets(arp.get_arp_table, f"{_ARP_TABLE} SELECT * FROM t"),
     "arp_duplicate_ips": packets(
-        lambda p: _list_text(arp.get_duplicate_ips(p), "macs"), f"""{_ARP_TABLE}
-SELECT ip_address, count(*) AS mac_count, CAST(0 AS BIGINT) AS part, string_agg(mac_address, ',' ORDER BY mac_address) AS macs
-FROM t GROUP BY 1 HAVING count(*) > 1"""),
+        arp.get_duplicate_ips, f"""{_ARP_TABLE}
+SELECT * FROM (SELECT ip_address, count(*) OVER (PARTITION BY ip_address) AS mac_count, mac_address FROM t) WHERE mac_count > 1"""),
     "arp_duplicate_macs": packets(
-        lambda p: _list_text(arp.get_duplicate_macs(p), "ips"), f"""{_ARP_TABLE}
-SELECT mac_address, count(*) AS ip_count, CAST(0 AS BIGINT) AS part, string_agg(ip_address, ',' ORDER BY ip_address) AS ips
-FROM t GROUP BY 1 HAVING count(*) > 1"""),
+        arp.get_duplicate_macs, f"""{_ARP_TABLE}
+SELECT * FROM (SELECT mac_address, count(*) OVER (PARTITION BY mac_address) AS ip_count, ip_address FROM t) WHERE ip_count > 1"""),
     "arp_spoofing": packets(
         arp.detect_arp_spoofing, f"""
 WITH c AS (SELECT ARP_sender_ip AS ip_address, ARP_sender_mac AS new_mac, timestamp AS changed_at,
@@ -594,7 +590,7 @@ q AS (SELECT {key}, count(*) AS n, CASE WHEN count(*) = 1 THEN 0.0 ELSE count(*)
 """
 ANOMALY = {
     "anomaly_port_scans": packets(
-        lambda p: _joined_ports(anomaly.detect_port_scanning(p, threshold=25, time_window="1m")),
+        lambda p: anomaly.detect_port_scanning(p, threshold=25, time_window="1m"),
         _scan(f"{_PORT} IS NOT NULL", _PORT, "1 minute", 25)),
     "anomaly_host_scans": packets(
         lambda p: anomaly.detect_host_scanning(p, 1, "1h"),

@@ -31,7 +31,7 @@ _STATS = ("SELECT 'info' AS severity, 'Statistics' AS category, concat('Analyzed
 
 
 def _n1(threshold: int, window: str) -> str:
-    return _scan(f"{_PORT} IS NOT NULL", _PORT, window, threshold)
+    return _scan(f"{_PORT} IS NOT NULL", _PORT, window, threshold, each_port=False)
 
 
 def _scans(threshold: int = 100, window: str = "1 minute") -> str:

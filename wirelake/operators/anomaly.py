@@ -15,8 +15,7 @@ from wirelake.operators import udp
 from wirelake.operators.filters import destination_ip, source_ip, tcp_packets
 from wirelake.operators.ip import is_fragment
 from wirelake.operators.slices import sequential_share
-from wirelake.operators.tcp import (LIST_ROWS, SCAN_PROFILES, PortScanConfig, custom_scan_config, port_scans,
-                                    scan_config)
+from wirelake.operators.tcp import SCAN_PROFILES, PortScanConfig, custom_scan_config, port_scans, scan_config
 from wirelake.schema import length_column, optional, require
 
 
@@ -31,8 +30,7 @@ def _ends(packets: DataFrame, *extra: str) -> DataFrame:
 
 
 def detect_port_scanning(packets: DataFrame, config: PortScanConfig | str | None = None, threshold: int | None = None,
-                         time_window: str | None = None, ports_contacted: bool = True,
-                         list_rows: int = LIST_ROWS) -> DataFrame:
+                         time_window: str | None = None, ports_contacted: bool = True) -> DataFrame:
     """Port scans over TCP and UDP destination ports; a threshold left out of a custom config is 100."""
     if threshold is None and time_window is not None:
         threshold = 100
@@ -41,7 +39,7 @@ def detect_port_scanning(packets: DataFrame, config: PortScanConfig | str | None
         resolved = custom_scan_config(100, resolved.time_window)
     rows = packets.withColumns({"IP_src": source_ip(packets), "IP_dst": destination_ip(packets)})
     rows = rows.where(_port(packets, "dport").isNotNull())
-    return port_scans(rows, _port(packets, "dport"), resolved, ports_contacted, list_rows)
+    return port_scans(rows, _port(packets, "dport"), resolved, ports_contacted)
 
 
 def detect_host_scanning(packets: DataFrame, threshold: int = 50, time_window: str = "1m") -> DataFrame:

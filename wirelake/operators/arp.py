@@ -8,11 +8,9 @@ from wirelake.errors import positive
 from wirelake.functions.addresses import ipv4_long
 from wirelake.functions.scalars import ratio
 from wirelake.operators.filters import arp_packets
-from wirelake.operators.slices import gather, sequential_share, with_previous
+from wirelake.operators.slices import sequential_share, with_previous
 from wirelake.schema import micros, optional, require
 
-LIST_ROWS = 100_000  # a longer list is spread over several rows
-
 # MAC addresses that bind to no host.
 NO_HOST_MACS = ("00:00:00:00:00:00", "ff:ff:ff:ff:ff:ff")
 
@@ -38,24 +36,21 @@ def get_arp_table(packets: DataFrame) -> DataFrame:
     )
 
 
-def _duplicates(packets: DataFrame, key: str, value: str, count: str, listed: str, list_rows: int) -> DataFrame:
-    """Keys bound to several values, with the sorted values; over `list_rows` values the list is cut by hash."""
-    table = get_arp_table(packets)
+def _duplicates(packets: DataFrame, key: str, value: str, count: str) -> DataFrame:
+    """Keys bound to several values: one row per key and value, with the number of values."""
+    table = get_arp_table(packets).select(key, value)
     several = table.groupBy(key).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1)
-    rows = table.join(several, key)
-    part = F.pmod(F.xxhash64(value), F.ceil(F.col(count) / list_rows)) + 1
-    return gather(rows, [key, count], F.col(count) > list_rows, part, F.col(value), listed).orderBy(
-        F.desc(count), key, "part")
+    return several.join(table, key).select(key, count, value)
 
 
-def get_duplicate_ips(packets: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Addresses claimed by several MACs."""
-    return _duplicates(packets, "ip_address", "mac_address", "mac_count", "macs", list_rows)
+def get_duplicate_ips(packets: DataFrame) -> DataFrame:
+    """Addresses claimed by several MACs, one row per MAC."""
+    return _duplicates(packets, "ip_address", "mac_address", "mac_count")
 
 
-def get_duplicate_macs(packets: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """MACs that claim several addresses."""
-    return _duplicates(packets, "mac_address", "ip_address", "ip_count", "ips", list_rows)
+def get_duplicate_macs(packets: DataFrame) -> DataFrame:
+    """MACs that claim several addresses, one row per address."""
+    return _duplicates(packets, "mac_address", "ip_address", "ip_count")
 
 
 def detect_arp_spoofing(packets: DataFrame, slice_width: str = "5m") -> DataFrame:

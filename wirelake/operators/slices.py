@@ -189,16 +189,27 @@ def sequential_share(df: DataFrame, keys: Sequence[str], value: Column, sums: di
         F.sum("_n").alias("n"), share.alias("sequential_share"), *[F.sum(n).alias(n) for n in sums])
 
 
-def gather(df: DataFrame, keys: Sequence[str], hot: Column, part: Column, entry: Column, name: str) -> DataFrame:
-    """Sorted array of all entries per key, whole, without one task ever holding a hot key.
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str = "position",
+                  total: str = "_total") -> DataFrame:
+    """Add `position` (from 1, in `order`, which begins with `_us`) and `total`: rows of the key.
 
-    Keys for which `hot` is false give one row with part 0. A hot key gives one row per `part` (a bounded
-    cut known from the row, such as a time slice); reading its rows in part order gives the whole list.
+    Rows are ranked inside (key, millisecond). Counts by millisecond are summed up inside each minute, and counts by
+    minute over the key, so a task holds one millisecond of a key, the milliseconds of a minute, or its minutes.
     """
-    return (
-        df.withColumn("part", F.when(hot, part).otherwise(F.lit(0)).cast("bigint"))
-        .groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias(name))
-    )
+    cut = [*keys, "_minute", "_ms"]
+    rows = df.withColumns({"_ms": F.floor(F.col("_us") / F.lit(1000)), "_minute": F.floor(F.col("_us") / F.lit(60_000_000))})
+    before = lambda by, at: F.coalesce(
+        F.sum("_n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
+    minutes = counts.groupBy(*keys, "_minute").agg(F.sum("_n").alias("_n")).select(
+        *keys, "_minute", before(keys, "_minute").alias("_earlier"), F.sum("_n").over(Window.partitionBy(*keys)).alias(total))
+    same = lambda a, b, columns: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    places = counts.withColumn("_before", before([*keys, "_minute"], "_ms")).alias("c") \
+        .join(minutes.alias("m"), same("c", "m", [*keys, "_minute"])) \
+        .select(*[f"c.{c}" for c in cut], (F.col("_before") + F.col("_earlier")).alias("_before"), total)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cut).orderBy(*order)))
+    return ranked.alias("r").join(places.alias("p"), same("r", "p", cut)) \
+        .select("r.*", total, (F.col("_before") + F.col("_rank")).alias(position)).drop("_ms", "_minute", "_rank")
 
 
 def match_first(df: DataFrame, keys: Sequence[str], request: Sequence[str], reply: Sequence[str],

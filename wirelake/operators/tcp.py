@@ -15,12 +15,10 @@ from wirelake.functions.lookups import TCP_FLAG_NAMES, TCP_SERVICES, lookup
 from wirelake.functions.scalars import has_flag, ratio, zero_if_null
 from wirelake.functions.windows import parse_time_window, tumbling, window_seconds
 from wirelake.operators.filters import tcp_packets
-from wirelake.operators.slices import gather, value_stats, with_time_slice
+from wirelake.operators.slices import value_stats, with_position
 from wirelake.schema import (CONNECTION_KEY, integral, length_column, micros, optional, require,
                              seconds_between)
 
-LIST_ROWS = 100_000  # a key with more entries than this spreads its list over several rows
-
 
 def _tcp(packets: DataFrame, *columns: str) -> DataFrame:
     require(packets, *columns)
@@ -126,28 +124,24 @@ def get_psh_count(packets: DataFrame) -> DataFrame:
     return _flag_count(packets, "P")
 
 
-def analyze_flag_sequences(packets: DataFrame, list_rows: int = LIST_ROWS, slice_width: str = "1s") -> DataFrame:
-    """Flags of each connection in time order, joined by spaces, and how many there are.
+def analyze_flag_sequences(packets: DataFrame) -> DataFrame:
+    """Flags of each connection in time order: one row per packet with its `position` (from 1) and the connection's
+    `packet_count`. `flag_text` joins the flags of chosen connections.
 
-    `packet_count` is the connection's total. A connection with more than `list_rows` flags gives one row
-    per time slice (`part` > 0, in time order) instead of one endless string; nothing is left out.
+    Every connection has this grain, whatever its size; equal times are ordered by sequence number, then flags.
     """
-    tcp = _tcp(packets, *CONNECTION_KEY, "TCP_flags", "timestamp").where(F.col("TCP_flags").isNotNull())
-    tcp = with_time_slice(tcp.select(*CONNECTION_KEY, "TCP_flags", micros(packets).alias("_us"),
-                                     optional(packets, "TCP_seq", "bigint").alias("_seq")), slice_width)
-    totals = tcp.groupBy(*CONNECTION_KEY).agg(F.count(F.lit(1)).alias("_total"))
-    hot = totals.where(F.col("_total") > list_rows).select(*CONNECTION_KEY, F.col("_total").alias("_hot"))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in CONNECTION_KEY]
-    marked = tcp.alias("t").join(hot.alias("h"), same, "left").select("t.*", "_hot")
-    lists = gather(marked, [*CONNECTION_KEY, "_hot"], F.col("_hot").isNotNull(), F.col("_slice"),
-                   F.struct("_us", "_seq", "TCP_flags"), "_flags")
-    return (
-        lists.select(
-            *CONNECTION_KEY, "part",
-            F.array_join(F.transform("_flags", lambda e: e["TCP_flags"]), " ").alias("flag_sequence"),
-            F.coalesce("_hot", F.size("_flags").cast("bigint")).alias("packet_count"))
-        .orderBy(F.desc("packet_count"), *CONNECTION_KEY, "part")
-    )
+    tcp = _tcp(packets, *CONNECTION_KEY, "TCP_flags", "timestamp").where(
+        F.col("TCP_flags").isNotNull() & F.col("timestamp").isNotNull())
+    tcp = tcp.select(*CONNECTION_KEY, "TCP_flags", micros(packets).alias("_us"), optional(packets, "TCP_seq", "bigint").alias("_seq"))
+    placed = with_position(tcp, CONNECTION_KEY, ["_us", "_seq", "TCP_flags"], total="packet_count")
+    return placed.select(*CONNECTION_KEY, "position", "TCP_flags", "packet_count")
+
+
+def flag_text(sequences: DataFrame) -> DataFrame:
+    """Flags joined by spaces, one row per connection: for connections that the caller has chosen."""
+    entries = F.array_sort(F.collect_list(F.struct("position", "TCP_flags")))
+    return sequences.groupBy(*CONNECTION_KEY, "packet_count").agg(
+        F.array_join(F.transform(entries, lambda e: e["TCP_flags"]), " ").alias("flag_sequence"))
 
 
 def get_window_size_stats(packets: DataFrame) -> DataFrame:
@@ -260,13 +254,12 @@ def scan_config(config: PortScanConfig | str | None, threshold: int | None, time
                               time_window or default.time_window)
 
 
-def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_contacted: bool = True,
-               list_rows: int = LIST_ROWS) -> DataFrame:
+def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_contacted: bool = True) -> DataFrame:
     """Pairs of hosts with more than `config.threshold` distinct destination ports in a tumbling window.
 
     The distinct count shuffles on (window, pair, port), so a scanner that sends a third of all packets is
-    spread over its ports. `ports_contacted` (every port in time order, repeats kept) reads the packets again
-    for the pairs found; a window with more than `list_rows` packets gives one row per second of it (`part`).
+    spread over its ports. With `ports_contacted` the packets of the pairs found are read again: one row per
+    packet with a port, in time order (`position`, from 1), repeats kept. Every scan has this grain, whatever its size.
     """
     positive("threshold", config.threshold)
     base = packets.select(F.col("IP_src").alias("scanner_ip"), F.col("IP_dst").alias("target_ip"), "timestamp",
@@ -283,21 +276,19 @@ def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_c
         .withColumn("severity", F.when(F.col("unique_ports") > 50, "critical")
                     .when(F.col("unique_ports") > 30, "high").otherwise("medium"))
     )
-    if ports_contacted:
-        rows = with_time_slice(base.withColumn("_us", micros(base)), "1s")
-        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
-        rows = rows.alias("r").join(found.alias("f"), same).select("f.*", "r._us", "r._slice", "r._port")
-        lists = gather(rows, found.columns, F.col("total_packets") > list_rows, F.col("_slice"),
-                       F.when(F.col("_port").isNotNull(), F.struct("_us", "_port")), "_ports")
-        found = lists.select(*found.columns, "part",
-                             F.transform("_ports", lambda e: e["_port"]).alias("ports_contacted"))
-    return found.orderBy(F.desc("unique_ports"), *key, *(["part"] if ports_contacted else []))
+    if not ports_contacted:
+        return found.orderBy(F.desc("unique_ports"), *key)
+    rows = base.withColumn("_us", micros(base)).where(F.col("_port").isNotNull())
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
+    rows = rows.alias("r").join(found.alias("f"), same).select("f.*", "r._us", "r._port")
+    placed = with_position(rows, key, ["_us", "_port"])
+    return placed.select(*found.columns, "position", F.col("_port").alias("port"))
 
 
 def detect_port_scanning(packets: DataFrame, config: PortScanConfig | str | None = None,
                          threshold: int | None = None, time_window: str | None = None,
-                         ports_contacted: bool = True, list_rows: int = LIST_ROWS) -> DataFrame:
+                         ports_contacted: bool = True) -> DataFrame:
     """TCP port scans; see `port_scans`. Profiles: aggressive, balanced (default), stealth, honeypot."""
     tcp = _tcp(packets, "timestamp", "IP_src", "IP_dst", "TCP_dport")
     resolved = scan_config(config, threshold, time_window, SCAN_PROFILES["balanced"])
-    return port_scans(tcp, integral(tcp, "TCP_dport").cast("int"), resolved, ports_contacted, list_rows)
+    return port_scans(tcp, integral(tcp, "TCP_dport").cast("int"), resolved, ports_contacted)
