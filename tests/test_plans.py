@@ -23,6 +23,12 @@ def test_filters_and_columns_reach_the_scan(spark, small_dir, tmp_path):
     assert "EqualTo(IP_proto,6)" in text and "ReadSchema: struct<IP_proto:int,TCP_flags:string>" in text
     text = plan_of(anomaly.detect_port_scanning(packets, ports_contacted=False).where("scanner_ip = '10.0.9.9'"))
     assert "IP_src" in text.split("ReadSchema")[1] and "raw_size" not in text
+    from wirelake.plans import workflows
+
+    for check in (workflows.check_scanning_behavior, workflows.check_attack_patterns):
+        text = plan_of(check(packets, "10.0.9.9"))
+        for scan in text.split("FileScan")[1:]:
+            assert "EqualTo(IP_src,10.0.9.9)" in scan.split("PushedFilters")[1].split("ReadSchema")[0]
     text = plan_of(get_flow_by_id(packets, "10.0.8.8:20501->93.184.216.34:443:TCP"))
     pushed = text.split("PushedFilters")[1].split("ReadSchema")[0]
     assert "EqualTo(IP_src,10.0.8.8)" in pushed and "EqualTo(TCP_sport,20501)" in pushed

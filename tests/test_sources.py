@@ -11,6 +11,7 @@ from wirelake.errors import InvalidValueError
 from wirelake.operators import summary
 from wirelake.schema import NESTED_SCHEMA, PACKET_SCHEMA
 from wirelake.sources import nested, parquet
+from wirelake.sources.events_view import packets_from_folder
 
 
 @pytest.fixture
@@ -117,3 +118,39 @@ def test_summary_export(spark, frame, tmp_path, kind):
     reader = spark.read.option("header", True).format(kind).schema("category string, metric string, value string")
     got = {(r.category, r.metric): r.value for r in reader.load(str(tmp_path / kind)).collect()}
     assert got["packet_counts", "total"] == "3" and got["general", "unique_hosts"] == "4" and got["protocols", "6"] == "1"
+
+
+def test_layers_without_fields_take_nothing_away(spark):
+    from wirelake.schema import NESTED_SCHEMA
+
+    rows = [(0.0, [("TCP", {"sport": "1", "weird": "w"}), ("X", {"a": "b"}), ("Y", None)], 1),
+            (0.0, [("TCP", {"sport": "1", "dport": "2"}), ("TCP", None)], 2),
+            (0.0, [("TCP", {"x_y": "known"}), ("TCP_x", {"y": "unknown"}), ("TCP", {"x_y": "later"})], 3), (0.0, None, 4)]
+    df = spark.createDataFrame(rows, "timestamp double, layers array<struct<layer_name string, fields map<string,string>>>, raw_size int")
+    flat = {r.raw_size: r for r in nested.flatten_packets(df.select(*[f.name for f in NESTED_SCHEMA])).collect()}
+    assert flat[1].extras == {"TCP_weird": "w", "X_a": "b"} and flat[1].TCP_sport == 1
+    assert (flat[2].TCP_sport, flat[2].TCP_dport) == (1, 2) and flat[3].extras == {"TCP_x_y": "later"} and flat[4].extras is None
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from wirelake.session import scratch_path
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(far, "x")
+    far.conf.get = lambda *_: "hdfs://shared"
+    assert scratch_path(far, "x").startswith("hdfs://shared/x-")
+
+
+def test_describe_takes_every_column(spark, small_dir, tmp_path):
+    from wirelake.operators.filters import describe
+
+    parquet.save_packets(packets_from_folder(spark, small_dir), str(tmp_path / "p"))
+    packets = parquet.load_landed(spark, str(tmp_path / "p"))
+    rows = {r["column"]: r for r in describe(packets).collect()}
+    assert set(rows) == set(packets.columns) and rows["timestamp"].p25 < rows["timestamp"].p75
+    odd = spark.createDataFrame([(True, 0.5), (False, 1.5), (None, None)], "b boolean, d double")
+    rows = {r["column"]: r for r in describe(odd).collect()}
+    assert (rows["d"].mean, rows["d"].p50, rows["b"].mean, rows["b"].null_count) == (1.0, 1.0, 0.5, 1)

@@ -111,9 +111,26 @@ def _nested(p: DataFrame) -> DataFrame:
 def _json_round_trip(p: DataFrame) -> DataFrame:
     from wirelake.schema import NESTED_SCHEMA
 
-    texts = nested.to_json(_nested(p))
+    texts = nested.to_json(_nested(p)).where("value not like '%\"total_packets\"%'")
     back = texts.select(F.from_json("value", NESTED_SCHEMA).alias("x")).select("x.*")
-    return nested.flatten_packets(back).select(*_TEXT_COLUMNS)
+    return _filled(nested.flatten_packets(back).select(*_COLUMNS))
+
+
+def _json_total(p: DataFrame) -> DataFrame:
+    texts = nested.to_json(_nested(p)).where("value like '%\"total_packets\"%'")
+    return texts.select(F.get_json_object("value", "$.total_packets").cast("bigint").alias("total_packets"))
+
+
+def _odd_layers(p: DataFrame) -> DataFrame:
+    """Every packet with layers that have no fields, come twice, or whose unknown fields come to one name."""
+    fields = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in kv])
+    layer = lambda name, f: F.struct(F.lit(name).alias("layer_name"), f.alias("fields"))
+    none = F.lit(None).cast("map<string,string>")
+    layers = F.array(
+        layer("TCP", fields("sport", F.col("raw_size"), "x_y", F.lit("known"))), layer("TCP", none),
+        layer("TCP_x", fields("y", F.lit("unknown"))), layer("X", fields("a", F.col("IP_len"))), layer("Y", none))
+    odd = nested.flatten_packets(p.select(F.lit(0.0).alias("timestamp"), layers.alias("layers"), "raw_size"))
+    return odd.groupBy("raw_size", "TCP_sport", *[F.col("extras")[k].alias(k) for k in ("TCP_x_y", "X_a")]).agg(F.count(F.lit(1)).alias("packets"))
 
 
 _LAYER_TESTS = {"IP": "IP_src IS NOT NULL", "TCP": "TCP_sport IS NOT NULL", "UDP": "UDP_sport IS NOT NULL",
@@ -143,7 +160,11 @@ SOURCES = {
             f"{_SUMMARY_SQL} SELECT s.*, format FROM s, (SELECT unnest(['json', 'csv', 'parquet']) AS format)")),
     "nested_flatten": packets(
         lambda p: _filled(nested.flatten_packets(_nested(p)).select(*_COLUMNS)), _filled_sql()),
-    "nested_json_export": packets(_json_round_trip, f"SELECT {_HASHED} FROM p"),
+    "nested_json_export": packets(_json_round_trip, _filled_sql()),
+    "nested_json_total": packets(_json_total, "SELECT count(*) AS total_packets FROM p"),
+    "nested_odd_layers": packets(
+        _odd_layers, "SELECT raw_size, CAST(raw_size AS INTEGER) AS \"TCP_sport\", 'known' AS \"TCP_x_y\", "
+        "CAST(IP_len AS VARCHAR) AS \"X_a\", count(*) AS packets FROM p GROUP BY ALL"),
     "nested_layer_stats": packets(
         lambda p: nested.show_stats(_nested(p)), " UNION ALL ".join(
             f"SELECT '{name}' AS layer_name, count(*) FILTER (WHERE {test}) AS packets, "
@@ -167,8 +188,25 @@ _ORDER = ", ".join(f"{c} {{0}} NULLS LAST" for c in _COLUMNS)
 _DNS = "UDP_sport = 53 OR UDP_dport = 53 OR TCP_sport = 53 OR TCP_dport = 53"
 
 
-def _describe_sql(column: str, value: str) -> str:
-    q = lambda f: f"round({f}, 6)"
+def _sampled(p: DataFrame) -> DataFrame:
+    """Properties of a sample: its rows, its different ones, and those that the table holds."""
+    columns = ["timestamp", "IP_src", "IP_dst", "TCP_sport", "TCP_dport", "UDP_sport", "TCP_seq", "DNS_id", "ARP_sender_ip", "raw_size"]
+    marks = p.select(F.xxhash64(*columns).alias("mark")).withColumn("row", F.monotonically_increasing_id())
+    picked = filters.sample(marks, 100, seed=7)
+    known = marks.select(F.col("mark").alias("own")).distinct()
+    return picked.join(known, picked["mark"] == known["own"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("n_different"), F.count("own").alias("n_known"))
+
+
+def _described(p: DataFrame) -> DataFrame:
+    """All columns; seconds of the timestamp to a thousandth, as both engines add up large numbers."""
+    rows = filters.describe(p, *_COLUMNS)
+    return rows.select(*[F.when(F.col("column") == "timestamp", F.round(c, 3)).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c)
+                         for c, t in rows.dtypes])
+
+
+def _describe_sql(column: str, value: str, unit: str = "", digits: int = 6) -> str:
+    q = lambda f: f"round({f} {unit}, {digits})"
     return (f"SELECT '{column}' AS \"column\", count({value}) AS count, count(*) - count({value}) AS null_count, "
             f"{q(f'stddev_samp({value})')} AS std, {q(f'avg({value})')} AS mean, {q(f'CAST(min({value}) AS DOUBLE)')} AS min, "
             f"{q(f'quantile_cont({value}, 0.25)')} AS p25, {q(f'quantile_cont({value}, 0.5)')} AS p50, "
@@ -197,12 +235,13 @@ FILTERS = {
         lambda p: _filled(filters.head(p, 25)), _filled_sql(source=f"(SELECT * FROM p ORDER BY {_ORDER.format('ASC')} LIMIT 25)")),
     "rows_tail": packets(
         lambda p: _filled(filters.tail(p, 25)), _filled_sql(source=f"(SELECT * FROM p ORDER BY {_ORDER.format('DESC')} LIMIT 25)")),
-    "rows_sample": packets(lambda p: filters.sample(p, 100, seed=7), None),
-    "rows_describe": packets(
-        lambda p: filters.describe(p, "raw_size", "IP_len", "TCP_dport", "TCP_seq", "TCP_flags", "DNS_qname"), " UNION ALL ".join(
-            [_describe_sql(c, c) for c in ("raw_size", "IP_len", "TCP_dport", "TCP_seq")] + [
-                f"SELECT '{c}', count({c}), count(*) - count({c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, min({c}), max({c}) FROM p"
-                for c in ("TCP_flags", "DNS_qname")])),
+    "rows_sample": packets(
+        _sampled, "SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_different, least(100, count(*)) AS n_known "
+        "FROM (SELECT row_number() OVER () AS r FROM p)"),
+    "rows_describe": packets(_described, " UNION ALL ".join(
+        [_describe_sql(c, c) for c in _COLUMNS if c in _INTS] + [_describe_sql("timestamp", "epoch_us(timestamp)", "/ 1e6", 3)] + [
+            f"SELECT '{c}', count({c}), count(*) - count({c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, min({c}), max({c}) FROM p"
+            for c in _COLUMNS if c not in _INTS and c != "timestamp"])),
 }
 
 

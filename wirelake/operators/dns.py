@@ -99,12 +99,15 @@ def detect_dns_tunneling(packets: DataFrame, length_threshold: int = 100, min_en
     positive("length_threshold", length_threshold)
     size = F.length("DNS_qname")
     flagged = size > length_threshold
-    entropy = string_entropy(F.col("DNS_qname"))
+    queries = _queries(packets)
+    if min_entropy is None:
+        queries = queries.where(flagged)
+    queries = compute_once(queries, "_entropy", string_entropy(F.col("DNS_qname")))
     if min_entropy is not None:
-        flagged = flagged | (entropy >= min_entropy)
-    return _queries(packets).where(flagged).select(
+        queries = queries.where(flagged | (F.col("_entropy") >= min_entropy))
+    return queries.select(
         "timestamp", F.col("src_ip").alias("IP_src"), F.col("dst_ip").alias("IP_dst"), "DNS_qname",
-        size.alias("query_length"), entropy.alias("entropy"),
+        size.alias("query_length"), F.col("_entropy").alias("entropy"),
         F.coalesce(F.col("DNS_qtype") == 16, F.lit(False)).alias("is_txt"))
 
 

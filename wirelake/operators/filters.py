@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wirelake.errors import EmptyTableError, InvalidValueError, one_of, positive
+from wirelake.errors import EmptyTableError, one_of, positive
 from wirelake.operators.slices import value_stats
 from wirelake.schema import PORT_COLUMNS, integral, micros, require
 
@@ -131,13 +131,15 @@ def sample(packets: DataFrame, n: int = 10, seed: int | None = None) -> DataFram
 def describe(packets: DataFrame, *columns: str) -> DataFrame:
     """One row per column: count, null_count, mean, std, min, 25 / 50 / 75 %, max.
 
-    Numbers and timestamps (as epoch seconds) get exact linear-interpolated quartiles, text gets counts and
-    text bounds. All integer columns share one shuffle of (column, value, count).
+    Integers, booleans (0 and 1) and timestamps (as epoch seconds) get exact linear-interpolated quartiles, fractions
+    the same to a millionth; text gets counts and text bounds, other types counts only. All number columns share one
+    shuffle of (column, value, count); values are taken from their column's minimum on, so that times, which lie close
+    together far from zero, fall into many buckets.
     """
     columns = list(columns) or packets.columns
     fields = {f.name: f.dataType for f in packets.schema}
     require(packets, *columns)
-    numbers, texts = {}, []
+    numbers, texts, others = {}, [], []
     for name in columns:
         kind = fields[name]
         if isinstance(kind, T.IntegralType):
@@ -146,15 +148,23 @@ def describe(packets: DataFrame, *columns: str) -> DataFrame:
             numbers[name] = micros(packets, name)
         elif isinstance(kind, T.StringType):
             texts.append(name)
+        elif isinstance(kind, T.BooleanType):
+            numbers[name] = F.col(name).cast("int").cast("bigint")
+        elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+            numbers[name] = F.round(F.col(name).cast("double") * 1e6).try_cast("bigint")
         else:
-            raise InvalidValueError(f"describe covers integer, timestamp and string columns, not {name}: {kind}")
+            others.append(name)
     parts = []
     if numbers:
-        timed = [n for n in numbers if isinstance(fields[n], (T.TimestampNTZType, T.TimestampType))]
+        timed = [n for n in numbers if isinstance(fields[n], (T.TimestampNTZType, T.TimestampType, T.FractionalType))]
         is_time = F.col("column").isin(timed) if timed else F.lit(False)
         entries = F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in numbers.items()])
         long = packets.select(F.explode(entries).alias("x")).select("x.*")
-        quartiles = value_stats(long, F.col("value"), {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"])
+        lows = long.groupBy("column").agg(F.min("value").alias("low"))
+        placed = long.join(F.broadcast(lows), "column")  # one row per described column
+        levels = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+        quartiles = value_stats(placed, F.col("value") - F.col("low"), levels, ["column"]).join(F.broadcast(lows), "column") \
+            .withColumns({c: F.col(c) + F.col("low") for c in ("min", "avg", "max", *levels)})
         moments = long.groupBy("column").agg(
             F.count(F.when(F.col("value").isNull(), 1)).alias("null_count"), F.stddev_samp("value").alias("std"))
         unit = F.when(is_time, F.lit(1e6)).otherwise(F.lit(1.0))
@@ -169,4 +179,11 @@ def describe(packets: DataFrame, *columns: str) -> DataFrame:
             packets.select(F.explode(entries).alias("x")).select("x.*").groupBy("column").agg(
                 F.count("value").alias("count"), F.count(F.when(F.col("value").isNull(), 1)).alias("null_count"),
                 F.min("value").alias("min_text"), F.max("value").alias("max_text")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if others:
+        counts = F.array(*[F.struct(F.lit(n).alias("column"), F.count(n).alias("count"), F.count_if(F.col(n).isNull()).alias("null_count"))
+                           for n in others])
+        parts.append(packets.agg(counts.alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    full = ["column", "count", "null_count", "std", "mean", "min", "p25", "p50", "p75", "max", "min_text", "max_text"]
+    made = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    kinds = {"column": "string", "count": "bigint", "null_count": "bigint", "min_text": "string", "max_text": "string"}
+    return made.select(*[F.col(c) if c in made.columns else F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in full])

@@ -181,15 +181,17 @@ def check_connections(packets: DataFrame, ip: str) -> DataFrame:
 
 
 def check_scanning_behavior(packets: DataFrame, ip: str, threshold: int = 50, time_window: str = "1m") -> DataFrame:
-    scans = anomaly.detect_port_scanning(packets, threshold=threshold, time_window=time_window, ports_contacted=False)
+    own = find_ip_information(packets, ip)  # plain comparisons, which reach the scan
+    scans = anomaly.detect_port_scanning(own, threshold=threshold, time_window=time_window, ports_contacted=False)
     return finding(scans.where(F.col("scanner_ip") == ip), "high", "Port Scanning", f"IP {ip} is performing port scanning")
 
 
 def check_attack_patterns(packets: DataFrame, ip: str, syn: int = 500, udp: int = 300) -> DataFrame:
+    own = find_ip_information(packets, ip)
     return union([
-        finding(anomaly.detect_syn_flood(packets, syn).where(F.col("src_ip") == ip), "critical", "SYN Flood",
+        finding(anomaly.detect_syn_flood(own, syn).where(F.col("src_ip") == ip), "critical", "SYN Flood",
                 f"IP {ip} is source of SYN flood attack"),
-        finding(anomaly.detect_udp_flood(packets, udp).where(F.col("src_ip") == ip), "high", "UDP Flood",
+        finding(anomaly.detect_udp_flood(own, udp).where(F.col("src_ip") == ip), "high", "UDP Flood",
                 f"IP {ip} is source of UDP flood attack"),
     ])
 

@@ -30,9 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a table that cuts lineage or is passed between jobs.
 
     On a cluster it lies in the shared folder named by `spark.checkpoint.dir`, so every executor sees it
-    and it outlives any of them. Only where that is unset (local tests) is a temporary folder used.
+    and it outlives any of them. Where that is unset, a local session takes a temporary folder; any other raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="wirelake-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wirelake.functions.scalars import epoch_to_timestamp
 from wirelake.schema import LAYER_FIELDS, NESTED_SCHEMA, PACKET_SCHEMA, micros
@@ -15,8 +15,9 @@ _NO_FIELDS = "cast(map() as map<string,string>)"
 
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
-    """Nested packets from JSON lines; the schema is given, so nothing is inferred."""
-    return spark.read.schema(NESTED_SCHEMA).json(path)
+    """Nested packets from JSON lines; the schema is given, so nothing is inferred. The line with the total is left out."""
+    lines = spark.read.schema(T.StructType([*NESTED_SCHEMA.fields, T.StructField("total_packets", T.LongType())])).json(path)
+    return lines.where(F.col("total_packets").isNull()).drop("total_packets")
 
 
 def has_layer(name: str, layers: str = "layers") -> Column:
@@ -30,10 +31,11 @@ def get_layer(name: str, layers: str = "layers") -> Column:
 
 
 def _merge(layers: Column, fields) -> Column:
-    """Fields of all given layers as one map; where a name comes twice the later layer wins."""
+    """Fields of all given layers as one map; where a name comes twice the later layer wins. No fields add nothing."""
+    own = lambda x: F.coalesce(fields(x), F.expr(_NO_FIELDS))
     later = lambda acc, x: F.map_concat(
-        F.map_filter(acc, lambda k, _: ~F.coalesce(F.map_contains_key(fields(x), k), F.lit(False))), fields(x))
-    return F.aggregate(layers, F.expr(_NO_FIELDS), later)
+        F.map_filter(acc, lambda k, _: ~F.map_contains_key(own(x), k)), own(x))
+    return F.coalesce(F.aggregate(layers, F.expr(_NO_FIELDS), later), F.expr(_NO_FIELDS))
 
 
 def _named(name: str):
@@ -53,7 +55,8 @@ def flatten_packets(nested: DataFrame) -> DataFrame:
     """One wide row per packet, in the fixed packet schema.
 
     A value that does not fit its column's type is null. Fields without a column go to `extras` under
-    `<layer>_<field>`. The Ethernet layer may also be called Ether.
+    `<layer>_<field>`; where two fields come to the same name, that of a known layer wins. The Ethernet layer may
+    also be called Ether. A layer without fields adds nothing and takes nothing away.
     """
     known = F.array(*[F.lit(x) for x in (*LAYERS, "Ether")])
     columns = {f"_{name}": _merge(F.filter("layers", _named(name)), lambda x: x["fields"]) for name in LAYERS}
@@ -70,7 +73,7 @@ def flatten_packets(nested: DataFrame) -> DataFrame:
             projected.append(F.try_element_at(F.col(f"_{layer}"), F.lit(field))
                              .try_cast(PACKET_SCHEMA[name].dataType).alias(name))
         unnamed.append(_prefixed(_without(F.col(f"_{layer}"), fields), F.lit(f"{layer}_")))
-    extras = F.map_concat(F.col("_extras"), *unnamed)
+    extras = _merge(F.array(F.col("_extras"), *unnamed), lambda x: x)
     projected.append(F.when(F.size(extras) > 0, extras).alias("extras"))
     return wide.select(*projected)
 
@@ -92,13 +95,15 @@ def nest_packets(packets: DataFrame) -> DataFrame:
 
 
 def to_json(nested: DataFrame) -> DataFrame:
-    """One JSON text per packet."""
-    return nested.select(F.to_json(F.struct("timestamp", "layers", "raw_size")).alias("value"))
+    """JSON lines: one text with `total_packets`, and one for each packet."""
+    packets = nested.select(F.to_json(F.struct("timestamp", "layers", "raw_size")).alias("value"))
+    total = nested.agg(F.count(F.lit(1)).alias("total_packets"))
+    return total.select(F.to_json(F.struct("total_packets")).alias("value")).unionByName(packets)
 
 
 def write_json(nested: DataFrame, path: str) -> None:
-    """JSON lines, one packet each; `show_stats` or `count` gives total_packets."""
-    nested.select("timestamp", "layers", "raw_size").write.mode("overwrite").json(path)
+    """JSON lines: total_packets, and one line for each packet; `read_nested` reads them."""
+    to_json(nested).write.mode("overwrite").text(path)
 
 
 def show_stats(nested: DataFrame) -> DataFrame:
