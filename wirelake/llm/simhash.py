@@ -287,10 +287,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = marked.groupBy(F.coalesce("component_id", "simhash").alias("group"), F.col("component_id").isNull().alias("none")) \
         .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "check")).alias("best")).select("best.id", "best.check")
     chosen = chosen.select(_no_null("id").alias("key id"), F.col("check").alias("key check"))
-    rows = docs.select(*[quoted(x) for x in docs.columns], _no_null(id_col).alias("key id"),
+    rows = docs.select(*[quoted(x).alias(f"c{i}") for i, x in enumerate(docs.columns)], _no_null(id_col).alias("key id"),
                        F.xxhash64(quoted(id_col).cast("long"), quoted(text_col)).alias("key check"))
     # Rows equal in id and text are one document; both steps need the rows of a key together, so they share a shuffle.
-    return rows.join(chosen, ["key id", "key check"]).dropDuplicates(["key id", "key check"]).select(*map(quoted, docs.columns))
+    kept = rows.join(chosen, ["key id", "key check"]).dropDuplicates(["key id", "key check"])
+    return kept.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
 
 
 def _no_null(name: str):
