@@ -571,15 +571,18 @@ FROM s WHERE packets >= 5 AND m > 0 AND sd / m <= 0.1"""),
         lambda p: flow.calculate_inter_arrival_times(p, "global"), _gaps("", "WITH a AS (SELECT timestamp FROM p)", "a")),
     "flow_periodic_patterns": packets(
         lambda p: flow.detect_periodic_patterns(p, min_strength=0.005), """
-WITH b AS (SELECT IP_src AS src_ip, epoch_us(timestamp) // 1000000 AS t, count(*) AS x FROM p WHERE IP_src IS NOT NULL
+WITH f AS (SELECT IP_src AS src_ip, epoch_us(timestamp) // 1000000 AS t, count(*) AS x FROM p WHERE IP_src IS NOT NULL
            GROUP BY 1, 2),
-s AS (SELECT src_ip, sum(x) AS n, sum(x * x) AS xx, max(t) - min(t) + 1 AS bins FROM b GROUP BY 1),
-c AS (SELECT a.src_ip, z.t - a.t AS lag, sum(a.x * z.x) AS c FROM b a JOIN b z ON a.src_ip = z.src_ip
-      AND z.t > a.t AND z.t <= a.t + 300 GROUP BY 1, 2),
-r AS (SELECT src_ip, lag, (c - (n / bins) * (n / bins) * (bins - lag)) / (xx - (n / bins) * (n / bins) * bins) AS st
-      FROM c JOIN s USING (src_ip) WHERE bins - 1 >= lag * 3)
-SELECT src_ip, CAST(lag AS DOUBLE) AS period_s, round(round(st, 9), 6) AS strength FROM r WHERE st >= 0.005
-QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY round(st, 9) DESC, lag) = 1"""),
+b AS (SELECT src_ip, level, t // CAST(pow(10, level) AS BIGINT) AS t, sum(x) AS x
+      FROM (SELECT *, unnest(range(0, 7)) AS level FROM f) GROUP BY ALL),
+s AS (SELECT src_ip, level, sum(x) AS n, sum(x * x) AS xx, max(t) - min(t) + 1 AS bins FROM b GROUP BY 1, 2),
+c AS (SELECT a.src_ip, a.level, z.t - a.t AS lag, sum(a.x * z.x) AS c FROM b a JOIN b z ON a.src_ip = z.src_ip
+      AND a.level = z.level AND z.t > a.t AND z.t <= a.t + 300 GROUP BY ALL),
+r AS (SELECT src_ip, level, lag, (c - (n / bins) * (n / bins) * (bins - lag)) / (xx - (n / bins) * (n / bins) * bins) AS st
+      FROM c JOIN s USING (src_ip, level) WHERE bins - 1 >= lag * 3 AND (level = 0 OR lag > 30)
+      AND xx - (n / bins) * (n / bins) * bins <> 0)
+SELECT src_ip, lag * pow(10.0, level) AS period_s, round(round(st, 9), 6) AS strength FROM r WHERE st >= 0.005
+QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY level, round(st, 9) DESC, lag) = 1"""),
 }
 
 _PORT = "coalesce(TCP_dport, UDP_dport)"

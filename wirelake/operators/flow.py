@@ -234,62 +234,67 @@ def calculate_inter_arrival_times(packets: DataFrame, group_by: str = "flow", sl
     return stats.where(F.col("n_intervals") > 0).drop("packets")
 
 
-def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_width: str = "1s", max_lag: int = 300,
-                             min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "7d") -> DataFrame:
+def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_width: str = "1s", lags: int = 300,
+                             min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "7d", levels: int = 7) -> DataFrame:
     """Dominant period of the packets of each source (or of one), by autocorrelation of packets per bin.
 
     With x the counts per bin, T bins, C(k) = sum x[t] x[t+k]:
     strength(k) = (C(k) - (T-k) mean^2) / (C(0) - T mean^2), which favours a period over its multiples.
-    The largest wins, the shortest lag on ties; the series must span `min_periods` periods.
+    Bins grow tenfold from level to level (7 levels from 1 s on: periods up to 300 bins of 10^6 s); a level looks at
+    the lags that finer ones do not reach, up to `lags` bins. The finest level with a period that is strong enough
+    wins, in it the largest strength, the shortest lag on ties; the series must span `min_periods` periods.
 
     Packets are counted per (source, bin) first. C(k) is summed over slices of the series, each with the next
-    `max_lag` bins as a halo, so one task holds at most one slice of one source: a bounded number of bins. Lag
-    products are exact integers computed by numpy inside the task; Spark sums them.
+    `lags` bins as a halo, so one task holds at most one slice of one source and level: a bounded number of bins. Lag
+    products are doubles, exact up to 2^53, made by numpy inside the task; Spark sums them.
     """
     bin_us, slice_us = window_micros(bin_width), window_micros(slice_width)
-    bins_per_slice = max(slice_us // bin_us, max_lag)
+    bins_per_slice = max(slice_us // bin_us, lags)
     rows = packets.select("timestamp", source_ip(packets).alias("src_ip")).where(
         F.col("src_ip").isNotNull() & F.col("timestamp").isNotNull())
     if ip is not None:
         rows = rows.where(F.col("src_ip") == ip)
-    bins = rows.groupBy("src_ip", F.floor(micros(rows) / F.lit(bin_us)).alias("t")).agg(
-        F.count(F.lit(1)).alias("x"))
+    finest = rows.groupBy("src_ip", F.floor(micros(rows) / F.lit(bin_us)).alias("t")).agg(F.count(F.lit(1)).alias("x"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("t") / F.lit(10 ** k)).alias("t"))
+                               for k in range(levels)])).alias("bin")
+    bins = finest.select("src_ip", "x", each).select("src_ip", "bin.level", "bin.t", "x").groupBy("src_ip", "level", "t") \
+        .agg(F.sum("x").cast("double").alias("x"))
 
     own = F.floor(F.col("t") / bins_per_slice)
-    near = F.col("t") - own * bins_per_slice < max_lag
-    sliced = bins.select("src_ip", "t", "x", own.alias("own"),
+    near = F.col("t") - own * bins_per_slice < lags
+    sliced = bins.select("src_ip", "level", "t", "x", own.alias("own"),
                          F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))).alias("slice"))
 
     def lag_products(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, x = pdf["t"].to_numpy(), pdf["x"].to_numpy()
         mine = (pdf["own"] == pdf["slice"]).to_numpy()
-        sums = np.zeros(max_lag + 1, dtype=np.int64)
-        for step in range(1, len(t)):  # the step-th neighbour of every bin; bins are distinct, so step <= max_lag
+        sums = np.zeros(lags + 1)
+        for step in range(1, len(t)):  # the step-th neighbour of every bin; bins are distinct, so step <= lags
             lag = t[step:] - t[:-step]
-            near = (lag <= max_lag) & mine[:-step]
-            if not (lag <= max_lag).any():
+            near = (lag <= lags) & mine[:-step]
+            if not (lag <= lags).any():
                 break
             np.add.at(sums, lag[near], (x[:-step] * x[step:])[near])
-        lags = np.flatnonzero(sums)
-        return pd.DataFrame({"src_ip": pdf["src_ip"].iloc[0], "lag": lags, "c": sums[lags]})
+        found = np.flatnonzero(sums)
+        return pd.DataFrame({"src_ip": pdf["src_ip"].iloc[0], "level": pdf["level"].iloc[0], "lag": found, "c": sums[found]})
 
     products = (
-        sliced.groupBy("src_ip", "slice").applyInPandas(lag_products, "src_ip string, lag long, c long")
-        .groupBy("src_ip", "lag").agg(F.sum("c").alias("c"))
+        sliced.groupBy("src_ip", "level", "slice").applyInPandas(lag_products, "src_ip string, level int, lag long, c double")
+        .where((F.col("level") == 0) | (F.col("lag") > lags // 10))
+        .groupBy("src_ip", "level", "lag").agg(F.sum("c").alias("c"))
     )
-    series = bins.groupBy("src_ip").agg(
-        F.sum("x").alias("n"), F.sum((F.col("x") * F.col("x")).cast("double")).alias("xx"),
-        (F.max("t") - F.min("t") + 1).alias("bins"))
+    series = bins.groupBy("src_ip", "level").agg(
+        F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), (F.max("t") - F.min("t") + 1).alias("bins"))
     mean = F.col("n") / F.col("bins")
     strength = F.try_divide(F.col("c") - mean * mean * (F.col("bins") - F.col("lag")),
                             F.col("xx") - mean * mean * F.col("bins"))
     return (
-        products.join(series, "src_ip").where(F.col("bins") - 1 >= F.col("lag") * min_periods)
+        products.join(series, ["src_ip", "level"]).where(F.col("bins") - 1 >= F.col("lag") * min_periods)
         .withColumn("strength", strength).where(F.col("strength") >= min_strength)
         .groupBy("src_ip")
-        .agg(F.max(F.struct(F.round("strength", 9).alias("s"), (-F.col("lag")).alias("l"))).alias("best"))
-        .select("src_ip", (-F.col("best.l") * F.lit(window_seconds(bin_width))).alias("period_s"),
-                F.col("best.s").alias("strength"))
+        .agg(F.min(F.struct("level", (-F.round("strength", 9)).alias("s"), "lag")).alias("best"))
+        .select("src_ip", (F.col("best.lag") * F.pow(F.lit(10.0), F.col("best.level")) * F.lit(window_seconds(bin_width))).alias("period_s"),
+                (-F.col("best.s")).alias("strength"))
         .orderBy(F.desc("strength"), "src_ip")
     )
