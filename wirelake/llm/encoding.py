@@ -10,8 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Chunks remembered; forgotten all at once when full, which changes no result.
-REMEMBERED = 300_000
+import numpy as np
+
+#: Chunks remembered of those met once, and half of those met again; what is forgotten changes no result.
+REMEMBERED = 150_000
+#: Chunks encoded in one call.
+BATCH = 200
 _ODD = re.compile("[\x1c-\x1f\x85᠎]")
 _CHUNK = re.compile(r"\s*\S+|\s+")
 
@@ -25,30 +29,59 @@ def words_only(text: str) -> list[str]:
 
 
 class Encoder:
-    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers.
+
+    New chunks are encoded many at a time in one text, with a special token of the vocabulary between them: the
+    library cuts texts there before all else. Chunks met in one slice of texts only are `young`; when these are too
+    many they are forgotten, so that the rare ones do not drive out the common.
+    """
 
-    def __init__(self, path: str, split: Callable[[str], list[str]]):
+    def __init__(self, path: str, split: Callable[[str], list[str]], remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.known = split, {}
+        self.joined, self.alone = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.alone.encode_special_tokens = True  # their strings in a text are ordinary text
+        specials = {i: t.content for i, t in self.joined.get_added_tokens_decoder().items() if t.special}
+        self.mark = max(specials)
+        self.between = specials[self.mark]
+        self.specials = list(specials.values())
+        self.split, self.remembered = split, remembered
+        self.known: dict[str, bytes] = {}
+        self.young: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         cut = [self.split(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*cut))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for chunk, made in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(made.ids, "<u4").tobytes()
+        seen = set().union(*cut)
+        self.young.difference_update(self.young.intersection(seen))
+        new = seen.difference(self.known)
+        if len(self.young) + len(new) > self.remembered:
+            for chunk in self.young:
+                del self.known[chunk]
+            self.young = set()
+        if len(self.known) > 2 * self.remembered:
+            self.known, self.young, new = {}, set(), seen
+        self.known.update(self.made(list(new)))
+        self.young.update(new)
         known = self.known
         return [b"".join([known[c] for c in x]) for x in cut]
 
+    def made(self, chunks: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        hold_special = [c for c in chunks if any(s in c for s in self.specials)]
+        for c in hold_special:
+            out[c] = np.array(self.alone.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+        if hold_special:
+            chunks = [c for c in chunks if c not in out]
+        for i in range(0, len(chunks), BATCH):
+            part = chunks[i:i + BATCH]
+            ids = np.array(self.joined.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark) * 4
+            raw = ids.tobytes()
+            ends = [*at.tolist(), len(raw)]
+            starts = [0, *(at + 4).tolist()]
+            out.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        return out
+
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
