@@ -6,9 +6,8 @@ import pyarrow.parquet as pq
 
 from tests.conftest import at
 from wirelake.operators import arp, flow
-from wirelake.plans import workflows
 from wirelake.streaming import alerts, detectors, ingest, stateful
-from wirelake.streaming.core import run_available
+from wirelake.streaming.core import run_available, run_to_end, with_last_packets
 
 SCHEMA = ("timestamp timestamp_ntz, IP_src string, IP_dst string, IP_proto int, IP_len int, TCP_sport int, TCP_dport int, "
           "TCP_flags string, ARP_sender_ip string, ARP_sender_mac string, ARP_target_ip string, raw_size bigint")
@@ -70,14 +69,23 @@ def test_merge_keeps_one_of_each(spark, tmp_path):
     assert [r.timestamp for r in got] == [at(0), at(1), at(2), at(3)]
 
 
-def test_alerts_are_stored_once(spark, tmp_path):
+def test_alerts_of_a_window_that_spans_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    stream = stream_of(spark, tmp_path / "in", [tcp_row(i, dport=i) for i in range(30)], [tcp_row(100)])
-    check = lambda p: workflows.check_port_scans(p, 25, "1m")
+    scan = [tcp_row(i, dport=i) for i in range(30)]
+    stream = stream_of(spark, tmp_path / "in", scan[20:], scan[:20], [tcp_row(2000)])
+    found = alerts.port_scan_alerts(detectors.live_port_scans(stream, threshold=25, time_window="1m"))
     for _ in range(2):  # the second start finds nothing new
-        alerts.write_alerts(stream, check, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
-    found = spark.read.parquet(f"{tmp_path}/t").collect()
-    assert [(r.category, r.n, r.details) for r in found] == [("Port Scan", 1, "Top scanner: a")]
+        alerts.write_alerts(found, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/t").collect()
+    assert [(r.category, r.host, r.description) for r in rows] == [("Port Scan", "a", "30 ports of b")]
+
+
+def test_the_end_of_the_input_closes_what_is_open(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    end = str(tmp_path / "end")
+    stream = with_last_packets(stream_of(spark, tmp_path / "in", [tcp_row(70), tcp_row(5)], [tcp_row(130), tcp_row(6)]), end)
+    rows = run_to_end(detectors.live_packet_rate(stream, "1m"), end, "t", 4).orderBy("window_start").collect()
+    assert [r.packet_count for r in rows] == [2, 1, 1]
 
 
 def test_landing_is_exactly_once(spark, tmp_path):

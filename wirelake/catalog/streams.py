@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelake.catalog.entry import bucket, tables
 from wirelake.catalog.packet_sql import oracle
-from wirelake.catalog.protocols import _FK, _FLOW_ROWS, _MATCHED, ENTRIES as DETECTORS
-from wirelake.catalog.reports import _scans, _tunnels
+from wirelake.catalog.protocols import _FK, _FLOW_ROWS, _MATCHED, _scan, ENTRIES as DETECTORS
+from wirelake.operators import dns
 from wirelake.operators.filters import udp_packets
-from wirelake.plans import workflows
 from wirelake.session import scratch_path
 from wirelake.sources import nested, parquet
 from wirelake.sources.events_view import packets_from_events, packets_from_folder
 from wirelake.streaming import alerts, detectors, ingest, stateful
-from wirelake.streaming.core import run_available, state_partitions
+from wirelake.streaming.core import run_available, run_to_end, with_last_packets
 
 _PARTITIONS = 8
 
@@ -28,17 +27,12 @@ def packet_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def live(build, sql: str | None):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return run_available(build(packet_stream(spark, folder)), "live", _PARTITIONS)
+        end = scratch_path(spark, "end")
+        return run_to_end(build(with_last_packets(packet_stream(spark, folder), end)), end, "live", _PARTITIONS)
 
     return tables(run, oracle(sql) if sql else None)
 
 
-def _closed(width: str, rows: str, test: str = "true") -> str:
-    """Rows of windows that end at or before the watermark, which follows the packets that pass the query's filter."""
-    return (f"SELECT t.* FROM ({rows}) t WHERE window_start + INTERVAL '{width}' <= "
-            f"(SELECT date_trunc('milliseconds', max(timestamp)) - INTERVAL '10 minutes' FROM p WHERE {test})")
-
-
 def _rate(test: str) -> str:
     return (f"SELECT {bucket('1 hour')} AS window_start, count(*) AS packet_count, CAST(coalesce(sum(IP_len), 0) AS BIGINT) "
             "AS byte_count, round(count(*) / 3600.0, 6) AS packets_per_second, round(coalesce(sum(IP_len), 0) / 3600.0, 6) "
@@ -57,21 +51,22 @@ def _ingested(spark: SparkSession, folder: str) -> DataFrame:
         "timestamp", "IP_src", "IP_dst", "TCP_flags", "DNS_qname", "ARP_sender_mac", "raw_size")
 
 
+_MERGE_KEY = ("TCP_seq", "TCP_flags", "DNS_id", "DNS_qr", "ICMP_type", "ICMP_id", "ARP_sender_ip", "ARP_sender_mac", "ARP_opcode", "raw_size")
+
+
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
     """Two captures of the same traffic; each packet is to be kept once."""
-    stream = packet_stream(spark, folder).where("IP_proto = 6")
-    both = ingest.merge_captures(stream, packet_stream(spark, folder).where("IP_proto = 6"), extra_key=("TCP_seq", "TCP_flags"))
-    rows = run_available(both.select("timestamp", "IP_src", "IP_dst", "TCP_sport", "TCP_dport", "TCP_seq"), "merged", _PARTITIONS)
+    both = ingest.merge_captures(packet_stream(spark, folder), packet_stream(spark, folder), extra_key=_MERGE_KEY)
+    rows = run_available(both.select("timestamp", "IP_src"), "merged", _PARTITIONS)
     return rows.groupBy("IP_src").agg(F.count(F.lit(1)).alias("packets"), F.min("timestamp").alias("first_seen"))
 
 
 def _alerts(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "alerts")
-    check = lambda batch: workflows.union([
-        workflows.check_dns_tunneling(batch), workflows.check_port_scans(batch, 25, "1m")])
-    with state_partitions(spark, _PARTITIONS):
-        alerts.write_alerts(packet_stream(spark, folder), check, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select("severity", "category", "description", "details", "n")
+    end = scratch_path(spark, "end")
+    stream = with_last_packets(packet_stream(spark, folder), end)
+    scans = run_to_end(alerts.port_scan_alerts(detectors.live_port_scans(stream, threshold=15, time_window="1m")), end, "alerts", _PARTITIONS)
+    tunnels = run_available(alerts.dns_tunneling_alerts(dns.detect_dns_tunneling(packet_stream(spark, folder))), "alerts", _PARTITIONS)
+    return scans.unionByName(tunnels)
 
 
 _BEHAVIOR = f"""
@@ -85,14 +80,12 @@ s AS (SELECT *, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (P
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY {_FK} ORDER BY timestamp RANGE UNBOUNDED PRECEDING) AS seq FROM s),
 g AS (SELECT {_FK}, count(*) AS packet_count, CAST(sum(IP_len) AS BIGINT) AS byte_count, min(timestamp) AS start_time,
       max(timestamp) AS end_time FROM n GROUP BY {_FK}, seq)
-SELECT * FROM g WHERE end_time + INTERVAL 5 MINUTE <= (SELECT date_trunc('milliseconds', max(timestamp))
-  - INTERVAL 10 MINUTE FROM f)"""
+SELECT * FROM g"""
 
 _ANSWERS = f"""{_MATCHED}
 SELECT timestamp, client_ip, server_ip, port AS client_port, DNS_id, DNS_qname,
   coalesce(epoch_us(rts) - epoch_us(timestamp), -1) AS wait_us, coalesce(DNS_rcode, -1) AS DNS_rcode
-FROM m WHERE time_bucket(INTERVAL 1 MINUTE, timestamp) <= (SELECT time_bucket(INTERVAL 1 MINUTE, max(timestamp))
-  - INTERVAL 2 MINUTE FROM p WHERE DNS_qr IS NOT NULL)"""
+FROM m"""
 
 
 def _ports(df: DataFrame) -> DataFrame:
@@ -102,35 +95,28 @@ def _ports(df: DataFrame) -> DataFrame:
 ENTRIES = {
     "stream_ingest": tables(_ingested, oracle(
         "SELECT timestamp, IP_src, IP_dst, TCP_flags, DNS_qname, ARP_sender_mac, raw_size FROM p")),
-    "stream_packet_rate": live(lambda p: detectors.live_packet_rate(p, "1h"), _closed("1 hour", _rate("true"))),
-    "stream_udp_rate": live(
-        lambda p: detectors.live_packet_rate(udp_packets(p), "1h"),
-        f"SELECT t.* FROM ({_rate('IP_proto = 17')}) t WHERE window_start + INTERVAL 1 HOUR <= (SELECT "
-        "date_trunc('milliseconds', max(timestamp)) - INTERVAL 10 MINUTE FROM p WHERE IP_proto = 17)"),
+    "stream_packet_rate": live(lambda p: detectors.live_packet_rate(p, "1h"), _rate("true")),
+    "stream_udp_rate": live(lambda p: detectors.live_packet_rate(udp_packets(p), "1h"), _rate("IP_proto = 17")),
     "stream_port_scans": live(
         lambda p: detectors.live_port_scans(p, "balanced"),
-        f"SELECT t.* FROM (SELECT {bucket('5 minutes')} AS window_start, IP_src AS scanner_ip, IP_dst AS target_ip, "
+        f"SELECT {bucket('5 minutes')} AS window_start, IP_src AS scanner_ip, IP_dst AS target_ip, "
         "count(DISTINCT TCP_dport) AS unique_ports, count(*) AS total_packets FROM p WHERE IP_proto = 6 GROUP BY 1, 2, 3 "
-        "HAVING count(DISTINCT TCP_dport) > 20) t WHERE window_start + INTERVAL 5 MINUTE <= (SELECT "
-        "date_trunc('milliseconds', max(timestamp)) - INTERVAL 10 MINUTE FROM p WHERE IP_proto = 6)"),
+        "HAVING count(DISTINCT TCP_dport) > 20"),
     "stream_host_scans": live(
         lambda p: detectors.live_host_scans(p, 1, "1h"),
-        _closed("1 hour", f"SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, {_PORT} AS dst_port, "
-                          f"count(DISTINCT IP_dst) AS unique_hosts FROM p WHERE {_PORT} IS NOT NULL GROUP BY 1, 2, 3 "
-                          "HAVING count(DISTINCT IP_dst) > 1", f"{_PORT} IS NOT NULL AND IP_dst IS NOT NULL")),
+        f"SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, {_PORT} AS dst_port, "
+        f"count(DISTINCT IP_dst) AS unique_hosts FROM p WHERE {_PORT} IS NOT NULL GROUP BY 1, 2, 3 "
+        "HAVING count(DISTINCT IP_dst) > 1"),
     "stream_syn_flood": live(
-        lambda p: detectors.live_syn_flood(p, 2, "1h"), _closed(
-            "1 hour", DETECTORS["anomaly_syn_flood"].rows, "contains(TCP_flags, 'S')")),
+        lambda p: detectors.live_syn_flood(p, 2, "1h"), DETECTORS["anomaly_syn_flood"].rows),
     "stream_udp_flood": live(
         lambda p: detectors.live_udp_flood(p, 2, "1h"),
-        f"SELECT t.* FROM (SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, count(*) AS packet_count, "
-        "CAST(sum(IP_len) AS BIGINT) AS byte_count FROM p WHERE IP_proto = 17 GROUP BY 1, 2 HAVING count(*) >= 2) t "
-        "WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(timestamp)) - INTERVAL 10 MINUTE "
-        "FROM p WHERE IP_proto = 17)"),
+        f"SELECT {bucket('1 hour')} AS window_start, IP_src AS src_ip, count(*) AS packet_count, "
+        "CAST(sum(IP_len) AS BIGINT) AS byte_count FROM p WHERE IP_proto = 17 GROUP BY 1, 2 HAVING count(*) >= 2"),
     "stream_behavior": live(
         lambda p: detectors.live_behavioral_summary(p, "1h").select(
             "window_start", "source_ip", "packet_count", "total_bytes_sent", "tcp_packet_count", "syn_count"),
-        _closed("1 hour", _BEHAVIOR, "IP_src IS NOT NULL")),
+        _BEHAVIOR),
     "stream_flows": live(lambda p: _ports(stateful.live_flows(p, "5m")), _SESSIONS),
     "stream_dns_answers": live(
         lambda p: stateful.live_dns_answers(p).select(
@@ -139,8 +125,11 @@ ENTRIES = {
         _ANSWERS),
     "stream_arp_changes": live(stateful.live_arp_changes, DETECTORS["arp_spoofing"].rows),
     "stream_merge_captures": tables(_merged, oracle(
-        "SELECT IP_src, count(*) AS packets, min(timestamp) AS first_seen FROM (SELECT DISTINCT timestamp, IP_src, IP_dst, "
-        "TCP_sport, TCP_dport, TCP_seq, TCP_flags FROM p WHERE IP_proto = 6) GROUP BY 1")),
+        "SELECT IP_src, count(*) AS packets, min(timestamp) AS first_seen FROM (SELECT DISTINCT timestamp, IP_src, IP_dst, IP_proto, "
+        f"TCP_sport, TCP_dport, UDP_sport, UDP_dport, {', '.join(_MERGE_KEY)} FROM p) GROUP BY 1")),
     "stream_alerts": tables(_alerts, oracle(
-        f"{_tunnels()} UNION ALL {_scans(25)}")),
+        "SELECT 'high' AS severity, 'Port Scan' AS category, window_start AS at, scanner_ip AS host, "
+        f"concat(unique_ports, ' ports of ', target_ip) AS description FROM ({_scan('IP_proto = 6', 'TCP_dport', '1 minute', 15, False)}) "
+        "UNION ALL SELECT 'high', 'DNS Tunneling', timestamp, IP_src, concat('name of length ', query_length) "
+        f"FROM ({DETECTORS['dns_tunneling'].rows})")),
 }

@@ -11,12 +11,17 @@ from wirelake.functions.scalars import epoch_to_timestamp
 from wirelake.schema import LAYER_FIELDS, NESTED_SCHEMA, PACKET_SCHEMA, micros
 
 LAYERS = tuple(LAYER_FIELDS)
+LINE_SCHEMA = T.StructType([*NESTED_SCHEMA.fields, T.StructField("total_packets", T.LongType())])
 _NO_FIELDS = "cast(map() as map<string,string>)"
 
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
     """Nested packets from JSON lines; the schema is given, so nothing is inferred. The line with the total is left out."""
-    lines = spark.read.schema(T.StructType([*NESTED_SCHEMA.fields, T.StructField("total_packets", T.LongType())])).json(path)
+    return packet_lines(spark.read.schema(LINE_SCHEMA).json(path))
+
+
+def packet_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a JSON export, read with LINE_SCHEMA, without the one that holds the total."""
     return lines.where(F.col("total_packets").isNull()).drop("total_packets")
 
 

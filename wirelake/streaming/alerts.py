@@ -1,22 +1,36 @@
-"""Alerts from a stream: findings of each micro-batch, written as a table."""
+"""Alerts from a stream: one row per detection, stored as a table as soon as its window closes.
 
-from __future__ import annotations
+Detections come from the stateful detectors (`live_port_scans`, `live_syn_flood`, ...), which keep a window's counts from
+micro-batch to micro-batch, or from tests on single packets; so an alert does not depend on how packets fall into
+batches. The file sink stores each alert exactly once.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wirelake.streaming.core import write_parquet
+
+
+def as_alerts(detected: DataFrame, severity: str, category: str, at: str, host: str, description: Column) -> DataFrame:
+    """Rows of a detector as alerts: severity, category, at (time or window start), host, description."""
+    return detected.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col(at).alias("at"),
+                           F.col(host).alias("host"), description.alias("description"))
+
+
+def port_scan_alerts(scans: DataFrame) -> DataFrame:
+    """Alerts for the rows of `live_port_scans`."""
+    text = F.concat_ws(" ", F.col("unique_ports").cast("string"), F.lit("ports of"), F.col("target_ip"))
+    return as_alerts(scans, "high", "Port Scan", "window_start", "scanner_ip", text)
+
 
-def write_alerts(packets: DataFrame, check: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-                 every: str | None = None) -> StreamingQuery:
-    """Run `check` (packets -> findings) on every micro-batch and store its findings under the batch number.
+def dns_tunneling_alerts(queries: DataFrame) -> DataFrame:
+    """Alerts for the rows of `detect_dns_tunneling`, which looks at single packets and so runs on a stream as it is."""
+    text = F.concat_ws(" ", F.lit("name of length"), F.col("query_length").cast("string"))
+    return as_alerts(queries, "high", "DNS Tunneling", "timestamp", "IP_src", text)
 
-    A batch that is run again after a failure overwrites its own folder, so findings are stored once.
-    """
-    def store(batch: DataFrame, number: int) -> None:
-        check(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
-    writer = packets.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
-    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    return writer.start()
+def write_alerts(alerts: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a query that stores alerts; without `every` it takes what is there and stops."""
+    return write_parquet(alerts, path, checkpoint, every=every)

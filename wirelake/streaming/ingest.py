@@ -7,17 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wirelake.schema import NESTED_SCHEMA
-from wirelake.sources.nested import flatten_packets
+from wirelake.sources.nested import LINE_SCHEMA, flatten_packets, packet_lines
 from wirelake.streaming.core import with_event_time, write_parquet
 
 
 def nested_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Nested packet JSON as it arrives in a folder, flattened to packet rows."""
-    reader = spark.readStream.schema(NESTED_SCHEMA)
+    reader = spark.readStream.schema(LINE_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return flatten_packets(reader.json(folder))
+    return flatten_packets(packet_lines(reader.json(folder)))
 
 
 def land(packets: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
