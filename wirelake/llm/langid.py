@@ -258,10 +258,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             continue
         h, n = np.array(own).T
         centre, spread = np.median(h), np.std((h - np.median(h)) * np.sqrt(n))
-        # Six deviations at the shortest length of the class, and a sixth above the usual entropy at any length.
-        limits[i] = np.maximum(centre * 7 / 6, centre + 6 * spread / np.sqrt(2.0 ** np.arange(20)))
+        # Eight deviations at the shortest length of the class, and half above the usual entropy at any length.
+        limits[i] = np.maximum(centre * 1.5, centre + 8 * spread / np.sqrt(2.0 ** np.arange(20)))
         for c in np.unique(_length_class(n)):
-            limits[i, c] = max(limits[i, c], h[_length_class(n) == c].max() * 1.05)
+            limits[i, c] = max(limits[i, c], h[_length_class(n) == c].max() * 1.1)
     model.limits = limits
     shipped.unpersist()
     return model
