@@ -75,7 +75,7 @@ RULES = (
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("many_symbols", "10 * n_symbols > n_words"),
-    Rule("many_dup_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("many_dup_lines", "2 * n_dup_lines > n_lines"),
 )
 
 

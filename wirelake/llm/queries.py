@@ -99,7 +99,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\
     FROM w LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END)::BIGINT
+    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END)::BIGINT
     AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed,
     failed_rules = 0 AS kept, failed_rules FROM f""",
