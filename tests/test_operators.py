@@ -49,11 +49,11 @@ def test_tcp_ports(tcp_frame):
 def test_scan_severity_and_profiles(spark):
     rows = [(at(i), "10.0.0.50", f"1.1.1.{h}", 6, 1, p) for h, n in ((1, 60), (2, 40), (3, 21), (4, 20)) for i, p in enumerate(range(n))]
     frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, IP_src string, IP_dst string, IP_proto int, TCP_sport int, TCP_dport int")
-    found = {r.target_ip: (r.unique_ports, r.severity) for r in tcp.detect_port_scanning(frame).collect()}
+    found = {r.target_ip: (r.unique_ports, r.severity) for r in tcp.detect_port_scanning(frame, ports_contacted=False).collect()}
     assert found == {"1.1.1.1": (60, "critical"), "1.1.1.2": (40, "high"), "1.1.1.3": (21, "medium")}
     assert tcp.custom_scan_config(9, "1m").sensitivity == "very_high" and tcp.custom_scan_config(30, "1m").sensitivity == "low"
-    assert tcp.detect_port_scanning(frame, "honeypot").count() == 4
-    assert anomaly.detect_port_scanning(frame, threshold=59, time_window="5m").count() == 1
+    assert tcp.detect_port_scanning(frame, "honeypot", ports_contacted=False).count() == 4
+    assert anomaly.detect_port_scanning(frame, threshold=59, time_window="5m").count() == 60  # a row per port
     assert anomaly.detect_port_scanning(frame, time_window="5m").count() == 0  # custom default: 100 ports
 
 

@@ -225,7 +225,7 @@ def calculate_bytes_per_second(packets: DataFrame, time_window: str = "1m") -> D
     return _per_window(packets, time_window, total, "byte_count", "bytes_per_second")
 
 
-def calculate_inter_arrival_times(packets: DataFrame, group_by: str = "flow", slice_width: str = "5m") -> DataFrame:
+def calculate_inter_arrival_times(packets: DataFrame, group_by: str = "flow", slice_width: str = "1s") -> DataFrame:
     """Gaps between consecutive packets per flow, source, destination, or over all packets ('global')."""
     keys = {"flow": list(FLOW_KEY), "src_ip": ["src_ip"], "dst_ip": ["dst_ip"], "global": []}
     one_of("group_by", group_by, keys)

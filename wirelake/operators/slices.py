@@ -48,49 +48,60 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     )
 
 
-def interval_stats(df: DataFrame, keys: Sequence[str], width: str = "5m") -> DataFrame:
+def interval_stats(df: DataFrame, keys: Sequence[str], width: str = "1s", wide: str = "1h") -> DataFrame:
     """Per key: packets, intervals, min / max / mean / std (ddof 1, seconds) of the gaps between packets.
 
-    Gaps inside a (key, slice) are reduced to count, mean and squared deviation where they lie; slices are
-    merged with the pooled-variance formula, which loses no precision on constant gaps.
+    Packets are counted per (key, microsecond) first; equal times make gaps of zero. Gaps inside a (key, slice) are
+    reduced to count, mean and squared deviation where they lie. Slices of `width` are merged within `wide` ones and these
+    over the key, with the pooled-variance formula, which loses no precision on constant gaps.
     """
     keys = list(keys)
-    df = with_time_slice(df.where(F.col("timestamp").isNotNull()), width)
+    times = with_time_slice(df.where(F.col("timestamp").isNotNull()), width).groupBy(*keys, "_slice", "_us").agg(
+        F.count(F.lit(1)).alias("_times"))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_us")
     gap = (F.col("_us") - F.lag("_us").over(inside)) / F.lit(1e6)
+    zeros, gaps = F.sum(F.col("_times") - 1), F.count("_gap")
+    mean = F.coalesce(F.avg("_gap"), F.lit(0.0))
     parts = (
-        df.select(*keys, "_slice", "_us", gap.alias("_gap"))
+        times.select(*keys, "_slice", "_us", "_times", gap.alias("_gap"))
         .groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_packets"), F.count("_gap").alias("_n"),
-             F.coalesce(F.avg("_gap"), F.lit(0.0)).alias("_mean"),
-             F.coalesce(F.var_pop("_gap") * F.count("_gap"), F.lit(0.0)).alias("_m2"),
-             F.min("_gap").alias("_lo"), F.max("_gap").alias("_hi"),
+        .agg(F.sum("_times").alias("_packets"), (gaps + zeros).alias("_n"),
+             F.coalesce(F.try_divide(mean * gaps, gaps + zeros), F.lit(0.0)).alias("_mean"),
+             (F.coalesce(F.var_pop("_gap") * gaps, F.lit(0.0))
+              + F.coalesce(F.try_divide(gaps * zeros * mean * mean, gaps + zeros), F.lit(0.0))).alias("_m2"),
+             F.min(F.when(F.col("_times") > 1, F.lit(0.0)).otherwise(F.col("_gap"))).alias("_lo"),
+             F.max(F.coalesce("_gap", F.when(F.col("_times") > 1, F.lit(0.0)))).alias("_hi"),
              F.min("_us").alias("_start"), F.max("_us").alias("_end"))
     )
     if not keys:
         parts = parts.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    ordered = Window.partitionBy(*by).orderBy("_slice")
-    whole = Window.partitionBy(*by)
+    ratio = max(1, window_micros(wide) // window_micros(width))
+    merged = _merged_parts(parts.withColumn("_wide", F.floor(F.col("_slice") / ratio)), [*by, "_wide"], "_slice")
+    whole = _merged_parts(merged.withColumnRenamed("_wide", "_slice"), by, "_slice")
+    result = whole.select(
+        *by, F.col("_packets").alias("packets"), F.col("_n").alias("n_intervals"), F.col("_lo").alias("min"), F.col("_hi").alias("max"),
+        F.when(F.col("_n") > 0, F.col("_mean")).alias("avg"), F.sqrt(F.try_divide("_m2", F.col("_n") - 1)).alias("std"))
+    return result if keys else result.drop("_all")
+
+
+def _merged_parts(parts: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Parts of a sequence (see `interval_stats`) put together by the keys `by`; gaps between neighbours are added."""
+    ordered, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
     parts = (
         parts.withColumn("_edge", (F.col("_start") - F.lag("_end").over(ordered)) / F.lit(1e6))
         .withColumn("_e", F.col("_edge").isNotNull().cast("int"))
         .withColumn("_edge0", F.coalesce("_edge", F.lit(0.0)))
         .withColumn("_total", F.sum(F.col("_n") + F.col("_e")).over(whole))
-        .withColumn("_avg", F.try_divide((F.max("_end").over(whole) - F.min("_start").over(whole)) / F.lit(1e6),
-                                         F.col("_total")))
+        .withColumn("_avg", F.coalesce(F.try_divide(
+            (F.max("_end").over(whole) - F.min("_start").over(whole)) / F.lit(1e6), F.col("_total")), F.lit(0.0)))
     )
     spread = (F.col("_m2") + F.col("_n") * F.pow(F.col("_mean") - F.col("_avg"), 2)
               + F.col("_e") * F.pow(F.col("_edge0") - F.col("_avg"), 2))
-    result = parts.groupBy(*by).agg(
-        F.sum("_packets").alias("packets"),
-        F.max("_total").alias("n_intervals"),
-        F.min(F.least("_lo", "_edge")).alias("min"),
-        F.max(F.greatest("_hi", "_edge")).alias("max"),
-        F.max("_avg").alias("avg"),
-        F.sqrt(F.try_divide(F.sum(spread), F.max("_total") - 1)).alias("std"),
-    )
-    return result if keys else result.drop("_all")
+    return parts.groupBy(*by).agg(
+        F.sum("_packets").alias("_packets"), F.max("_total").alias("_n"), F.max("_avg").alias("_mean"), F.sum(spread).alias("_m2"),
+        F.min(F.least("_lo", "_edge")).alias("_lo"), F.max(F.greatest("_hi", "_edge")).alias("_hi"),
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"))
 
 
 def _bucket(value: Column) -> Column:
