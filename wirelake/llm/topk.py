@@ -11,10 +11,11 @@ chunk, whose blocks stream by one at a time, and gives k rows for each query, wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from wirelake.llm.common import quoted, written
@@ -50,7 +51,7 @@ def basis(rows: DataFrame, dims: int, sample: int = SAMPLE) -> np.ndarray:
     return turned[:, ::-1]
 
 
-def padded(vectors: list[list[float]], dims: int) -> np.ndarray:
+def padded(vectors: Sequence[list[float]], dims: int) -> np.ndarray:
     out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
@@ -58,30 +59,48 @@ def padded(vectors: list[list[float]], dims: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, size: int, dims: int) -> DataFrame:
-    """(block, longest, n, ids, vecs): rows by descending length, `size` to a block; bytes of int64 and double."""
+    """(block, ids, vecs): rows by descending length, `size` to a block; bytes of int64 and double.
+
+    Rows are numbered inside their range of lengths; with the counts of the ranges that gives each its place among
+    all, so blocks are full however many partitions there are.
+    """
     ordered = rows.repartitionByRange(F.desc("norm"), F.xxhash64("id")).sortWithinPartitions(F.desc("norm"), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs = np.zeros(0, np.int64), np.zeros((0, dims))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = np.concatenate([ids, batch.column(0).to_numpy()])
-            vecs = np.concatenate([vecs, padded(batch.column(1).to_pylist(), dims)])
-            while len(ids) >= size:
-                yield block(ids[:size], vecs[:size])
-                ids, vecs = ids[size:], vecs[size:]
-        if len(ids):
-            yield block(ids, vecs)
-
-    def block(ids: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
-        longest = float(np.linalg.norm(vecs, axis=1).max()) if dims else 0.0
-        return pa.RecordBatch.from_arrays([pa.array([longest]), pa.array([len(ids)]), pa.array([ids.tobytes()]), pa.array([vecs.tobytes()])],
-                                          names=["longest", "n", "ids", "vecs"])
-
-    made = ordered.select("id", "vec").mapInArrow(run, "longest double, n bigint, ids binary, vecs binary")
-    stored = written(made, "blocks")
-    numbers = stored.select("longest", F.xxhash64("ids", "vecs").alias("mark")).withColumn(
-        "block", F.expr("row_number() over (order by longest desc, mark) - 1"))
-    return stored.withColumn("mark", F.xxhash64("ids", "vecs")).join(numbers.dropDuplicates(["mark"]).select("mark", "block"), "mark").drop("mark")
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *batch.columns],
+                                             names=["part", "at", "id", "vec"])
+            at += n
+
+    numbered = written(ordered.select("id", "vec").mapInArrow(number, "part int, at bigint, id bigint, vec array<double>"), "numbered")
+    before = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.expr(
+        "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    place = (F.col("before") + F.col("at")).alias("place")
+    placed = numbered.join(F.broadcast(before), "part").select("id", "vec", place)  # one row per partition
+    placed = placed.withColumn("block", F.floor(F.col("place") / size).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at is not None and row[0] != at:
+                    yield block(at, held)
+                    held = []
+                at = row[0]
+                held.append(row[1:])
+        if held:
+            yield block(at, held)
+
+    def block(at: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, vecs = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]),
+                                           pa.array([padded(vecs, dims).tobytes()])], names=["block", "ids", "vecs"])
+
+    packed = placed.repartition("block").sortWithinPartitions("block", "place").select("block", "id", "vec") \
+        .mapInArrow(pack, "block int, ids binary, vecs binary")
+    return written(packed, "blocks")
 
 
 class Best:
@@ -108,10 +127,13 @@ class Best:
         columns = np.flatnonzero(may.any(0))
         if not len(columns):
             return
+        columns = columns[np.argsort(ids[columns], kind="stable")]
         score = np.where(may[:, columns], self.products(open_, vecs[columns]), -np.inf)
         enough = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k] if score.shape[1] > self.k else -np.inf
         least = np.maximum(self.least[open_], enough)
-        r, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        # Of those that tie with the last place, the k with the smallest ids are enough.
+        tie = (score == least[:, None]) & (score > -np.inf)
+        r, c = np.nonzero((score > least[:, None]) | tie & (np.cumsum(tie, axis=1) <= self.k))
         self.merge(open_[r], ids[columns][c], score[r, c])
 
     def products(self, rows: np.ndarray, vecs: np.ndarray) -> np.ndarray:
@@ -156,9 +178,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     chunks = -(-n_blocks // CHUNK_BLOCKS)
     asked = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select(
-        F.col("block").cast("int").alias("asked"), F.col("chunk").cast("int"), F.lit(-1).cast("int").alias("turn"), "ids", "vecs")
+        F.col("block").alias("asked"), F.col("chunk").cast("int"), F.lit(-1).cast("int").alias("turn"), "ids", "vecs")
     offered = candidates.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select(
-        F.col("asked").cast("int"), (F.col("block") % chunks).cast("int").alias("chunk"), F.col("block").cast("int").alias("turn"), "ids", "vecs")
+        F.col("asked").cast("int"), (F.col("block") % chunks).cast("int").alias("chunk"), F.col("block").alias("turn"), "ids", "vecs")
     met = asked.unionByName(offered).repartition(min(10_000, 4 * chunks * n_queries), "asked", "chunk") \
         .sortWithinPartitions("asked", "chunk", "turn")
 
