@@ -189,6 +189,17 @@ def test_gram_counts_and_probabilities(spark):
     assert (total > 0.7).all() and (total <= 1 + 1e-6).all()
 
 
+def test_language_model_keeps_every_gram(spark):
+    rnd = random.Random(29)
+    rows = [("x" if i % 2 else "y", " ".join(chr(rnd.randrange(0x4E00, 0x9FA0)) * rnd.randint(1, 2) + chr(rnd.randrange(0x4E00, 0x9FA0))
+                                             for _ in range(14_000))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").selectExpr("monotonically_increasing_id() as doc_id", "*").repartition(4)
+    counts = langid.count_grams(docs.select("lang", "text"))
+    assert counts.count() > 1_000_000
+    model = langid.learn(docs)
+    assert len(model.keys[3]) == counts.select("gram").distinct().count()
+
+
 def test_language_odd_rows(odd, odd_rows, none):
     model = langid.learn(odd)
     rows = langid.predict(odd, model).collect()

@@ -1,8 +1,8 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, in sorted hash arrays.
 
 A text is its words, lower-cased, with all but letters as breaks; a word's characters and its end are predicted from
-up to three characters before them in the word. Grams are counted over all training documents. The kept grams of all
-languages share one sorted array of hashes for each order, with a row of log probabilities (a column per language), so
+up to three characters before them in the word. Grams are counted over all training documents and all are kept. Those of
+all languages share one sorted array of hashes for each order, with a row of log probabilities (a column per language), so
 one binary search scores a gram in every language. The language with the lowest cross-entropy a character wins.
 """
 
@@ -19,8 +19,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelake.llm.common import add_columns, field, quoted, ridge_logistic, slices
 
 ORDER = 4
-#: Grams kept of all languages together, the most frequent of each; bounds what every executor holds.
-GRAMS = 1_000_000
 #: Documents that the calibration is fitted on, at most.
 SAMPLE = 10_000
 UNKNOWN = "und"
@@ -204,27 +202,17 @@ def _margin(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", among: Column | None = None,
-          total: int = GRAMS, sample: int = SAMPLE) -> Model | None:
+          sample: int = SAMPLE) -> Model | None:
     """A model from all rows with a text and a language (and `among`, if given); None if there is none.
 
-    Grams are counted over all those rows. Of each language the most frequent are kept, `total` of all languages
-    together, as the model is held by every executor. Calibration and limits of rejection are fitted on at most
+    Grams are counted over all those rows and none is cut, so discounts and back-off weights are those of the whole table;
+    the driver and every executor hold all different grams. Calibration and limits of rejection are fitted on at most
     `sample` rows, chosen by a hash.
     """
     train = docs if among is None else docs.where(among)
     train = train.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text")) \
         .where("lang is not null and text is not null")
-    counts = count_grams(train.select("lang", "text")).persist()
-    try:
-        n_langs = max(1, counts.select("lang").distinct().count())
-        most = max(1, total // n_langs)
-        sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("k")) \
-            .withColumn("upto", F.expr("sum(k) over (partition by lang order by n desc)"))
-        least = sizes.where(F.col("upto") <= most).groupBy("lang").agg(F.min("n").alias("least"))
-        kept = counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "gram", "n")
-        rows = kept.toArrow()  # at most `total` rows
-    finally:
-        counts.unpersist()
+    rows = count_grams(train.select("lang", "text")).toArrow()
     if not rows.num_rows:
         return None
     model = estimate(*(rows.column(x).to_numpy() for x in ("lang", "gram", "n")))
