@@ -200,6 +200,13 @@ def test_language_model_keeps_every_gram(spark):
     assert len(model.keys[3]) == counts.select("gram").distinct().count()
 
 
+def test_a_rare_language_has_limits_too(spark):
+    rows = [("x", "x", 1.0 + 0.001 * (i % 7), 400.0) for i in range(2000)] + [("y", "y", 1.1, 400.0)] * 3 + [("x", "x", 9.0, 400.0)]
+    limits = langid.rejection_limits(spark.createDataFrame(rows, "lang string, best string, h double, n double"), ["x", "y", "z"])
+    assert np.isfinite(limits).all() and (limits[1:, 8] < 3).all()
+    assert limits[0, 8] < 9  # one junk row does not set the limit
+
+
 def test_language_odd_rows(odd, odd_rows, none):
     model = langid.learn(odd)
     rows = langid.predict(odd, model).collect()

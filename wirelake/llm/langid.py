@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirelake.llm.common import add_columns, field, quoted, ridge_logistic, slices
+from wirelake.llm.common import add_columns, field, quoted, ridge_logistic, slices, written
 
 ORDER = 4
-#: Documents that the calibration is fitted on, at most.
-SAMPLE = 10_000
+#: Rows of the pooled limits that are blended into those of each language.
+POOLED_ROWS = 20
 UNKNOWN = "und"
 _BREAK = 32
 
@@ -201,13 +201,12 @@ def _margin(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (two[:, 1] - two[:, 0]) * np.sqrt(n)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", among: Column | None = None,
-          sample: int = SAMPLE) -> Model | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", among: Column | None = None) -> Model | None:
     """A model from all rows with a text and a language (and `among`, if given); None if there is none.
 
     Grams are counted over all those rows and none is cut, so discounts and back-off weights are those of the whole table;
-    the driver and every executor hold all different grams. Calibration and limits of rejection are fitted on at most
-    `sample` rows, chosen by a hash.
+    the driver and every executor hold all different grams. Calibration and limits of rejection
+    are fitted on all of those rows.
     """
     train = docs if among is None else docs.where(among)
     train = train.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text")) \
@@ -216,9 +215,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not rows.num_rows:
         return None
     model = estimate(*(rows.column(x).to_numpy() for x in ("lang", "gram", "n")))
-    rows_there = train.count()
-    share = min(1.0, 0.9 * sample / max(1, rows_there))
-    chosen = train.where(F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_000)) < int(share * 1_000_000))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -231,30 +227,49 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return compute
 
-    seen = add_columns(chosen.select("lang", "text"), "text", [field("best", "string"), field("h", "double"), field("margin", "double"),
-                                                               field("n", "double")], make).where("n > 0") \
-        .select("lang", "best", "h", "margin", "n").collect()
-    if seen:
-        right = np.array([r["lang"] == r["best"] for r in seen], float)
-        x = np.array([[1.0, r["margin"]] for r in seen])
-        a, b = ridge_logistic(x, right, np.ones(len(x)), 0.01)
+    seen = written(
+        add_columns(train.select("lang", "text"), "text", [field("best", "string"), field("h", "double"), field("margin", "double"),
+                                                           field("n", "double")], make).where("n > 0")
+        .select("lang", "best", "h", "margin", "n"), "entropies")
+    fitted = seen.groupBy((F.col("lang") == F.col("best")).cast("double").alias("right"),
+                          (F.round(F.least("margin", F.lit(200.0)) * 10) / 10).alias("margin")).agg(F.count("*").alias("k")).collect()
+    if fitted:
+        weight = np.array([r["k"] for r in fitted], float)
+        x = np.array([[1.0, r["margin"]] for r in fitted])
+        a, b = ridge_logistic(x, np.array([r["right"] for r in fitted]), weight, 0.01)
         model.calibration = float(a), max(1e-3, float(b))
-    limits = np.full((len(model.langs), 20), np.inf)
-    for i, lang in enumerate(model.langs):
-        own = [(r["h"], r["n"]) for r in seen if r["lang"] == r["best"] == lang]
-        if len(own) < 20:
-            continue
-        h, n = np.array(own).T
-        centre, spread = np.median(h), np.std((h - np.median(h)) * np.sqrt(n))
-        # Eight deviations at the shortest length of the class, and half above the usual entropy at any length.
-        limits[i] = np.maximum(centre * 1.5, centre + 8 * spread / np.sqrt(2.0 ** np.arange(20)))
-        for c in np.unique(_length_class(n)):
-            limits[i, c] = max(limits[i, c], h[_length_class(n) == c].max() * 1.1)
-    model.limits = limits
+    model.limits = rejection_limits(seen, model.langs)
     shipped.unpersist()
     return model
 
 
+def rejection_limits(seen: DataFrame, langs: list[str]) -> np.ndarray:
+    """Highest cross-entropy accepted, by language and length class, from all rows of `seen` (lang, best, h, n).
+
+    Rows of their language only. Centre and spread of a language are blended with those of all languages together,
+    which weigh as much as `POOLED_ROWS` rows, so a rare language has limits too and nothing changes at a given size.
+    """
+    right = seen.where("lang = best").withColumn("class", F.least(F.floor(F.log2("n")), F.lit(19)).cast("int"))
+    centres = {r["best"]: r for r in right.groupBy("best").agg(F.expr("percentile_approx(h, 0.5, 10000)").alias("centre"), F.count("*").alias("k")).collect()}
+    if not centres:
+        return np.full((len(langs), 20), np.inf)
+    centred = F.create_map(*[x for lang, r in centres.items() for x in (F.lit(lang), F.lit(r["centre"]))])
+    squares = {r["best"]: r["s"] for r in right.groupBy("best").agg(F.sum(F.pow(F.col("h") - F.element_at(centred, F.col("best")), F.lit(2)) * F.col("n")).alias("s")).collect()}
+    upper = {(r["best"], r["class"]): r["q"] for r in right.groupBy("best", "class").agg(F.expr("percentile_approx(h, 0.999, 10000)").alias("q")).collect()}
+    rows = sum(r["k"] for r in centres.values())
+    all_centre, all_square = sum(r["k"] * r["centre"] for r in centres.values()) / rows, sum(squares.values()) / rows
+    limits = np.zeros((len(langs), 20))
+    for i, lang in enumerate(langs):
+        k, own = (centres[lang]["k"], centres[lang]["centre"]) if lang in centres else (0, 0.0)
+        centre = (k * own + POOLED_ROWS * all_centre) / (k + POOLED_ROWS)
+        spread = np.sqrt((squares.get(lang, 0.0) + POOLED_ROWS * all_square) / (k + POOLED_ROWS))
+        # Eight deviations at the shortest length of the class, and half above the usual entropy at any length.
+        limits[i] = np.maximum(centre * 1.5, centre + 8 * spread / np.sqrt(2.0 ** np.arange(20)))
+        for c in range(20):
+            limits[i, c] = max(limits[i, c], 1.1 * upper.get((lang, c), 0.0))
+    return limits
+
+
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred, lang_score (0 to 1, the calibrated chance of being right), cross_entropy and lang_rejected.
 
