@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelake.llm.common import add_columns, field, quoted, ridge_logistic, slices, written
 
 ORDER = 4
+#: Characters of text whose words are counted at once.
+COUNTED = 4_000_000
 #: Rows of the pooled limits that are blended into those of each language.
 POOLED_ROWS = 20
 UNKNOWN = "und"
@@ -63,16 +65,17 @@ def count_grams(train: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (lang, text); counted within tasks before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found: dict[str, Counter] = {}
-            for lang, text in zip(langs, texts):
-                found.setdefault(lang, Counter()).update(text.encode().split())
-            for lang, words in found.items():
-                number, packed = grams(list(words))
-                kinds, at = np.unique(packed, return_inverse=True)
-                n = np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[number]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds)), pa.array(kinds.view(np.int64)), pa.array(n)],
-                                                 names=["lang", "gram", "n"])
+            for begin, end in slices(batch.column(1).to_pylist(), COUNTED):
+                part = batch.slice(begin, end - begin)
+                found: dict[str, Counter] = {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found.setdefault(lang, Counter()).update(text.encode().split())
+                for lang, words in found.items():
+                    number, packed = grams(list(words))
+                    kinds, at = np.unique(packed, return_inverse=True)
+                    n = np.bincount(at, np.fromiter(words.values(), np.float64, len(words))[number]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds)), pa.array(kinds.view(np.int64)), pa.array(n)],
+                                                     names=["lang", "gram", "n"])
 
     return train.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
