@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -273,9 +274,7 @@ def test_token_counts_odd_rows(odd, odd_rows, none):
 # ---- token files
 
 def ids_of(path, text):
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    return model.encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
@@ -324,12 +323,26 @@ def test_a_reader_decompresses_only_what_is_asked_and_sees_damage(tmp_path):
             list(tokenfile.Reader(file).read())
 
 
-@pytest.mark.parametrize("text", ["a  b\n\n c", " lead", "trail \n", "don't  STOP", "x y", "a\x1cb\x1d c", "́a é", "\n", "３ ½", "İstanbul ς Σ"])
-def test_chunks_give_the_ids_of_the_whole(text):
-    from wirelake.llm.encoding import Encoder, chunks_keeping_space, words_only
+TEXTS = ["a  b\n\n c", " lead", "trail \n", "don't  STOP", "x\u3000y", "a\x1cb\x1d c", "\u0301a e\u0301", "\n", "３ ½", "İstanbul ς Σ", "Été, ça! ÿ× ÷.",
+         "a <|endoftext|> b", "a<|startoftext|> b <|ENDOFTEXT|>", "we'll 'tis l'été\u0301.", "\u201cquoted\u201d, \u00ab x \u00bb!", "tab\t.\r\n x\x00y \x00",
+         "word" * 100 + " " + "!" * 300, "a\u00a0.b \u2009c", "é.\u0338=\u0338", "日本語 text。x", "Ǆungla ﬁ"]
 
-    for path, split in ((BYTES, chunks_keeping_space), (WORDS, words_only)):
-        assert np.frombuffer(Encoder(path, split).encode([text])[0], "<u4").tolist() == ids_of(path, text)[:-1]
+
+@pytest.mark.parametrize("ordinary", [False, True])
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_chunks_give_the_ids_of_the_whole(path, ordinary):
+    from wirelake.llm.encoding import Encoder
+
+    rnd = random.Random(4)
+    pieces = [c for t in TEXTS for c in t] + [" ", " ", "\n", "the", " of", "'s", "É", "<|endoftext|>", "<|"]
+    texts = TEXTS + [None, ""] + ["".join(rnd.choices(pieces, k=rnd.randint(1, 60))) for _ in range(1500)]
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = ordinary
+    model = Encoder(path, ordinary, remembered=50)
+    for begin in range(0, len(texts), 400):
+        got = model.encode(pa.array(["x"] + texts[begin:begin + 400], pa.string()).slice(1))
+        for text, ids in zip(texts[begin:begin + 400], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
 
 
 # ---- quality rules

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from wirelake.llm.common import quoted, slices
-from wirelake.llm.encoding import encoder, words_only
+from wirelake.llm.common import quoted
+from wirelake.llm.encoding import encoder, parts
 
 LONGEST = 4096
 END_ID = 2
@@ -33,8 +33,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length)
     and, with `with_ids`, ids (little-endian unsigned 32-bit integers).
 
-    `tokenizer` is the path of a vocabulary whose white space is dropped. A null or empty text is the end id alone.
-    Repeated rows are packed each for itself. sequence_id is unique: partition of the input times 2^40 plus a running
+    `tokenizer` is the path of a vocabulary; strings of its special tokens in a text become those tokens, as in the
+    library. A null or empty text is the end id alone, a very long one many pieces; a null id stays null. Repeated rows
+    and ties of ids are packed each for itself, an empty table gives an empty one, and only the two named columns are
+    read, so no name of another can clash. sequence_id is unique: partition of the input times 2^40 plus a running
     number, so a task that runs again numbers its pieces alike.
     """
     if longest & (longest - 1):
@@ -45,13 +47,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     arrow = {"bigint": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sequence = encoder(tokenizer, words_only), TaskContext.get().partitionId() << 40
+        model, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin, stop in slices(texts):
+            keys = batch.column(0).to_pylist()
+            for begin, stop in parts(batch.column(1)):
                 out: list[tuple] = []
-                coded = model.encode([t or "" for t in texts[begin:stop]])
-                for key, ids in zip(keys[begin:stop], coded):
+                for key, ids in zip(keys[begin:stop], model.encode(batch.column(1).slice(begin, stop - begin))):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, longest):

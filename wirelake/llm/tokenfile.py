@@ -1,8 +1,8 @@
 """Token files: independent zstandard frames, a directory of documents and a trailing seek table with checksums.
 
 A file is zstandard frames of whole documents, then a skippable frame with the directory of documents, then the seek
-table of the public seekable format: for each frame its compressed size, its decompressed size and a checksum (here
-crc32 of the decompressed bytes), the number of frames, a descriptor byte and the closing magic number. A reader takes
+table of the public seekable format: for each frame its compressed size, its decompressed size and a checksum (the low
+32 bits of XXH64 of the decompressed bytes), the number of frames, a descriptor byte and the closing magic number. A reader takes
 the tail of the file, looks a document up and decompresses only its frame. Plain zstandard tools read the frames too.
 
 Tasks write files of their own under names of partition and number: first under a name of the attempt, then moved, so a
@@ -23,8 +23,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from wirelake.llm.common import quoted, slices, written
-from wirelake.llm.encoding import chunks_keeping_space, encoder
+from wirelake.llm.common import quoted, written
+from wirelake.llm.encoding import encoder, parts
 from wirelake.session import scratch_path
 
 END_ID = 2
@@ -38,6 +38,12 @@ _SHAPE = struct.Struct("<IIB")  # documents, bytes of the packed directory, byte
 _MANIFEST = "part int, number int, path string, n_docs bigint, n_tokens bigint"
 
 
+def checksum(raw: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(raw) & 0xFFFFFFFF
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -73,7 +79,7 @@ class Writer:
         raw = b"".join(self.held)
         packed = self.packer.compress(raw)
         self.out.write(packed)
-        self.frames.append((len(packed), len(raw), zlib.crc32(raw)))
+        self.frames.append((len(packed), len(raw), checksum(raw)))
         self.held, self.n_held = [], 0
 
     def close(self) -> None:
@@ -124,7 +130,7 @@ class Reader:
     def frame_bytes(self, k: int) -> bytes:
         packed, size, check = map(int, self.frames[k])
         raw = self.unpack.decompress(self._at(int(self.starts[k]), packed), max_output_size=size)
-        if zlib.crc32(raw) != check:
+        if checksum(raw) != check:
             raise ValueError(f"frame {k} is damaged")
         return raw
 
@@ -156,7 +162,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, store = encoder(tokenizer, chunks_keeping_space), TaskContext.get().partitionId(), None
+        model, part, store = encoder(tokenizer), TaskContext.get().partitionId(), None
         width = 2 if model.alone.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         number, writer = 0, None
 
@@ -176,9 +182,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
             if store is None and batch.num_rows:
                 store, base = file_system(folder)
                 store.create_dir(base, recursive=True)
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin, stop in slices(texts):
-                for key, ids in zip(keys[begin:stop], model.encode(texts[begin:stop])):
+            keys = batch.column(0).to_pylist()
+            for begin, stop in parts(batch.column(1)):
+                for key, ids in zip(keys[begin:stop], model.encode(batch.column(1).slice(begin, stop - begin))):
                     if writer is None:
                         temporary = f"{base}/.{uuid.uuid4().hex}"
                         writer = Writer(store.open_output_stream(temporary), width)
@@ -193,7 +199,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
 def read_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Every document of the files, read back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32
-    and, with `with_ids`, ids (little-endian unsigned 32-bit integers). Frames are checked as they are read."""
+    and, with `with_ids`, ids (little-endian unsigned 32-bit integers).
+
+    Frames are checked as they are read; a damaged one raises. Ids may be null or repeated, every document is a row;
+    a document without ids of its own has the end id alone; a long one is decompressed frame by frame, its ids are one
+    value. A manifest without files gives no row. Only the columns of write_files are read."""
     files = manifest.withColumn("before", F.expr(
         "coalesce(sum(n_tokens) over (order by part, number rows between unbounded preceding and 1 preceding), 0)"))
     n = max(1, manifest.count())
