@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9_exact_top_k": {"query_id", "rank", "vec_id", "score"},
     "op10_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op11_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op12_fill_in_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirelake.llm import fim, langid, mixing, packing, quality, sharding, simhash, tokenfile, topk, toxicity, wordpiece
+from wirelake.llm import decontamination, fim, langid, mixing, packing, quality, sharding, simhash, tokenfile, topk, toxicity, wordpiece
 from wirelake.llm.common import bucket_of, table
 
 
@@ -71,6 +71,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    index = decontamination.build(table(spark, folder, "documents"))
+    return decontamination.summary(decontamination.matches(index, table(spark, folder, "benchmark")))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.transform(table(spark, folder, "documents").select("doc_id", "text"), with_text=False, digests=True)
 
@@ -83,8 +88,10 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_toxicity, op3_simhash, op4_language_id, op5_mixing, op6_token_counts, op7_token_files, op8_quality_rules,
-    op9_exact_top_k, op10_packing, op12_fill_in_middle, pipeline)}
+    op9_exact_top_k, op10_packing, op11_decontamination, op12_fill_in_middle, pipeline)}
 
+_LETTERS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 ORACLES = {
@@ -107,6 +114,20 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
     AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules & 3 <> 0 AS base_failed,
     failed_rules = 0 AS kept, failed_rules FROM f""",
+    "op11_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '{_LETTERS}') AS ws FROM documents),
+i AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_LETTERS}') AS ws FROM benchmark)
+    WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM i)),
+grams AS (SELECT r, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (
+    SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)),
+occ AS (SELECT r, p, k, item_id FROM grams JOIN win USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p + o) AS n_hit FROM (SELECT r, p, unnest(range(0, k)) AS o FROM occ) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (
+    SELECT r, item_id, any_value(coalesce(item_id::VARCHAR, '')) AS id FROM occ GROUP BY r, item_id) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
     "op12_fill_in_middle": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
 u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS us,
