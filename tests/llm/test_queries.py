@@ -25,6 +25,7 @@ COLUMNS = {
     "op10_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
     "op11_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op12_fill_in_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+    "op13_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 

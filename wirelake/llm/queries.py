@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wirelake.llm import decontamination, fim, langid, mixing, packing, quality, sharding, simhash, tokenfile, topk, toxicity, wordpiece
+from wirelake.llm import alignment, decontamination, fim, langid, mixing, packing, quality, sharding, simhash, tokenfile, topk, toxicity, wordpiece
 from wirelake.llm.common import bucket_of, table
 
 
@@ -80,6 +80,11 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.transform(table(spark, folder, "documents").select("doc_id", "text"), with_text=False, digests=True)
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    made = alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return made.documents().drop("groups")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_toxicity, op3_simhash, op4_language_id, op5_mixing, op6_token_counts, op7_token_files, op8_quality_rules,
-    op9_exact_top_k, op10_packing, op11_decontamination, op12_fill_in_middle, pipeline)}
+    op9_exact_top_k, op10_packing, op11_decontamination, op12_fill_in_middle, op13_alignment, pipeline)}
 
 _LETTERS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
