@@ -45,7 +45,7 @@ def aligned(models, text):
     ends = [{e: i for i, _, e in own} for own in spans]
     for at in range(1, len(whole) + 1):
         for own, end in zip(held, ends):
-            own += [str(end[at])] * (at in end)
+            own += [str(end.get(at))] * (at in end)
         if at in common:
             groups.append("|".join(map(",".join, held)))
             held = ([], [])
