@@ -31,9 +31,9 @@ from wirelake.llm.decontamination import packed, unpacked
 from wirelake.llm.encoding import Encoder, Memory, byte_signs, cut, parts
 
 #: Bytes of text of a part; a longer text is a part of its own.
-PART = 16_000_000
+PART = 8_000_000
 #: Chunks of a generation that a worker remembers (see encoding.Memory).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Chunks aligned at once.
 BATCH = 20_000
 #: Marks, in the id of B of a link, a one-to-one group of the same bytes.
