@@ -8,6 +8,7 @@ then stitch the slices with one small row per slice. Results are exact; nothing
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -251,16 +252,19 @@ def match_first(df: DataFrame, keys: Sequence[str], request: Sequence[str], repl
     )
 
 
-def sums_and_distincts(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple[str, Column]],
-                       distincts: dict[str, str]) -> DataFrame:
-    """Per key: sums / minima / maxima of row values and exact distinct counts of several columns (nulls not counted).
+@dataclass(frozen=True)
+class Entries:
+    """Packets as entries for sums and several exact distinct counts: `rows` are to be grouped by keys and `by` with
+    `partial`, and that by the keys with `total`."""
 
-    Each row becomes one entry per counted column that is set; the first carries the sums. Entries are combined
-    on (key, column, value) on the map side, so a hot key is spread over its values, and then counted per key:
-    two exchanges and about two rows per input row, where several COUNT(DISTINCT) would expand every row once
-    per column and shuffle three times.
-    """
-    keys = list(keys)
+    rows: DataFrame
+    by: list[str]
+    partial: list[Column]
+    total: list[Column]
+
+
+def distinct_entries(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple[str, Column]], distincts: dict[str, str]) -> Entries:
+    """Each row becomes one entry per counted column that is set; the first carries the sums."""
     kinds = dict(df.dtypes)
     types = sorted({kinds[c] for c in distincts.values()})
     entries = []
@@ -269,7 +273,6 @@ def sums_and_distincts(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple
             (F.col(column) if kinds[column] == t else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(types)]]
         entry = F.struct(*parts)
         entries.append(entry if i == 0 else F.when(F.col(column).isNotNull(), entry))
-    values = [f"_v{j}" for j in range(len(types))]
     first = F.col("_k") == 0
     combine = {"sum": F.sum, "min": F.min, "max": F.max}
     rows = (
@@ -279,11 +282,23 @@ def sums_and_distincts(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple
         .select(*keys, *[f"_{name}" for name in sums], F.col("_x.k").alias("_k"),
                 *[F.col(f"_x.v{j}").alias(f"_v{j}") for j in range(len(types))])
     )
-    combined = rows.groupBy(*keys, "_k", *values).agg(
-        *[combine[how](F.when(first, F.col(f"_{name}"))).alias(name) for name, (how, _) in sums.items()])
+    partial = [combine[how](F.when(first, F.col(f"_{name}"))).alias(name) for name, (how, _) in sums.items()]
     counted = [F.count_if((F.col("_k") == i) & F.col(f"_v{types.index(kinds[c])}").isNotNull()).alias(name)
                for i, (name, c) in enumerate(distincts.items())]
-    return combined.groupBy(*keys).agg(*[combine[how](name).alias(name) for name, (how, _) in sums.items()], *counted)
+    return Entries(rows, ["_k", *[f"_v{j}" for j in range(len(types))]], partial,
+                   [*[combine[how](name).alias(name) for name, (how, _) in sums.items()], *counted])
+
+
+def sums_and_distincts(df: DataFrame, keys: Sequence[str], sums: dict[str, tuple[str, Column]],
+                       distincts: dict[str, str]) -> DataFrame:
+    """Per key: sums / minima / maxima of row values and exact distinct counts of several columns (nulls not counted).
+
+    Entries (see `distinct_entries`) are combined on (key, column, value) on the map side, so a hot key is spread over
+    its values, and then counted per key: two exchanges and about two rows per input row, where several
+    COUNT(DISTINCT) would expand every row once per column and shuffle three times.
+    """
+    made = distinct_entries(df, keys, sums, distincts)
+    return made.rows.groupBy(*keys, *made.by).agg(*made.partial).groupBy(*keys).agg(*made.total)
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -118,18 +118,16 @@ def export_summary_report(packets: DataFrame, format: str, output: str, path: st
     writer.format(format).save(output)
 
 
-def behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: str = "source_ip") -> DataFrame:
-    """Feature table per (time window, host): volume, distinct peers and ports, protocol and flag counts.
+def behavior_features(packets: DataFrame, group_by: str) -> tuple[DataFrame, dict, dict]:
+    """(packets with the host in `group_by`, sums, distincts) of the behaviour table, as `sums_and_distincts` takes them.
 
-    A feature is left out when its column is absent. See `sums_and_distincts` for the plan.
+    A feature is left out when its column is absent.
     """
     one_of("group_by", group_by, ("source_ip", "destination_ip"))
     require(packets, "timestamp")
     have, sending = set(packets.columns), group_by == "source_ip"
     host, peer = (source_ip, destination_ip) if sending else (destination_ip, source_ip)
     base = packets.withColumns({group_by: host(packets), "_peer": peer(packets)}).where(F.col(group_by).isNotNull())
-    base = base.withColumn("window_start", tumbling(time_window).start)
-
     sums = {"packet_count": ("sum", F.lit(1)),
             "total_bytes_sent" if sending else "total_bytes_received":
                 ("sum", F.coalesce(length_column(packets), F.lit(0)))}
@@ -148,4 +146,13 @@ def behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: st
     for column, name in (("TCP_dport", "unique_tcp_dst_port_count"), ("UDP_dport", "unique_udp_dst_port_count")):
         if column in have:
             distincts[name] = column
-    return sums_and_distincts(base, ["window_start", group_by], sums, distincts)
+    return base, sums, distincts
+
+
+def behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: str = "source_ip") -> DataFrame:
+    """Feature table per (time window, host): volume, distinct peers and ports, protocol and flag counts.
+
+    A feature is left out when its column is absent. See `sums_and_distincts` for the plan.
+    """
+    base, sums, distincts = behavior_features(packets, group_by)
+    return sums_and_distincts(base.withColumn("window_start", tumbling(time_window).start), ["window_start", group_by], sums, distincts)

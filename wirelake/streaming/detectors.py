@@ -6,15 +6,21 @@ rows per (window, keys). State of a scanner or a hot host is thus divided over i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from collections.abc import Iterator
 
-from wirelake.errors import one_of, positive
+from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from wirelake.errors import positive
 from wirelake.functions.scalars import has_flag, zero_if_null
 from wirelake.functions.windows import interval_text, window_seconds
 from wirelake.operators.anomaly import _port
 from wirelake.operators.filters import destination_ip, source_ip, tcp_packets, udp_packets
+from wirelake.operators.slices import distinct_entries
+from wirelake.operators.summary import behavior_features
 from wirelake.operators.tcp import SCAN_PROFILES, PortScanConfig, scan_config
-from wirelake.schema import length_column, optional
+from wirelake.schema import length_column
 from wirelake.streaming.core import from_event_time, with_event_time
 
 
@@ -105,27 +111,64 @@ def live_udp_flood(packets: DataFrame, threshold: int = 1000, time_window: str =
     )
 
 
-def live_behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: str = "source_ip",
-                            delay: str = "10m") -> DataFrame:
-    """Behaviour table per (window, host). Peer and port counts are sketches (approx_), so state stays bounded."""
-    one_of("group_by", group_by, ("source_ip", "destination_ip"))
-    sending = group_by == "source_ip"
-    host, peer = ("src_ip", "dst_ip") if sending else ("dst_ip", "src_ip")
-    proto, flags = optional(packets, "IP_proto", "int"), optional(packets, "TCP_flags", "string")
-    rows = _ends(packets.withColumns({"_proto": proto, "_flags": flags}), delay, "_proto", "_flags").where(
-        F.col(host).isNotNull())
+def live_dns_tunneling(packets: DataFrame, length_threshold: int = 100, time_window: str = "1m", delay: str = "10m") -> DataFrame:
+    """Sources of queries for names longer than the threshold in a window: how many, and the longest."""
+    positive("length_threshold", length_threshold)
+    size = F.length("DNS_qname")
+    asked = F.coalesce((F.col("DNS_qr") == 0) & (size > length_threshold), F.lit(False))
     return (
-        rows.groupBy(_window(time_window).alias("w"), F.col(host).alias(group_by))
-        .agg(F.count(F.lit(1)).alias("packet_count"),
-             zero_if_null(F.sum("length")).alias("total_bytes_sent" if sending else "total_bytes_received"),
-             F.approx_count_distinct(peer).alias("approx_peers"),
-             F.approx_count_distinct("dst_port").alias("approx_dst_ports"),
-             *[F.count_if(F.col("_proto") == n).alias(f"{name}_packet_count")
-               for name, n in (("tcp", 6), ("udp", 17), ("icmp", 1))],
-             *[F.count_if(has_flag(F.col("_flags"), x)).alias(f"{name}_count")
-               for name, x in (("syn", "S"), ("rst", "R"), ("fin", "F"), ("psh", "P"))])
-        .select(_start(), *[c for c in (group_by, "packet_count",
-                                        "total_bytes_sent" if sending else "total_bytes_received", "approx_peers",
-                                        "approx_dst_ports", "tcp_packet_count", "udp_packet_count", "icmp_packet_count",
-                                        "syn_count", "rst_count", "fin_count", "psh_count")])
+        _ends(packets, delay, "DNS_qname", "DNS_qr").where(F.col("DNS_qname").isNotNull())
+        .groupBy(_window(time_window).alias("w"), "src_ip").agg(F.count_if(asked).alias("queries"), F.max(F.when(asked, size)).alias("longest"))
+        .where(F.col("queries") > 0).select(_start(), "src_ip", "queries", "longest")
     )
+
+
+class _Bursts(StatefulProcessor):
+    """Count, mean and sum of squared deviations of all windows so far (Welford), under one key."""
+
+    def __init__(self, threshold: float, least: int):
+        self.threshold, self.least = threshold, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, mean double, squares double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, mean, squares = self.seen.get() if self.seen.exists() else (0, 0.0, 0.0)
+        for start, packets in sorted((row["window_start"], row["packets"]) for row in rows):
+            std = math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+            if n >= self.least and packets > mean + self.threshold * std:
+                yield Row(window_start=start, packets=packets, mean=mean, std=std, z=(packets - mean) / std if std else None)
+            n += 1
+            step = packets - mean
+            mean += step / n
+            squares += step * (packets - mean)
+        self.seen.update((n, mean, squares))
+
+
+def live_traffic_bursts(packets: DataFrame, threshold: float = 3.0, time_window: str = "1m", least: int = 10, delay: str = "10m") -> DataFrame:
+    """Windows with more packets than mean + `threshold` standard deviations of all earlier windows that have packets.
+
+    The first `least` windows are never bursts. A window is compared with those before it only, so a row never changes;
+    `detect_traffic_bursts` compares with all windows of a table. Windows, not packets, reach the one key that holds the
+    running moments. Needs a session of `state_session`.
+    """
+    positive("threshold", threshold)
+    positive("least", least)
+    counts = _ends(packets, delay).groupBy(_window(time_window).alias("w")).agg(F.count(F.lit(1)).alias("packets"))
+    schema = "window_start timestamp_ntz, packets long, mean double, std double, z double"
+    return counts.select(_start(), F.window_time("w").alias("at"), "packets", F.lit(0).alias("all")).groupBy("all").transformWithState(
+        _Bursts(threshold, max(2, least)), schema, "append", "EventTime")
+
+
+def live_behavioral_summary(packets: DataFrame, time_window: str = "1m", group_by: str = "source_ip",
+                            delay: str = "10m") -> DataFrame:
+    """Behaviour table per (window, host): the columns of `behavioral_summary`, all of them exact.
+
+    Two chained aggregations as there: packets become entries that are combined on (window, host, column, value), which
+    spreads a busy host's state over its peers and ports, and closed entries are counted per (window, host).
+    """
+    base, sums, distincts = behavior_features(packets, group_by)
+    made = distinct_entries(with_event_time(base, delay), ["event_time", group_by], sums, distincts)
+    entries = made.rows.groupBy(_window(time_window).alias("w"), group_by, *made.by).agg(*made.partial)
+    counted = entries.groupBy(_again(time_window).alias("w2"), group_by).agg(*made.total)
+    return counted.select(_start("w2"), group_by, *[c for c in counted.columns if c not in ("w2", group_by)])

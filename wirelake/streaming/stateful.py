@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wirelake.functions.scalars import micros_to_timestamp, zero_if_null
 from wirelake.functions.windows import interval_text, window_micros
@@ -92,33 +93,53 @@ def live_dns_answers(packets: DataFrame, horizon: str = "5s", width: str = "1m",
                           "client_port", "DNS_qname", "wait_us", "DNS_rcode", "request_bytes", "response_bytes")
 
 
-def live_arp_changes(packets: DataFrame) -> DataFrame:
-    """Changes of the MAC behind a sender address, as they happen. State per address: last MAC and its time.
+class _Bindings(StatefulProcessor):
+    """The last MAC of an address, handed from slice to slice; forgotten after `idle` microseconds without a packet."""
 
-    A packet older than the newest one already seen for its address is ignored.
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "mac string, us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mac, us = self.last.get() if self.last.exists() else (None, None)
+        for at, new, gratuitous in sorted((row["us"], row["mac"], row["gratuitous"]) for row in rows):
+            if us is not None and at - us > self.idle:
+                mac = None
+            if mac is not None and mac != new:
+                yield Row(ip_address=key[0], old_mac=mac, new_mac=new, us=at, is_gratuitous=gratuitous)
+            us, mac = at, new
+        self.last.update((mac, us))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((us + self.idle) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        return iter(())
+
+
+def live_arp_changes(packets: DataFrame, width: str = "1m", delay: str = "10m", idle: str = "30d") -> DataFrame:
+    """Changes of the MAC behind a sender address, in event time: the same for any order in which packets come in.
+
+    Packets of an address are gathered per time slice of `width` until the watermark passes it, so a busy address is
+    many bounded rows of state. A closed slice goes on as its runs of equal MACs, and the last MAC is handed from slice
+    to slice. Packets later than `delay` are dropped (and counted, see `streaming.late`); an address silent for longer
+    than `idle` is forgotten, and its next packet is no change. Needs a session of `state_session`.
     """
-    arp = arp_packets(packets).where(F.col("ARP_sender_ip").isNotNull() & F.col("ARP_sender_mac").isNotNull())
-    rows = arp.select(F.col("ARP_sender_ip").alias("ip_address"), F.col("ARP_sender_mac").alias("mac"),
-                      micros(packets).alias("us"),
-                      F.coalesce(F.col("ARP_sender_ip") == optional(packets, "ARP_target_ip", "string"),
-                                 F.lit(False)).alias("gratuitous"))
-
-    def changes(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last_mac, last_us = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["us", "mac", "gratuitous"], kind="stable")
-        if last_us is not None:
-            rows = rows[rows["us"] >= last_us]
-        if rows.empty:
-            return
-        before = rows["mac"].shift(1)
-        before.iloc[0] = last_mac
-        moved = before.notna() & (before != rows["mac"])
-        state.update((rows["mac"].iloc[-1], int(rows["us"].iloc[-1])))
-        yield pd.DataFrame({"ip_address": key[0], "old_mac": before[moved], "new_mac": rows["mac"][moved],
-                            "us": rows["us"][moved], "is_gratuitous": rows["gratuitous"][moved]})
-
-    found = rows.groupBy("ip_address").applyInPandasWithState(
-        changes, "ip_address string, old_mac string, new_mac string, us long, is_gratuitous boolean",
-        "mac string, us long", "append", "NoTimeout")
-    return found.select("ip_address", "old_mac", "new_mac", micros_to_timestamp(F.col("us")).alias("changed_at"),
-                        "is_gratuitous")
+    arp = arp_packets(with_event_time(packets, delay)).where(F.col("ARP_sender_ip").isNotNull() & F.col("ARP_sender_mac").isNotNull())
+    gathered = (
+        arp.select("event_time", F.col("ARP_sender_ip").alias("ip_address"), F.struct(
+            micros(packets).alias("us"), F.col("ARP_sender_mac").alias("mac"),
+            F.coalesce(F.col("ARP_sender_ip") == optional(packets, "ARP_target_ip", "string"), F.lit(False)).alias("gratuitous")).alias("packet"))
+        .groupBy(F.window("event_time", interval_text(width)).alias("w"), "ip_address")
+        .agg(F.array_sort(F.collect_list("packet")).alias("packets"))
+    )
+    runs = F.expr("filter(packets, (x, i) -> i = 0 or i = size(packets) - 1 or x.mac <> packets[i - 1].mac)")
+    handed = gathered.select("ip_address", F.window_time("w").alias("slice_time"), F.explode(runs).alias("run")) \
+        .select("ip_address", "slice_time", "run.*")
+    found = handed.groupBy("ip_address").transformWithState(
+        _Bindings(window_micros(idle)), "ip_address string, old_mac string, new_mac string, us long, is_gratuitous boolean", "append", "EventTime")
+    return found.select("ip_address", "old_mac", "new_mac", micros_to_timestamp(F.col("us")).alias("changed_at"), "is_gratuitous")
