@@ -31,9 +31,9 @@ from wirelake.llm.decontamination import packed, unpacked
 from wirelake.llm.encoding import Encoder, Memory, byte_signs, cut, parts
 
 #: Bytes of text of a part; a longer text is a part of its own.
-PART = 8_000_000
+PART = 4_000_000
 #: Chunks of a generation that a worker remembers (see encoding.Memory).
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Chunks aligned at once.
 BATCH = 20_000
 #: Marks, in the id of B of a link, a one-to-one group of the same bytes.
@@ -219,6 +219,7 @@ class Alignment:
                   "groups string")
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            _ALIGNERS.clear()  # what a worker remembers of chunks is not needed from here on
             row = {name: left[name][0] for name in left.column_names}
             read = lambda name: np.frombuffer(row[name].as_buffer(), np.uint8)
             figures = np.frombuffer(row["figures"].as_buffer(), "<i8").reshape(-1, 5)
