@@ -26,8 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from wirelake.llm.common import quoted, written
-from wirelake.llm.decontamination import packed, unpacked
+from wirelake.llm.common import packed, quoted, unpacked, written
 from wirelake.llm.encoding import Encoder, Memory, byte_signs, cut, parts
 
 #: Bytes of text of a part; a longer text is a part of its own.

@@ -90,10 +90,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends with a zero before them): each value as seven bits a byte, the highest bit set on all but its last."""
+    values = values.astype(np.uint64)
+    length = 1 + sum((values >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(5):
+        here = np.flatnonzero(length > k)
+        if len(here):
+            more = (length[here] > k + 1).astype(np.uint8) << 7
+            out[ends[here] + k] = (values[here] >> np.uint64(7 * k)).astype(np.uint8) & 127 | more
+    return out, ends
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    """The values of packed()."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(raw < 128)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    shift = np.arange(len(raw)) - np.repeat(begins, ends - begins + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, begins)
+
+
 def folded_letter(ch: str, look_alike: dict[str, str]) -> str:
     """One character as matching sees it: a lower-case letter, or a space for whatever is none."""
     ch = look_alike.get(ch, ch)

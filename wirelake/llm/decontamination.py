@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from wirelake.llm.common import quoted, written
+from wirelake.llm.common import packed, quoted, unpacked, written
 from wirelake.llm.encoding import bytes_of, parts
 
 WINDOW = 10
@@ -61,30 +61,6 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 # ---- posting lists
 
-def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends with a zero before them): each value as seven bits a byte, the highest bit set on all but its last."""
-    values = values.astype(np.uint64)
-    length = 1 + sum((values >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
-    ends = np.concatenate([[0], np.cumsum(length)])
-    out = np.zeros(int(ends[-1]), np.uint8)
-    for k in range(5):
-        here = np.flatnonzero(length > k)
-        if len(here):
-            more = (length[here] > k + 1).astype(np.uint8) << 7
-            out[ends[here] + k] = (values[here] >> np.uint64(7 * k)).astype(np.uint8) & 127 | more
-    return out, ends
-
-
-def unpacked(raw: np.ndarray) -> np.ndarray:
-    """The values of packed()."""
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    ends = np.flatnonzero(raw < 128)
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    shift = np.arange(len(raw)) - np.repeat(begins, ends - begins + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, begins)
-
-
 def _segment_rows(number: int, words: list[pa.Array], lengths: np.ndarray, ids: list[int | None]) -> Iterator[pa.RecordBatch]:
     """The rows of a segment: its documents, then each word with its places. Between documents one place is empty."""
     names = ["segment", "term", "n", "body"]

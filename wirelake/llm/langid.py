@@ -27,14 +27,20 @@ UNKNOWN = "und"
 _BREAK = 32
 
 
+#: Ideographs from here on are too many for a number of 16 bits each and share numbers by their remainder.
+_RARE = 0x20000
+
+
 def letter_table() -> np.ndarray:
-    """By code point: the lower-case letter, or a break."""
+    """By code point: the number of its lower-case letter, or a break. Letters are numbered in order, each for itself up to
+    U+1FFFF; of a lower case of several characters (one letter has one) the first counts."""
     made = np.full(0x110000, _BREAK, np.uint16)
-    for code in range(0x110000):
-        ch = chr(code)
-        if ch.isalpha():
-            low = ch.lower()
-            made[code] = min(ord(low[0]), 0xFFFF)
+    codes = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+    low = np.array([ord(chr(c).lower()[0]) for c in codes])
+    kinds, at = np.unique(low[low < _RARE], return_inverse=True)
+    made[codes[low < _RARE]] = _BREAK + 1 + at
+    room = 0xFFFF - _BREAK - 1 - len(kinds)
+    made[codes[low >= _RARE]] = _BREAK + 1 + len(kinds) + low[low >= _RARE] % room
     return made
 
 

@@ -1,8 +1,11 @@
 """Consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
 The ring is cut into equal cells; a document belongs to the cell that its hash falls in, and a cell to the first
-virtual node clockwise. Cells are dealt in hash order. A cell that would fill its shard over the bound goes on
-clockwise to the first shard that still has room, so no shard is over the bound and only the overflow moves.
+virtual node clockwise. A node stands where the hash of its shard and replica falls, whatever other shards there are, so
+one more shard takes over cells and leaves the rest where they are, but for overflow. Cells are dealt by descending
+size. A cell that would fill its shard over the bound goes on clockwise to the first shard that still has room. Small
+cells come last and fill what is left, so no shard is over the bound, `slack` above the mean, unless single cells are so
+large that none has room; such a cell goes to the least full shard, which it fills over the bound by less than itself.
 
 Only the table of cell sizes (`cells` rows, whatever the input) is brought together; documents are aggregated to it
 before anything is shuffled, and get their shard by a join with that table.
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelake.llm.common import quoted, without
 
 CELLS = 4096
-VIRTUAL_NODES = 64
+VIRTUAL_NODES = 128
 SLACK = 0.0005
 SUB_CELLS = 16
 
@@ -33,13 +36,13 @@ def ring(shards: int, virtual_nodes: int, cells: int) -> Column:
     """The virtual nodes clockwise: array of (cell at whose start the node stands, shard)."""
     return F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(shards * virtual_nodes - 1)),
-        lambda i: F.struct(F.pmod(F.xxhash64(F.lit("node"), i), F.lit(cells)).alias("cell"), (i % shards).alias("shard"))))
+        lambda i: F.struct(F.pmod(F.xxhash64(F.lit("node"), i % shards, F.floor(i / shards)), F.lit(cells)).alias("cell"), (i % shards).alias("shard"))))
 
 
 def place_cells(sizes: DataFrame, shards: int, virtual_nodes: int, cells: int, slack: float) -> DataFrame:
     """(cell, shard, home) from (cell, size): bounded loads, one fold over at most `cells` rows."""
     one = sizes.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit("order"), "cell").alias("turn"), "cell", "size"))).alias("queue"),
+        F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("turn"), F.xxhash64(F.lit("order"), "cell").alias("tie"), "cell", "size"))).alias("queue"),
         F.ceil(F.sum("size") * (1 + slack) / shards).alias("bound"))
     one = _settled(one.withColumn("ring", ring(shards, virtual_nodes, cells)))
     # A cell's walk: owners from its first node on, then from the start of the ring; a shard comes up again harmlessly.
@@ -76,8 +79,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
                   virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
     """`docs` with `size` (long), `shard` (0 to shards - 1), `home_shard` (where the ring alone would put it) and `cell`.
 
-    Sizes of shards come to within `slack` plus one cell of each other's mean; the key of a document is its id with
-    its text. Rows equal in both share a cell. A null id or text is a value like any other; a column of that name in
+    No shard is larger than the mean by more than `slack` (see above for cells too large for that); the key of a document
+    is its id with its text. Rows equal in both share a cell. A null id or text is a value like any other; a column of that name in
     `docs` is replaced; an empty table gives an empty one.
     """
     keep = without(docs, ["size", "shard", "home_shard", "cell"])
@@ -94,14 +97,16 @@ def with_slots(assigned: DataFrame, order: list[str], id_col: str = "doc_id") ->
     """`assigned` (of assign_shards) with `slot`: its place in the shard, without gaps.
 
     Places are counted in two levels, cells and parts of cells, so no task sees a whole shard. `assigned` is
-    shuffled as it is: select what is wanted first.
+    shuffled as it is: select what is wanted first. Rows follow `order` inside a part of a cell, nulls first; rows equal in
+    it have places next to each other. All columns stay but one named slot; an empty table gives an empty one.
     """
+    keep = without(assigned, ["slot"])
     part = F.pmod(F.xxhash64(F.lit(2), quoted(id_col)), F.lit(SUB_CELLS))
-    rows = assigned.withColumn("part", part)
-    rank = "row_number() over (partition by cell, part order by " + ", ".join(f"`{x}`" for x in order) + ")"
-    ranked = rows.withColumn("rank", F.expr(rank))
+    rows = assigned.select(F.struct(*[quoted(x) for x in keep]).alias("row"), "shard", "cell", part.alias("part"))
+    rank = "row_number() over (partition by cell, part order by " + ", ".join(f"row.`{x}`" for x in order) + ")"
+    ranked = rows.select("row", "cell", "part", F.expr(rank).alias("rank"))
     before = rows.groupBy("shard", "cell", "part").agg(F.count("*").alias("n")).withColumn(
         "before", F.expr("coalesce(sum(n) over (partition by shard order by cell, part rows between unbounded preceding "
                          "and 1 preceding), 0)")).select("cell", "part", "before")
-    return ranked.join(before, ["cell", "part"]).withColumn("slot", F.col("before") + F.col("rank") - 1).drop(
-        "before", "rank", "part")
+    return ranked.join(before, ["cell", "part"]).select(
+        *[F.col("row").getField(x).alias(x) for x in keep], (F.col("before") + F.col("rank") - 1).alias("slot"))

@@ -262,10 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return printed.join(classes, "simhash").select(F.col("id").alias(id_col), "simhash", "component_id"), classes
     by_row = printed.join(classes, "simhash").groupBy("id", "check").agg(
         F.first("simhash").alias("simhash"), F.first("component_id").alias("component_id"))
-    rows = docs.select(*[quoted(x) for x in keep], quoted(id_col).cast("long").alias("own id"),
+    rows = docs.select(*[quoted(x).alias(f"c{i}") for i, x in enumerate(keep)], quoted(id_col).cast("long").alias("own id"),
                        F.xxhash64(quoted(id_col).cast("long"), quoted(text_col)).alias("own check"))
     return rows.join(by_row, F.col("own id").eqNullSafe(F.col("id")) & (F.col("own check") == F.col("check"))) \
-        .select(*[quoted(x) for x in keep], "simhash", "component_id"), classes
+        .select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(keep)], "simhash", "component_id"), classes
 
 
 def class_ids(printed: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -29,7 +29,6 @@ LOOK_ALIKE = {
 #: Labelled rows of each class that the lexicon and the calibration are fitted on, at most.
 SAMPLE = 10_000
 SHORTEST, LONGEST = 3, 10
-LEXICON = 20_000
 THRESHOLD = 0.7
 
 
@@ -64,10 +63,17 @@ class Matcher:
     def phrases(self, folded: str, start: int) -> list[str]:
         """The word at `start` with the word before it and with the one after it."""
         end = folded.index(" ", start)
-        word = folded[start:end]
-        before = folded[max(0, start - 60):start].split()
-        after = folded[end:end + 60].split()
-        return [f"{x} {word}" for x in before[-1:]] + [f"{word} {x}" for x in after[:1]]
+        word, out = folded[start:end], []
+        last = start - 1
+        while last > 0 and folded[last] == " ":
+            last -= 1
+        if last > 0:
+            out.append(f"{folded[folded.rfind(' ', 0, last) + 1:last + 1]} {word}")
+        while end < len(folded) and folded[end] == " ":
+            end += 1
+        if end < len(folded):
+            out.append(f"{word} {folded[end:folded.index(' ', end)]}")
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """(log of 1 + weight, log of 1 + weight in 100 words) of a whole text."""
@@ -150,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             .withColumn("weight", F.expr(f"ln((toxic + 0.5) / {toxic + 1}) - ln((clean + 0.5) / {clean + 1})"))
         tried = max(1, counted.count())
         top = counted.where((F.col("weight") > 2.0) & (F.col("stands_out") > math.log(tried) + 3)) \
-            .orderBy(F.desc("stands_out"), "feature").limit(LEXICON).collect()
+            .collect()  # three toxic rows of the sample each
         weights: dict[str, float] = {}
         for r in sorted(top, key=lambda r: (len(r["feature"]), r["feature"])):
             x = r["feature"]
@@ -171,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
         harmless = _count(fit, neighbours).where(
             f"clean >= 5 and ln((toxic + 0.5) / {toxic + 1}) - ln((clean + 0.5) / {clean + 1}) < -1.0")
-        exceptions = frozenset(r["feature"] for r in harmless.orderBy(F.desc("clean"), "feature").limit(LEXICON).collect())
+        exceptions = frozenset(r["feature"] for r in harmless.collect())
         known = Lexicon(weights, exceptions)
         rest = add_columns(sample.where("part >= 7"), "text", [field("whole", "double"), field("dense", "double")],
                            lambda: _pairs(Matcher(known))).select("whole", "dense", "y", "weight").collect()
