@@ -154,3 +154,22 @@ def test_describe_takes_every_column(spark, small_dir, tmp_path):
     odd = spark.createDataFrame([(True, 0.5), (False, 1.5), (None, None)], "b boolean, d double")
     rows = {r["column"]: r for r in describe(odd).collect()}
     assert (rows["d"].mean, rows["d"].p50, rows["b"].mean, rows["b"].null_count) == (1.0, 1.0, 0.5, 1)
+
+
+def test_describe_takes_doubles_of_any_size(spark):
+    from wirelake.operators.filters import describe
+
+    nan, inf = float("nan"), float("inf")
+    odd = spark.createDataFrame([(nan, 1e13, inf), (1e13, 1e-9, -inf), (1e-9, -3e300, 5e-324), (None, 0.0, -0.0)], "d double, e double, f double")
+    rows = {r["column"]: r for r in describe(odd).collect()}
+    d, e, f = (rows[c] for c in "def")
+    assert (d["count"], d.null_count, d.min, d.p50) == (3, 1, 1e-9, 1e13) and d.mean != d.mean and d.max != d.max
+    assert (e["count"], e.null_count, e.min, e.max, e.p50, e.mean) == (4, 0, -3e300, 1e13, 5e-10, -7.5e299)
+    assert (f.min, f.max, f.p50) == (-inf, inf, 0.0)
+    import random
+    import statistics
+
+    rnd = random.Random(1)
+    values = [rnd.choice([-1, 1]) * rnd.random() * 10.0 ** rnd.randint(-300, 300) for _ in range(999)]
+    row = describe(spark.createDataFrame([(v,) for v in values], "x double")).head()
+    assert [row.p25, row.p50, row.p75] == statistics.quantiles(values, n=4, method="inclusive")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wirelake.catalog.entry import bucket, packets, seconds, sql_private
+from wirelake.catalog.entry import bucket, changed, packets, seconds, sql_private
 from wirelake.operators import anomaly, arp, dns, flow, icmp, ip, tcp, udp
 
 _TCP = "IP_proto = 6"
@@ -22,6 +22,14 @@ def _flag_count(letter: str) -> str:
     return f"SELECT {_n(f'contains(TCP_flags, {letter!r})')} AS count FROM p WHERE {_TCP}"
 
 
+_SEQUENCES = (f"SELECT {_KEY}, row_number() OVER (PARTITION BY {_KEY} ORDER BY timestamp NULLS LAST, TCP_seq NULLS FIRST, TCP_flags) AS position, "
+              f"TCP_flags, count(*) OVER (PARTITION BY {_KEY}) AS packet_count FROM {{}} WHERE {_TCP} AND TCP_flags IS NOT NULL")
+
+
+def _known_ports(df):
+    return df.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("src_port", "dst_port")})
+
+
 _DURATIONS = f"""
 WITH c AS (SELECT {_KEY}, min(timestamp) AS start_time, max(timestamp) AS end_time,
            round({seconds('min(timestamp)', 'max(timestamp)')}, 6) AS duration_s
@@ -85,10 +93,10 @@ FROM p, (VALUES ('FIN','F'),('SYN','S'),('RST','R'),('PSH','P'),('ACK','A'),('UR
     "tcp_fin_count": packets(tcp.get_fin_count, _flag_count("F")),
     "tcp_ack_count": packets(tcp.get_ack_count, _flag_count("A")),
     "tcp_psh_count": packets(tcp.get_psh_count, _flag_count("P")),
-    "tcp_flag_sequences": packets(
-        tcp.analyze_flag_sequences,
-        f"SELECT {_KEY}, row_number() OVER (PARTITION BY {_KEY} ORDER BY timestamp, TCP_seq NULLS FIRST, TCP_flags) AS position, "
-        f"TCP_flags, count(*) OVER (PARTITION BY {_KEY}) AS packet_count FROM p WHERE {_TCP} AND TCP_flags IS NOT NULL"),
+    "tcp_flag_sequences": packets(tcp.analyze_flag_sequences, _SEQUENCES.format("p")),
+    "tcp_flag_sequences_without_times": changed(
+        tcp.analyze_flag_sequences, {"timestamp": "CASE WHEN raw_size % 7 = 3 THEN NULL ELSE timestamp END",
+                                     "TCP_seq": "CASE WHEN raw_size % 21 = 3 THEN NULL ELSE TCP_seq END"}, _SEQUENCES.format("q")),
     "tcp_window_size_stats": packets(
         tcp.get_window_size_stats,
         "SELECT min(TCP_window) AS min, max(TCP_window) AS max, round(avg(TCP_window), 6) AS mean, "
@@ -109,10 +117,11 @@ SELECT TCP_dport, CASE TCP_dport WHEN 20 THEN 'FTP-DATA' WHEN 21 THEN 'FTP' WHEN
   WHEN 8080 THEN 'HTTP-ALT' ELSE 'Unknown' END AS service_name, count(*) AS count,
   round(count(*) * 100.0 / (SELECT count(*) FROM p WHERE {_TCP}), 6) AS percentage
 FROM p WHERE {_TCP} AND TCP_dport IS NOT NULL GROUP BY TCP_dport ORDER BY count DESC, TCP_dport LIMIT 10"""),
-    "tcp_non_standard_ports": packets(
-        lambda p: tcp.detect_non_standard_ports(p, 1),
-        f"SELECT IP_dst, TCP_dport, count(*) AS packet_count FROM p WHERE {_TCP} AND TCP_dport BETWEEN 49152 AND 65535 "
-        "GROUP BY ALL HAVING count(*) > 1"),
+    "tcp_non_standard_ports": changed(
+        lambda p: tcp.detect_non_standard_ports(p, 2),
+        {"TCP_dport": "CASE WHEN TCP_dport >= 20000 THEN 49150 + TCP_dport % 4 ELSE TCP_dport END"},
+        f"SELECT IP_dst, TCP_dport, count(*) AS packet_count FROM q WHERE {_TCP} AND TCP_dport BETWEEN 49152 AND 65535 "
+        "GROUP BY ALL HAVING count(*) > 2"),
     "tcp_port_class_ratio": packets(
         tcp.get_ephemeral_vs_wellknown_ratio, f"""
 WITH c AS (SELECT {_n('TCP_dport >= 0 AND TCP_dport < 1024')} AS well_known,
@@ -202,6 +211,15 @@ h AS (SELECT ip_address, coalesce(packets_sent, 0) AS packets_sent, coalesce(byt
 _FRAGMENT = "(coalesce(contains(IP_flags, 'MF'), false) OR coalesce(IP_frag > 0, false))"
 _DSCP_NAME = "CASE {} WHEN 0 THEN 'BE' WHEN 8 THEN 'CS1' WHEN 10 THEN 'AF11' WHEN 46 THEN 'EF' ELSE 'OTHER' END"
 _SP, _DP = sql_private("IP_src"), sql_private("IP_dst")
+# IPv6 text, the first seven private, the others public.
+_V6 = ("fd00::1", "fe80::1%eth0", "::1", "2001:DB8::5", "::ffff:10.1.2.3", "64:ff9b:1:0:0:0:0:9", "2001:10::1",
+       "2001:4860:4860::8888", "2606:4700::1111", "::ffff:8.8.8.8", "2001:3::1", "2001:20::7", "2400:cb00:2048:1::c629:d7a2")
+_PICK = {"src": "raw_size % 13", "dst": "(raw_size + coalesce(IP_len, 0)) % 13"}
+_IS_V6 = {"src": "raw_size % 3 = 0", "dst": "raw_size % 2 = 0"}
+_BOTH_FAMILIES = {f"IP_{e}": f"CASE WHEN {_IS_V6[e]} THEN NULL ELSE IP_{e} END" for e in ("src", "dst")} | {
+    f"IPv6_{e}": f"CASE WHEN {_IS_V6[e]} AND IP_{e} IS NOT NULL THEN CASE {_PICK[e]} "
+                 + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_V6)) + " END END" for e in ("src", "dst")}
+_SP6, _DP6 = (f"CASE WHEN IP_{e} IS NOT NULL THEN {sql_private(f'IP_{e}')} WHEN IPv6_{e} IS NOT NULL THEN {_PICK[e]} < 7 END" for e in ("src", "dst"))
 _WIDE = ["timestamp", "IP_src", "IP_dst", "IP_len", "raw_size"]
 _WIDE_SQL = ", ".join(_WIDE)
 
@@ -255,6 +273,17 @@ SELECT ip_address, starts_with(ip_address, '10.0.') AS is_internal FROM h WHERE
     "ip_lateral_traffic": packets(
         lambda p: ip.get_lateral_traffic(p).select(*_WIDE),
         f"SELECT {_WIDE_SQL} FROM p WHERE IP_src IS NOT NULL AND {_SP} AND {_DP}"),
+    "ip_border_traffic_ipv6": changed(
+        lambda p: ip.get_border_traffic(p).select(*_WIDE, "IPv6_src", "IPv6_dst"), _BOTH_FAMILIES,
+        f"SELECT {_WIDE_SQL}, IPv6_src, IPv6_dst FROM q WHERE ({_SP6}) <> ({_DP6})"),
+    "ip_lateral_traffic_ipv6": changed(
+        lambda p: ip.get_lateral_traffic(p).select(*_WIDE, "IPv6_src", "IPv6_dst"), _BOTH_FAMILIES,
+        f"SELECT {_WIDE_SQL}, IPv6_src, IPv6_dst FROM q WHERE ({_SP6}) AND ({_DP6})"),
+    "ip_internal_external_ratio_ipv6": changed(
+        ip.get_internal_vs_external_ratio, _BOTH_FAMILIES, f"""
+WITH c AS (SELECT CASE WHEN {_SP6} AND {_DP6} THEN 'internal' WHEN {_SP6} THEN 'outbound' WHEN {_DP6} THEN 'inbound'
+           ELSE 'external' END AS direction, count(*) AS packets FROM q WHERE ({_SP6}) IS NOT NULL AND ({_DP6}) IS NOT NULL GROUP BY 1)
+SELECT direction, packets, round(packets / sum(packets) OVER (), 6) AS ratio FROM c"""),
     "ip_fragmentation_stats": packets(
         ip.get_fragmentation_stats,
         f"SELECT count(*) AS total, {_n(_FRAGMENT)} AS fragmented, {_n(chr(40) + 'contains(IP_flags, ' + repr('DF') + '))')} "
@@ -397,10 +426,12 @@ q AS (SELECT w AS window_start, IP_src AS src_ip, IP_dst AS broadcast_ip, count(
 a AS (SELECT w AS window_start, IP_dst AS src_ip, count(*) AS replies FROM e WHERE ICMP_type = 0 GROUP BY ALL)
 SELECT window_start, src_ip, broadcast_ip, requests, coalesce(replies, 0) AS replies
 FROM q LEFT JOIN a USING (window_start, src_ip)"""),
-    "icmp_ping_of_death": packets(
-        lambda p: icmp.detect_ping_of_death(p, 100).drop("ip_id"), f"""
-SELECT IP_src AS src_ip, IP_dst AS dst_ip, count(*) AS fragments, max(IP_frag * 8 + IP_len - 20) AS reassembled_size
-FROM p WHERE IP_proto = 1 AND {_FRAGMENT} GROUP BY ALL HAVING max(IP_frag * 8 + IP_len - 20) > 100"""),
+    "icmp_ping_of_death": changed(
+        lambda p: icmp.detect_ping_of_death(p).drop("ip_id"),
+        {"IP_frag": "CASE WHEN IP_proto = 1 AND raw_size % 5 < 2 THEN 8100 + (raw_size % 3) * 45 ELSE IP_frag END",
+         "IP_flags": "CASE WHEN IP_proto = 1 AND raw_size % 5 = 2 THEN 'MF' ELSE IP_flags END"}, f"""
+SELECT IP_src AS src_ip, IP_dst AS dst_ip, count(*) AS fragments, max(CAST(IP_frag AS BIGINT) * 8 + IP_len - 20) AS reassembled_size
+FROM q WHERE IP_proto = 1 AND {_FRAGMENT} GROUP BY ALL HAVING max(CAST(IP_frag AS BIGINT) * 8 + IP_len - 20) > 65535"""),
     "icmp_packet_count": packets(icmp.get_icmp_packet_count, "SELECT count(*) AS count FROM p WHERE IP_proto = 1"),
     "icmp_top_sources": packets(
         icmp.get_top_icmp_sources,
@@ -621,10 +652,12 @@ a AS (SELECT {bucket('1 hour')} AS window_start, IP_dst AS src_ip, count(*) AS a
 SELECT window_start, src_ip, syn_count, coalesce(acks, 0) AS syn_ack_received, syn_count - coalesce(acks, 0) AS imbalance
 FROM s LEFT JOIN a USING (window_start, src_ip) WHERE syn_count > 2"""),
     "anomaly_udp_flood": packets(lambda p: anomaly.detect_udp_flood(p, 1, "1h"), _udp_flood(1, ">")),
-    "anomaly_land_attack": packets(
-        anomaly.detect_land_attack,
-        "SELECT timestamp, IP_src AS src_ip, IP_dst AS dst_ip, coalesce(TCP_sport, UDP_sport) AS src_port, "
-        f"{_PORT} AS dst_port, coalesce(TCP_sport, UDP_sport) IS NOT DISTINCT FROM {_PORT} AS same_port FROM p "
+    "anomaly_land_attack": changed(
+        lambda p: _known_ports(anomaly.detect_land_attack(p)),
+        {"IP_dst": "CASE WHEN raw_size % 31 = 5 THEN IP_src ELSE IP_dst END",
+         "TCP_dport": "CASE WHEN raw_size % 62 = 5 THEN TCP_sport ELSE TCP_dport END"},
+        "SELECT timestamp, IP_src AS src_ip, IP_dst AS dst_ip, coalesce(TCP_sport, UDP_sport, -1) AS src_port, "
+        f"coalesce({_PORT}, -1) AS dst_port, coalesce(TCP_sport, UDP_sport) IS NOT DISTINCT FROM {_PORT} AS same_port FROM q "
         "WHERE IP_src = IP_dst"),
     "anomaly_tiny_fragments": packets(
         lambda p: anomaly.detect_tiny_fragments(p).select(*_WIDE, "IP_flags", "IP_frag"),

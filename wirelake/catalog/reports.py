@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wirelake.catalog.entry import bucket, packets, sql_private
 from wirelake.catalog.protocols import ENTRIES as DETECTORS, _PORT, _scan
 from wirelake.plans import findings, workflows as w
+from wirelake.session import scratch_path
+from wirelake.sources import parquet
 
 _HOST = "192.168.1.5"
 _SCANNER = "10.0.9.9"
@@ -169,16 +173,33 @@ _COUNTS = ("SELECT v.severity, count(a.severity) AS findings FROM (VALUES ('crit
            f"('info')) AS v(severity) LEFT JOIN ({_AUDIT}) a ON a.severity = v.severity GROUP BY 1")
 
 
-def _report_json(p):
-    """The audit report written as JSON and read back."""
-    from wirelake.session import scratch_path
+_TALKERS = ("SELECT 'Top 5 Bandwidth Consumers' AS section, ip_address AS metric, CAST(total_bytes AS VARCHAR) "
+            f"AS value FROM ({_rows('ip_most_active_by_bytes')})")
+_REPORT_COLUMNS = ("severity", "category", "description", "details", "n", "findings", "section", "metric", "value")
 
+
+def _report_json(p):
+    """The audit report written as JSON and read back: findings, counts by severity and sections."""
     report = w.daily_audit(p)
     path = scratch_path(p.sparkSession, "report")
     report.to_json(path)
-    back = p.sparkSession.read.schema(
-        "title string, severity string, category string, description string, details string, n long")
-    return back.json(f"{path}/findings")
+    kinds = {"n": "long", "findings": "long"}
+    schema = "title string, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in _REPORT_COLUMNS)
+    parts = [p.sparkSession.read.schema(schema).json(f"{path}/{part}").withColumn("part", F.lit(part)) for part in ("findings", "severity_counts", "sections")]
+    return findings.union(parts).where("metric is null or metric <> 'duration'")
+
+
+def _report_sql() -> str:
+    network = _section("SELECT * FROM p", "Network Statistics", total_packets="count(*)", start="min(timestamp)", end="max(timestamp)")
+    parts = {"findings": _AUDIT, "severity_counts": _COUNTS, "sections": _all(network, _TALKERS)}
+    return " UNION ALL BY NAME ".join(f"SELECT 'Daily Security Audit Report' AS title, '{part}' AS part, a.* FROM ({sql}) a" for part, sql in parts.items())
+
+
+def _clustered(p):
+    """An investigation of the landed table in the layout for hosts."""
+    path = scratch_path(p.sparkSession, "clustered")
+    parquet.save_clustered(p, path)
+    return w.ip_investigation(parquet.load_landed(p.sparkSession, path), _SCANNER).findings
 
 
 ENTRIES = {
@@ -189,9 +210,7 @@ ENTRIES = {
     "check_dns_threats": packets(w.check_dns_threats, _DNS_THREATS),
     "check_arp_threats": packets(w.check_arp_threats, _ARP_THREATS),
     "check_icmp_threats": packets(w.check_icmp_threats, _ICMP_THREATS),
-    "check_top_talkers": packets(
-        w.top_talkers, "SELECT 'Top 5 Bandwidth Consumers' AS section, ip_address AS metric, CAST(total_bytes AS VARCHAR) "
-        f"AS value FROM ({_rows('ip_most_active_by_bytes')})"),
+    "check_top_talkers": packets(w.top_talkers, _TALKERS),
     "check_failed_connections": packets(w.check_failed_connections, _FAILED),
     "check_suspicious_ips": packets(w.check_suspicious_ips, _SUSPICIOUS),
     "check_data_exfiltration": packets(lambda p: w.check_data_exfiltration(p, 2000), _exfiltration(2000)),
@@ -205,7 +224,7 @@ ENTRIES = {
                                                                 "{n} packets")).findings,
         _all(_C2, _finding("SELECT * FROM p WHERE TCP_flags = 'FPU'", "high", "Xmas Scan", "{n} packets"))),
     "audit_report_json": packets(
-        _report_json, f"SELECT 'Daily Security Audit Report' AS title, a.* FROM ({_AUDIT}) a"),
+        _report_json, f"SELECT {', '.join(('title', 'part', *_REPORT_COLUMNS))} FROM ({_report_sql()})"),
     "host_basic_info": packets(lambda p: w.host_basics(p, _HOST), _BASICS),
     "host_traffic_stats": packets(lambda p: w.host_traffic(p, _HOST), _TRAFFIC),
     "host_protocol_breakdown": packets(lambda p: w.host_protocols(p, _HOST), _PROTOCOLS),
@@ -214,6 +233,7 @@ ENTRIES = {
     "host_attack_patterns": packets(lambda p: w.check_attack_patterns(p, _SCANNER, 20, 20), _attacks(_SCANNER, 20, 20)),
     "host_dns_activity": packets(lambda p: w.check_dns_activity(p, "10.0.1.18"), _dns_activity("10.0.1.18")),
     "host_investigation": packets(lambda p: w.ip_investigation(p, _SCANNER).findings, _INVESTIGATION),
+    "host_investigation_clustered": packets(_clustered, _INVESTIGATION),
     "hunt_c2": packets(lambda p: w.hunt_for_c2(p).findings, _C2),
     "hunt_data_theft": packets(lambda p: w.hunt_for_data_theft(p).findings, _THEFT),
     "hunt_lateral_movement": packets(lambda p: w.hunt_for_lateral_movement(p).findings, _LATERAL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -38,6 +39,15 @@ def _filled_sql(columns=_COLUMNS, source: str = "p", tail: str = "") -> str:
     return f"SELECT {shown} FROM {source} {tail}"
 
 
+def _saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The table written under a name with the time of writing, and found again by the path given back."""
+    path = parquet.save_to_parquet(packets_from_folder(spark, folder), scratch_path(spark, "saved"), "capture")
+    if not re.fullmatch(r".*/capture_\d+\.parquet", path):
+        raise AssertionError(path)
+    return parquet.load_landed(spark, path).groupBy("IP_src").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("raw_size").alias("bytes"), F.max("timestamp").alias("last_seen"))
+
+
 def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "packets")
     parquet.save_packets(packets_from_folder(spark, folder), path, "zstd")
@@ -139,6 +149,8 @@ _LAYER_TESTS = {"IP": "IP_src IS NOT NULL", "TCP": "TCP_sport IS NOT NULL", "UDP
 SOURCES = {
     "packet_view": packets(_filled, _filled_sql()),
     "table_round_trip": tables(_round_trip, oracle(_filled_sql())),
+    "table_save_to_parquet": tables(_saved, oracle(
+        "SELECT IP_src, count(*) AS packets, CAST(sum(raw_size) AS BIGINT) AS bytes, max(timestamp) AS last_seen FROM p GROUP BY 1")),
     "table_append": tables(_appended, oracle(
         "SELECT coalesce(IP_proto, -1) AS IP_proto, count(*) AS packets, count(TCP_dport) AS with_port, "
         "CAST(sum(raw_size) AS BIGINT) AS bytes FROM p GROUP BY 1")),
@@ -198,6 +210,16 @@ def _sampled(p: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("n_different"), F.count("own").alias("n_known"))
 
 
+_FRACTIONS = {"half": "raw_size * 0.5D", "huge": "raw_size * 3.0D * 1e13D", "tiny": "raw_size / 1073741824.0D", "signed": "(raw_size - 100) * 0.125D"}
+
+
+def _described_fractions(p: DataFrame) -> DataFrame:
+    """Fractions of every size, shown in units in which both engines round alike."""
+    rows = filters.describe(p.select(*[F.expr(e).alias(c) for c, e in _FRACTIONS.items()]))
+    unit = F.when(F.col("column") == "huge", 1e13).when(F.col("column") == "tiny", 1 / 1073741824.0).otherwise(1.0)
+    return rows.select(*[(F.col(c) / unit).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
 def _described(p: DataFrame) -> DataFrame:
     """All columns; seconds of the timestamp to a thousandth, as both engines add up large numbers."""
     rows = filters.describe(p, *_COLUMNS)
@@ -245,6 +267,13 @@ FILTERS = {
 }
 
 
+_PLAIN = {"half": "raw_size * 0.5::DOUBLE", "huge": "raw_size * 3.0::DOUBLE * 1e13::DOUBLE", "tiny": "raw_size / 1073741824.0::DOUBLE",
+          "signed": "(raw_size - 100) * 0.125::DOUBLE"}
+_UNITS = {"huge": "/ 1e13", "tiny": "* 1073741824.0::DOUBLE"}
+FILTERS["rows_describe_fractions"] = packets(_described_fractions, " UNION ALL ".join(
+    _describe_sql(c, f"({e})", _UNITS.get(c, "")) for c, e in _PLAIN.items()))
+
+
 def _behavior(host: str, peer: str, name: str, size: str, peers: str, window: str) -> str:
     flags = ", ".join(f"count(*) FILTER (WHERE contains(TCP_flags, '{x}')) AS {n}_count"
                       for n, x in (("syn", "S"), ("rst", "R"), ("fin", "F"), ("psh", "P")))

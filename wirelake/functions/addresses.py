@@ -7,8 +7,10 @@ Text that is not an address gives null.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Networks counted as private, and the public holes inside them.
 PRIVATE_V4 = (
@@ -79,22 +81,135 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _dotted_tail(text: Column) -> Column:
+    """IPv6 text whose dotted end, if it has one, is two groups of hex digits."""
+    tail = ipv4_long(F.substring_index(text, ":", -1))
+    groups = F.lower(F.regexp_replace(F.lpad(F.hex(tail), 8, "0"), "^(.{4})", "$1:"))
+    return F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), groups)).otherwise(text)
+
+
+def _digits(text: Column) -> Column:
+    """The 32 hex digits of lower-case IPv6 text without dots, else null."""
+    missing = 8 - F.regexp_count(text, F.lit("[0-9a-f]+"))
+    filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
+    for zeros in (1, 2, 3):
+        filled = F.regexp_replace(filled, f"(?<![0-9a-f])([0-9a-f]{{{4 - zeros}}})(?![0-9a-f])", "0" * zeros + "$1")
+    return F.when(text.rlike(f"^(?:{_EIGHT}|{_SHORT})$"), F.replace(filled, F.lit(":"), F.lit("")))
+
+
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text as 32 lower-case hex digits, else null. A zone suffix (%eth0) is ignored."""
-    def dotted_tail(text):
-        tail = ipv4_long(F.substring_index(text, ":", -1))
-        groups = F.lower(F.regexp_replace(F.lpad(F.hex(tail), 8, "0"), "^(.{4})", "$1:"))
-        return F.when(text.contains("."), F.concat(F.regexp_replace(text, r"[\d.]+$", ""), groups)).otherwise(text)
-
-    def digits(text):
-        missing = 8 - F.regexp_count(text, F.lit("[0-9a-f]+"))
-        filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
-        for zeros in (1, 2, 3):
-            filled = F.regexp_replace(filled, f"(?<![0-9a-f])([0-9a-f]{{{4 - zeros}}})(?![0-9a-f])", "0" * zeros + "$1")
-        return F.when(text.rlike(f"^(?:{_EIGHT}|{_SHORT})$"), F.replace(filled, F.lit(":"), F.lit("")))
-
     plain = F.lower(F.regexp_replace(ip, "%.+$", ""))
-    return F.when(ip.contains(":"), _bind(_bind(plain, dotted_tail), digits))
+    return F.when(ip.contains(":"), _bind(_bind(plain, _dotted_tail), _digits))
+
+
+@dataclass(frozen=True)
+class AddressSet:
+    """Addresses as sorted ranges of 128-bit numbers that do not touch; an IPv4 address has the number of its IPv4-mapped
+    IPv6 address. Membership is a search by position over two BIGINTs, plain comparisons inside whole-stage codegen."""
+
+    ranges: tuple[tuple[int, int], ...]
+
+    @staticmethod
+    def of(networks: Sequence[str], holes: Sequence[str] = ()) -> AddressSet:
+        """The addresses of `networks` (CIDR text) without those of `holes`."""
+        events = [(at, step, hole) for hole, names in enumerate((networks, holes)) for name in names
+                  for at, step in zip(_span(name), (1, -1))]
+        inside, ranges, begin = [0, 0], [], None
+        for at, step, hole in sorted(events):
+            was = inside[0] > 0 and not inside[1]
+            inside[hole] += step
+            now = inside[0] > 0 and not inside[1]
+            if now and not was:
+                begin = at
+            elif was and not now and at > begin:
+                ranges.append((begin, at - 1))
+        merged: list[tuple[int, int]] = []
+        for low, high in ranges:
+            if merged and merged[-1][1] + 1 == low:
+                merged[-1] = (merged[-1][0], high)
+            else:
+                merged.append((low, high))
+        return AddressSet(tuple(merged))
+
+    def holds(self, high: Column, low: Column) -> Column:
+        """Whether the address with these numbers (see `with_numbers`) is in the set; null for none."""
+        short = [(a, b) for a, b in self.ranges if b < 1 << 64]  # all IPv4 addresses: only the lower number differs
+        long = [r for r in self.ranges if r not in short]
+        never = F.when(high.isNotNull(), F.lit(False))
+
+        def before(value: int) -> Column:
+            if value >> 128:
+                return F.when(high.isNotNull(), F.lit(True))
+            upper, lower = F.lit(_signed(value >> 64)), F.lit(_signed(value & _LOWER))
+            return (high < upper) | ((high == upper) & (low < lower)) if value & _LOWER else high < upper
+
+        def search(ranges: list[tuple[int, int]], less) -> Column:
+            if not ranges:
+                return never
+            if len(ranges) == 1:
+                return ~less(ranges[0][0]) & less(ranges[0][1] + 1)
+            middle = len(ranges) // 2
+            return F.when(less(ranges[middle][0]), search(ranges[:middle], less)).otherwise(search(ranges[middle:], less))
+
+        return F.when(high == _signed(0), search(short, lambda v: low < F.lit(_signed(v)) if v >> 64 == 0 else F.when(low.isNotNull(), F.lit(True)))).otherwise(search(long, before))
+
+
+_LOWER = (1 << 64) - 1
+_MAPPED = 0xFFFF << 32
+
+
+def _signed(value: int) -> int:
+    """An unsigned 64-bit number as the BIGINT of the same order."""
+    return value - (1 << 63)
+
+
+def _span(network: str) -> tuple[int, int]:
+    """First number of a network, and the first after it."""
+    net = ipaddress.ip_network(network)
+    base = _MAPPED if net.version == 4 else 0
+    return base + int(net.network_address), base + int(net.broadcast_address) + 1
+
+
+def with_numbers(df: DataFrame, ends: dict[str, Column]) -> DataFrame:
+    """`df` with `<name>_high` and `<name>_low` for each address: its 128-bit number as two BIGINTs that are ordered as the
+    unsigned numbers are; null for text that is not an address.
+
+    The text is parsed once, in a chain of projections that all ends share; IPv4 takes no pattern match. A filter on the
+    numbers would be moved below the chain and repeat it, so filters go over `with_private` or an `explode` as there.
+    """
+    x = lambda name, part: f"_{name}_{part}"
+    df = df.withColumns({x(n, "text"): ip for n, ip in ends.items()}).withColumns({x(n, "parts"): F.split(x(n, "text"), r"\.") for n in ends})
+    df = df.withColumns({x(n, i): F.get(x(n, "parts"), F.lit(i)).try_cast("int") for n in ends for i in range(4)})
+
+    def four(name: str) -> Column:
+        part = [F.col(x(name, i)) for i in range(4)]
+        shown = F.concat(*[y for i in range(4) for y in (F.lit("." if i else ""), part[i].cast("string"))])
+        valid = (F.size(x(name, "parts")) == 4) & (shown == F.col(x(name, "text")))
+        for p in part:
+            valid &= p.between(0, 255)
+        value = sum((part[i].cast("bigint") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(_signed(_MAPPED)))
+        return F.when(valid, value)
+
+    df = df.withColumns({x(n, "four"): four(n) for n in ends})
+    df = df.withColumns({x(n, "plain"): F.when(F.col(x(n, "text")).contains(":"), F.lower(F.regexp_replace(x(n, "text"), "%.+$", ""))) for n in ends})
+    df = df.withColumns({x(n, "tail"): F.when(F.col(x(n, "plain")).isNotNull(), _dotted_tail(F.col(x(n, "plain")))) for n in ends})
+    df = df.withColumns({x(n, "digits"): F.when(F.col(x(n, "tail")).isNotNull(), _digits(F.col(x(n, "tail")))) for n in ends})
+    half = lambda name, begin: F.when(F.col(x(name, "digits")).isNotNull(), F.conv(F.substring(x(name, "digits"), begin, 16), 16, -10)
+                                      .cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
+    made = {f"{n}_high": F.when(F.col(x(n, "four")).isNotNull(), F.lit(_signed(0))).otherwise(half(n, 1)) for n in ends}
+    made |= {f"{n}_low": F.coalesce(x(n, "four"), half(n, 17)) for n in ends}
+    return df.withColumns(made).drop(*[x(n, part) for n in ends for part in ("text", "parts", 0, 1, 2, 3, "four", "plain", "tail", "digits")])
+
+
+PRIVATE = AddressSet.of((*PRIVATE_V4, *PRIVATE_V6), (*PUBLIC_HOLES_V4, *PUBLIC_HOLES_V6))
+
+
+def with_private(df: DataFrame, ends: dict[str, Column]) -> DataFrame:
+    """`df` with a boolean column for each address: whether it is private; null for text that is not an address."""
+    flags = F.struct(*[PRIVATE.holds(F.col(f"{n}_high"), F.col(f"{n}_low")).alias(n) for n in ends])
+    held = with_numbers(df, ends).select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(flags)).alias("_private"))
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_private.`{n}`").alias(n) for n in ends])
 
 
 def is_private_ip(ip: Column) -> Column:

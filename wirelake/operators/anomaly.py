@@ -7,7 +7,7 @@ from datetime import time
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wirelake.errors import InvalidValueError, positive
-from wirelake.functions.addresses import ipv4_long, is_private_ip
+from wirelake.functions.addresses import ipv4_long, with_private
 from wirelake.functions.lookups import protocol_name
 from wirelake.functions.scalars import has_flag, zero_if_null
 from wirelake.functions.windows import tumbling
@@ -56,7 +56,12 @@ def detect_host_scanning(packets: DataFrame, threshold: int = 50, time_window: s
 def detect_vertical_scanning(packets: DataFrame, threshold: int = 50) -> DataFrame:
     """Sources that reach more than `threshold` hosts on one port, and how sequential the addresses are."""
     positive("threshold", threshold)
-    pairs = _ends(packets).select("src_ip", "dst_port", "dst_ip").where(
+    return vertical_scans(_ends(packets), threshold)
+
+
+def vertical_scans(ends: DataFrame, threshold: int) -> DataFrame:
+    """Vertical scans in rows of src_ip, dst_ip, dst_port."""
+    pairs = ends.select("src_ip", "dst_port", "dst_ip").where(
         F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull() & F.col("dst_ip").isNotNull()).distinct()
     return (
         sequential_share(pairs, ["src_ip", "dst_port"], ipv4_long(F.col("dst_ip")), {"unique_hosts": F.lit(1)})
@@ -69,7 +74,12 @@ def detect_vertical_scanning(packets: DataFrame, threshold: int = 50) -> DataFra
 def detect_horizontal_scanning(packets: DataFrame, threshold: int = 100) -> DataFrame:
     """Pairs with more than `threshold` distinct destination ports, and how sequential the ports are."""
     positive("threshold", threshold)
-    rows = _ends(packets).where(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
+    return horizontal_scans(_ends(packets), threshold)
+
+
+def horizontal_scans(ends: DataFrame, threshold: int) -> DataFrame:
+    """Horizontal scans in rows of src_ip, dst_ip, dst_port."""
+    rows = ends.where(F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull())
     share = sequential_share(rows, ["src_ip", "dst_ip"], F.col("dst_port"))
     return (
         share.where(F.col("n") > threshold)
@@ -86,14 +96,19 @@ def detect_syn_flood(packets: DataFrame, threshold: int = 1000, time_window: str
     positive("threshold", threshold)
     require(packets, "TCP_flags")
     syn, ack = has_flag(F.col("TCP_flags"), "S"), has_flag(F.col("TCP_flags"), "A")
-    return (
+    return syn_floods(
         _ends(packets, "TCP_flags").where(syn)
         .select("timestamp", F.when(ack, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("src_ip"), ack.alias("_ack"))
         .groupBy(tumbling(time_window).alias("w"), "src_ip")
         .agg(F.count_if(~F.col("_ack")).alias("syn_count"), F.count_if("_ack").alias("syn_ack_received"))
-        .where(F.col("syn_count") > threshold)
-        .select(F.col("w.start").alias("window_start"), "src_ip", "syn_count", "syn_ack_received",
-                (F.col("syn_count") - F.col("syn_ack_received")).alias("imbalance"))
+        .select(F.col("w.start").alias("window_start"), "src_ip", "syn_count", "syn_ack_received"), threshold)
+
+
+def syn_floods(counts: DataFrame, threshold: int) -> DataFrame:
+    """Floods in (window_start, src_ip, syn_count, syn_ack_received)."""
+    return (
+        counts.where(F.col("syn_count") > threshold)
+        .withColumn("imbalance", F.col("syn_count") - F.col("syn_ack_received"))
         .orderBy(F.desc("syn_count"), "window_start", "src_ip")
     )
 
@@ -170,13 +185,18 @@ def _hours(bound) -> float:
     raise InvalidValueError(f"business hours must be hours (0..24) or times, got {bound!r}")
 
 
-def detect_off_hours_activity(packets: DataFrame, business_hours=(9, 17)) -> DataFrame:
-    """Sources active outside [start, end) of the day (UTC wall clock): packets, bytes, first and last seen."""
+def off_hours(business_hours=(9, 17)):
+    """Whether `timestamp` lies outside [start, end) of the day."""
     start, end = map(_hours, business_hours)
     now = F.hour("timestamp") + F.minute("timestamp") / 60.0 + F.second("timestamp") / 3600.0
+    return (now < start) | (now >= end)
+
+
+def detect_off_hours_activity(packets: DataFrame, business_hours=(9, 17)) -> DataFrame:
+    """Sources active outside [start, end) of the day (UTC wall clock): packets, bytes, first and last seen."""
     size = length_column(packets) if "IP_len" in packets.columns else F.lit(None).cast("bigint")
     return (
-        packets.where((now < start) | (now >= end)).groupBy(source_ip(packets).alias("src_ip"))
+        packets.where(off_hours(business_hours)).groupBy(source_ip(packets).alias("src_ip"))
         .agg(F.count(F.lit(1)).alias("packets"), zero_if_null(F.sum(size)).alias("bytes"),
              F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
         .where(F.col("src_ip").isNotNull()).orderBy(F.desc("packets"), "src_ip")
@@ -187,13 +207,18 @@ def detect_data_exfiltration(packets: DataFrame, threshold: int = 100_000_000) -
     """Private sources that send more than `threshold` bytes to public addresses.
 
     Bytes are summed per pair first, so a hot source is spread over its destinations and these need no
-    distinct count. Catalyst moves the address filter below that grouping.
+    distinct count, and addresses are looked at once per pair.
     """
     positive("threshold", threshold)
     pairs = packets.groupBy(source_ip(packets).alias("src_ip"), destination_ip(packets).alias("dst_ip")).agg(
         zero_if_null(F.sum(length_column(packets))).alias("b"), F.count(F.lit(1)).alias("n"))
+    return exfiltration(pairs, threshold)
+
+
+def exfiltration(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Private sources over the threshold in (src_ip, dst_ip, b bytes, n packets)."""
     return (
-        pairs.where(is_private_ip(F.col("src_ip")) & ~is_private_ip(F.col("dst_ip"))).groupBy("src_ip")
+        with_private(pairs, {"_from": F.col("src_ip"), "_to": F.col("dst_ip")}).where(F.col("_from") & ~F.col("_to")).groupBy("src_ip")
         .agg(F.sum("b").alias("outbound_bytes"), F.sum("n").alias("packets"),
              F.count(F.lit(1)).alias("unique_destinations"))
         .where(F.col("outbound_bytes") > threshold).orderBy(F.desc("outbound_bytes"), "src_ip")

@@ -131,15 +131,16 @@ def sample(packets: DataFrame, n: int = 10, seed: int | None = None) -> DataFram
 def describe(packets: DataFrame, *columns: str) -> DataFrame:
     """One row per column: count, null_count, mean, std, min, 25 / 50 / 75 %, max.
 
-    Integers, booleans (0 and 1) and timestamps (as epoch seconds) get exact linear-interpolated quartiles, fractions
-    the same to a millionth; text gets counts and text bounds, other types counts only. All number columns share one
-    shuffle of (column, value, count); values are taken from their column's minimum on, so that times, which lie close
-    together far from zero, fall into many buckets.
+    Integers, booleans (0 and 1), timestamps (as epoch seconds) and fractions get exact linear-interpolated quartiles;
+    text gets counts and text bounds, other types counts only. Fractions are taken as doubles, whatever their size: NaN is
+    a value, greater than all others, and mean and deviation are NaN where it occurs. All columns of a kind share one
+    shuffle of (column, value, count); whole values are taken from their column's minimum on, so that times, which lie
+    close together far from zero, fall into many buckets.
     """
     columns = list(columns) or packets.columns
     fields = {f.name: f.dataType for f in packets.schema}
     require(packets, *columns)
-    numbers, texts, others = {}, [], []
+    numbers, fractions, texts, others = {}, {}, [], []
     for name in columns:
         kind = fields[name]
         if isinstance(kind, T.IntegralType):
@@ -151,12 +152,12 @@ def describe(packets: DataFrame, *columns: str) -> DataFrame:
         elif isinstance(kind, T.BooleanType):
             numbers[name] = F.col(name).cast("int").cast("bigint")
         elif isinstance(kind, (T.FractionalType, T.DecimalType)):
-            numbers[name] = F.round(F.col(name).cast("double") * 1e6).try_cast("bigint")
+            fractions[name] = F.col(name).cast("double")
         else:
             others.append(name)
     parts = []
     if numbers:
-        timed = [n for n in numbers if isinstance(fields[n], (T.TimestampNTZType, T.TimestampType, T.FractionalType))]
+        timed = [n for n in numbers if isinstance(fields[n], (T.TimestampNTZType, T.TimestampType))]
         is_time = F.col("column").isin(timed) if timed else F.lit(False)
         entries = F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in numbers.items()])
         long = packets.select(F.explode(entries).alias("x")).select("x.*")
@@ -173,6 +174,14 @@ def describe(packets: DataFrame, *columns: str) -> DataFrame:
             "column", F.coalesce("count", F.lit(0)).alias("count"), "null_count", show("std"),
             (F.col("avg") / unit).alias("mean"), show("min"), show("p25"), show("p50"), show("p75"), show("max"),
             F.lit(None).cast("string").alias("min_text"), F.lit(None).cast("string").alias("max_text")))
+    if fractions:
+        entries = F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in fractions.items()])
+        long = packets.select(F.explode(entries).alias("x")).select("x.*")
+        moments = long.groupBy("column").agg(
+            F.count("value").alias("count"), F.count(F.when(F.col("value").isNull(), 1)).alias("null_count"), F.stddev_samp("value").alias("std"),
+            F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+        quartiles = value_stats(long, F.col("value"), {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"], fractions=True)
+        parts.append(moments.join(quartiles.select("column", "p25", "p50", "p75"), "column", "left"))
     if texts:
         entries = F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in texts])
         parts.append(

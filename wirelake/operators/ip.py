@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirelake.errors import InvalidThresholdError, one_of, positive
-from wirelake.functions.addresses import in_subnet, is_private_ip
+from wirelake.functions.addresses import in_subnet, with_private
 from wirelake.functions.lookups import DSCP_CLASSES, lookup, protocol_name
 from wirelake.functions.scalars import has_flag, ratio, zero_if_null
 from wirelake.operators.filters import destination_ip, find_ip_information, source_ip
 from wirelake.schema import integral, length_column, optional, require
 
 
-def _pairs(packets: DataFrame) -> DataFrame:
+def pair_totals(packets: DataFrame) -> DataFrame:
     """Packets and bytes per (source, destination), ends that are missing kept as null.
 
     Every per-host figure below is rolled up from this table: the packets are shuffled once, combined on the
@@ -22,7 +22,7 @@ def _pairs(packets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), zero_if_null(F.sum(length_column(packets))).alias("b"))
 
 
-def _host_totals(packets: DataFrame) -> DataFrame:
+def _host_totals(pairs: DataFrame) -> DataFrame:
     """Sent and received packets, bytes and distinct peers per address."""
     zero = F.lit(0).cast("bigint")
     sent = F.struct(F.col("src").alias("ip_address"), F.col("dst").alias("to"), F.lit(None).cast("string").alias("from"),
@@ -30,7 +30,7 @@ def _host_totals(packets: DataFrame) -> DataFrame:
     received = F.struct(F.col("dst").alias("ip_address"), F.lit(None).cast("string").alias("to"), F.col("src").alias("from"),
                         zero.alias("ps"), zero.alias("bs"), F.col("n").alias("pr"), F.col("b").alias("br"))
     return (
-        _pairs(packets).select(F.explode(F.array(sent, received)).alias("x")).select("x.*")
+        pairs.select(F.explode(F.array(sent, received)).alias("x")).select("x.*")
         .where(F.col("ip_address").isNotNull()).groupBy("ip_address")
         .agg(F.sum("ps").alias("packets_sent"), F.sum("bs").alias("bytes_sent"),
              F.sum("pr").alias("packets_received"), F.sum("br").alias("bytes_received"),
@@ -38,9 +38,9 @@ def _host_totals(packets: DataFrame) -> DataFrame:
     )
 
 
-def _traffic(packets: DataFrame) -> DataFrame:
+def _traffic(pairs: DataFrame) -> DataFrame:
     columns = ["ip_address", "packets_sent", "bytes_sent", "packets_received", "bytes_received"]
-    return _host_totals(packets).select(
+    return _host_totals(pairs).select(
         *columns, (F.col("packets_sent") + F.col("packets_received")).alias("total_packets"),
         (F.col("bytes_sent") + F.col("bytes_received")).alias("total_bytes"))
 
@@ -49,13 +49,18 @@ def get_most_active_ips(packets: DataFrame, n: int = 10, by: str = "packets") ->
     """Top addresses by packets or bytes, sent plus received."""
     one_of("by", by, ("packets", "bytes"))
     positive("n", n)
-    return _traffic(packets).orderBy(F.desc(f"total_{by}"), "ip_address").limit(n)
+    return most_active(pair_totals(packets), n, by)
+
+
+def most_active(pairs: DataFrame, n: int, by: str) -> DataFrame:
+    """Top addresses of `pair_totals`."""
+    return _traffic(pairs).orderBy(F.desc(f"total_{by}"), "ip_address").limit(n)
 
 
 def get_sender_only_ips(packets: DataFrame) -> DataFrame:
     """Addresses that send and never receive."""
     return (
-        _host_totals(packets).where(F.col("packets_received") == 0)
+        _host_totals(pair_totals(packets)).where(F.col("packets_received") == 0)
         .select("ip_address", "packets_sent", "bytes_sent", "unique_destinations")
         .orderBy(F.desc("packets_sent"), "ip_address")
     )
@@ -64,7 +69,7 @@ def get_sender_only_ips(packets: DataFrame) -> DataFrame:
 def get_receiver_only_ips(packets: DataFrame) -> DataFrame:
     """Addresses that receive and never send."""
     return (
-        _host_totals(packets).where(F.col("packets_sent") == 0)
+        _host_totals(pair_totals(packets)).where(F.col("packets_sent") == 0)
         .select("ip_address", "packets_received", "bytes_received", "unique_sources")
         .orderBy(F.desc("packets_received"), "ip_address")
     )
@@ -74,9 +79,14 @@ def get_asymmetric_ips(packets: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Addresses whose share of sent packets is above `threshold` or below 1 - `threshold`."""
     if not 0 <= threshold <= 1:
         raise InvalidThresholdError(f"threshold must lie in [0, 1], got {threshold}")
+    return asymmetric(pair_totals(packets), threshold)
+
+
+def asymmetric(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Unbalanced addresses of `pair_totals`."""
     share = ratio(F.col("packets_sent"), F.col("total_packets"), 0.5)
     return (
-        _traffic(packets).withColumn("send_ratio", share)
+        _traffic(pairs).withColumn("send_ratio", share)
         .where((F.col("send_ratio") > threshold) | (F.col("send_ratio") < F.lit(1.0) - threshold))
         .orderBy(F.desc("total_packets"), "ip_address")
     )
@@ -85,7 +95,7 @@ def get_asymmetric_ips(packets: DataFrame, threshold: float = 0.9) -> DataFrame:
 def get_communication_matrix(packets: DataFrame) -> DataFrame:
     """Packets and bytes per (source, destination)."""
     return (
-        _pairs(packets).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+        pair_totals(packets).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
         .select(F.col("src").alias("source_ip"), F.col("dst").alias("destination_ip"),
                 F.col("n").alias("packets"), F.col("b").alias("bytes"))
     )
@@ -94,11 +104,14 @@ def get_communication_matrix(packets: DataFrame) -> DataFrame:
 def detect_hub_ips(packets: DataFrame, threshold: int = 50) -> DataFrame:
     """Addresses with at least `threshold` distinct peers in either direction (itself is not a peer)."""
     positive("threshold", threshold)
+    return hubs(packets.groupBy(source_ip(packets).alias("src"), destination_ip(packets).alias("dst")).agg(F.count(F.lit(1)).alias("n")), threshold)
+
+
+def hubs(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Hubs of (src, dst, n)."""
     end = lambda me, other: F.struct(F.col(me).alias("ip_address"), F.col(other).alias("peer"), F.col("n"))
     return (
-        packets.groupBy(source_ip(packets).alias("src"), destination_ip(packets).alias("dst"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("src") != F.col("dst"))
+        pairs.where(F.col("src") != F.col("dst"))
         .select(F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("x")).select("x.*")
         .groupBy("ip_address").agg(F.count_distinct("peer").alias("unique_peers"), F.sum("n").alias("packets"))
         .where(F.col("unique_peers") >= threshold).orderBy(F.desc("unique_peers"), "ip_address")
@@ -126,8 +139,7 @@ def get_ip_traffic_stats(packets: DataFrame, ip: str) -> DataFrame:
 
 def _private_ends(packets: DataFrame) -> DataFrame:
     """Packets with the private flag of both ends."""
-    return packets.withColumns({"_src_private": is_private_ip(source_ip(packets)),
-                                "_dst_private": is_private_ip(destination_ip(packets))})
+    return with_private(packets, {"_src_private": source_ip(packets), "_dst_private": destination_ip(packets)})
 
 
 def get_internal_vs_external_ratio(packets: DataFrame) -> DataFrame:
@@ -137,8 +149,7 @@ def get_internal_vs_external_ratio(packets: DataFrame) -> DataFrame:
     """
     pairs = packets.groupBy(source_ip(packets).alias("src"), destination_ip(packets).alias("dst")).agg(
         F.count(F.lit(1)).alias("n"))
-    counts = pairs.groupBy(is_private_ip(F.col("src")).alias("s"), is_private_ip(F.col("dst")).alias("d")).agg(
-        F.sum("n").alias("packets"))
+    counts = with_private(pairs, {"s": F.col("src"), "d": F.col("dst")}).groupBy("s", "d").agg(F.sum("n").alias("packets"))
     direction = (F.when(F.col("s") & F.col("d"), "internal").when(F.col("s") & ~F.col("d"), "outbound")
                  .when(~F.col("s") & F.col("d"), "inbound").when(~F.col("s") & ~F.col("d"), "external"))
     valid = F.when(F.col("direction").isNotNull(), F.col("packets"))

@@ -7,6 +7,7 @@ then stitch the slices with one small row per slice. Results are exact; nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -113,9 +114,18 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -level).otherwise(level)
 
 
+def _fraction_bucket(value: Column) -> Column:
+    """The same for doubles: 512 buckets per octave, NaN above all."""
+    size = F.abs(value)
+    level = F.floor(F.ln(size) * (512 / math.log(2))) + (1 << 20)
+    top = F.lit(1 << 40)
+    level = F.when(size == 0, F.lit(0)).when(size == float("inf"), top).otherwise(level).cast("bigint")
+    return F.when(F.isnan(value), top + 1).when(value < 0, -level).otherwise(level)
+
+
 def value_stats(df: DataFrame, value: Column, quantiles: dict[str, float],
-                groups: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
-    """count, min, max, avg and exact interpolated quantiles of a BIGINT expression per group.
+                groups: Sequence[str] = (), scale: float = 1.0, fractions: bool = False) -> DataFrame:
+    """count, min, max, avg and exact interpolated quantiles of a BIGINT expression (a double one, if `fractions`) per group.
 
     For few groups of any size (often one: the whole table). Values are counted first, the counts are
     rolled up to a bounded number of buckets, and only the buckets that hold a wanted rank are opened, so
@@ -123,19 +133,20 @@ def value_stats(df: DataFrame, value: Column, quantiles: dict[str, float],
     """
     groups = list(groups)
     by = groups or ["_all"]
-    df = df.select(*groups, value.cast("bigint").alias("_v"))
+    df = df.select(*groups, value.cast("double" if fractions else "bigint").alias("_v"))
     if not groups:
         df = df.withColumn("_all", F.lit(0))
     counts = (
         df.where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", _bucket(F.col("_v")))
+        .withColumn("_b", _fraction_bucket(F.col("_v")) if fractions else _bucket(F.col("_v")))
     )
     ordered = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     buckets = (
         counts.groupBy(*by, "_b")
         .agg(F.sum("_n").alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-             F.sum(F.col("_v").cast("decimal(25,0)") * F.col("_n").cast("decimal(13,0)")).alias("_bs"))
+             F.sum(F.col("_v") * F.col("_n") if fractions else
+                   F.col("_v").cast("decimal(25,0)") * F.col("_n").cast("decimal(13,0)")).alias("_bs"))
         .withColumn("_cum", F.sum("_bn").over(ordered))
         .withColumn("_total", F.sum("_bn").over(whole))
         .withColumn("_min", F.min("_lo").over(whole))
@@ -168,7 +179,8 @@ def value_stats(df: DataFrame, value: Column, quantiles: dict[str, float],
     result = picked.groupBy(*by).agg(
         F.max("_total").alias("count"), scaled(F.max("_min")).alias("min"), scaled(F.max("_max")).alias("max"),
         (F.max("_sum").cast("double") / F.max("_total") / F.lit(float(scale))).alias("avg"),
-        *[scaled(side(i, "lo") + (side(i, "hi") - side(i, "lo")) * frac(i)).alias(name)
+        *[scaled(F.when(side(i, "lo") == side(i, "hi"), side(i, "lo")).otherwise(
+            side(i, "lo") + (side(i, "hi") - side(i, "lo")) * frac(i))).alias(name)
           for i, name in enumerate(quantiles)],
     )
     return result if groups else result.drop("_all")

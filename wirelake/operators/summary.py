@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelake.errors import one_of
-from wirelake.functions.scalars import has_flag
+from wirelake.functions.scalars import has_flag, zero_if_null
 from wirelake.functions.windows import tumbling
 from wirelake.operators.filters import destination_ip, source_ip
 from wirelake.operators.slices import sums_and_distincts
@@ -30,7 +30,7 @@ def get_date_range(packets: DataFrame) -> DataFrame:
     )
 
 
-def _predicates(packets: DataFrame) -> dict[str, Column]:
+def view_tests(packets: DataFrame) -> dict[str, Column]:
     """Row tests of the protocol views; a protocol whose columns are absent matches nothing."""
     have = set(packets.columns)
     never = F.lit(False)
@@ -48,14 +48,14 @@ def _predicates(packets: DataFrame) -> dict[str, Column]:
 
 def get_analyzers_available(packets: DataFrame) -> DataFrame:
     """One row of booleans: whether each protocol view has rows. ip, flow and anomaly take every packet."""
-    tests = _predicates(packets)
+    tests = view_tests(packets)
     tests["flow"] = tests["anomaly"] = tests["ip"]
     return packets.agg(*[F.coalesce(F.bool_or(t), F.lit(False)).alias(n) for n, t in tests.items()])
 
 
 def protocol_counts(packets: DataFrame) -> DataFrame:
     """Packets per protocol view in one pass (every packet counts as ip)."""
-    counts = [F.count_if(t).alias(n) for n, t in _predicates(packets).items()]
+    counts = [F.count_if(t).alias(n) for n, t in view_tests(packets).items()]
     return packets.agg(F.count(F.lit(1)).alias("total"), *counts)
 
 
@@ -82,25 +82,37 @@ def generate_summary(packets: DataFrame, path: str | None = None) -> DataFrame:
     """The summary as rows of (category, metric, value): packet_counts, date_range, analyzers_available,
     protocols, general.unique_hosts and, when `path` is given, file_info.
 
-    Counts, availability and time range come out of one pass; hosts and protocols are one more each.
+    One scan: each packet becomes an entry for the totals, one for its protocol and one for each of its hosts; entries are
+    combined inside tasks on (kind, value), and a second step counts hosts and lists protocols.
     """
     timed = "timestamp" in packets.columns
-    bounds = [F.min("timestamp").alias("start"), F.max("timestamp").alias("end")] if timed else [
-        F.lit(None).cast("timestamp_ntz").alias("start"), F.lit(None).cast("timestamp_ntz").alias("end")]
-    tests = _predicates(packets)
-    totals = packets.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(t).alias(n) for n, t in tests.items()], *bounds)
-    totals = totals.withColumn("duration", seconds_between("start", "end"))
-    metrics = {("packet_counts", n): F.col(n) for n in ("total", *tests)}
+    tests = view_tests(packets)
+    when = F.col("timestamp").cast("timestamp_ntz") if timed else F.lit(None).cast("timestamp_ntz")
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    entries = [entry("total", F.lit(None)), entry("host", source_ip(packets)), entry("host", destination_ip(packets))]
+    entries += [entry("protocol", F.col("IP_proto"))] if "IP_proto" in packets.columns else []
+    rows = packets.select(F.explode(F.array(*entries)).alias("x"), *[t.cast("int").alias(f"is_{n}") for n, t in tests.items()],
+                          when.alias("at"), F.lit(1).alias("one"))
+    nothing = packets.sparkSession.range(1).select(F.explode(F.array(*[entry(k, F.lit(None)) for k in ("total", "host")])).alias("x"),
+                                                   F.lit(0).alias("one"))  # so that an empty table has totals
+    total = F.col("x.kind") == "total"
+    combined = rows.unionByName(nothing, allowMissingColumns=True).groupBy("x.kind", "x.value").agg(
+        F.sum("one").alias("n"), *[zero_if_null(F.sum(F.when(total, F.col(f"is_{n}")))).alias(n) for n in tests],
+        F.min("at").alias("start"), F.max("at").alias("end"))
+    protocol = F.when(F.col("kind") == "protocol", F.col("value"))
+    found = combined.groupBy("kind", protocol.alias("value")).agg(
+        F.sum("n").alias("n"), F.count("value").alias("hosts"), *[F.sum(n).alias(n) for n in tests],
+        F.min("start").alias("start"), F.max("end").alias("end")).withColumn("duration", seconds_between("start", "end"))
+    metrics = {("packet_counts", "total"): F.col("n")} | {("packet_counts", n): F.col(n) for n in tests}
     metrics |= {("date_range", n): F.col(n) for n in ("start", "end", "duration")}
     metrics |= {("analyzers_available", n): F.col(n) > 0 for n in tests}
-    metrics |= {("analyzers_available", n): F.col("total") > 0 for n in ("flow", "anomaly")}
-    parts = [_long(totals, metrics),
-             _long(unique_hosts(packets), {("general", "unique_hosts"): F.col("unique_hosts")})]
-    if "IP_proto" in packets.columns:
-        parts.append(protocol_distribution(packets).select(
-            F.lit("protocols").alias("category"),
-            F.coalesce(F.col("IP_proto").cast("string"), F.lit("None")).alias("metric"),
-            F.col("count").cast("string").alias("value")))
+    metrics |= {("analyzers_available", n): F.col("n") > 0 for n in ("flow", "anomaly")}
+    shown = lambda wanted: F.array(*[F.struct(F.lit(c).alias("category"), m.alias("metric"), v.cast("string").alias("value"))
+                                     for c, m, v in wanted])
+    lists = F.when(F.col("kind") == "total", shown([(c, F.lit(m), v) for (c, m), v in metrics.items()])) \
+        .when(F.col("kind") == "host", shown([("general", F.lit("unique_hosts"), F.col("hosts"))])) \
+        .otherwise(shown([("protocols", F.coalesce("value", F.lit("None")), F.col("n"))]))
+    parts = [found.select(F.explode(lists).alias("m")).select("m.*")]
     if path is not None:
         from wirelake.sources.parquet import get_file_info
 

@@ -37,12 +37,14 @@ def get_connection_success_ratio(packets: DataFrame) -> DataFrame:
 
 def detect_incomplete_connections(packets: DataFrame) -> DataFrame:
     """Connections with a SYN and no FIN."""
-    return (
+    return incomplete(
         _tcp(packets, *CONNECTION_KEY, "TCP_flags").groupBy(*CONNECTION_KEY)
-        .agg(F.count_if(_flag("S")).alias("syn_count"), F.count_if(_flag("F")).alias("fin_count"))
-        .where((F.col("syn_count") > 0) & (F.col("fin_count") == 0))
-        .orderBy(F.desc("syn_count"), *CONNECTION_KEY)
-    )
+        .agg(F.count_if(_flag("S")).alias("syn_count"), F.count_if(_flag("F")).alias("fin_count")))
+
+
+def incomplete(connections: DataFrame) -> DataFrame:
+    """Those of (connection key, syn_count, fin_count) with a SYN and no FIN."""
+    return connections.where((F.col("syn_count") > 0) & (F.col("fin_count") == 0)).orderBy(F.desc("syn_count"), *CONNECTION_KEY)
 
 
 def get_connection_duration_stats(packets: DataFrame) -> DataFrame:
@@ -128,11 +130,13 @@ def analyze_flag_sequences(packets: DataFrame) -> DataFrame:
     """Flags of each connection in time order: one row per packet with its `position` (from 1) and the connection's
     `packet_count`. `flag_text` joins the flags of chosen connections.
 
-    Every connection has this grain, whatever its size; equal times are ordered by sequence number, then flags.
+    Every connection has this grain, whatever its size; equal times are ordered by sequence number, then flags. Packets
+    without a time come after all others, by sequence number; packets without flags are left out.
     """
-    tcp = _tcp(packets, *CONNECTION_KEY, "TCP_flags", "timestamp").where(
-        F.col("TCP_flags").isNotNull() & F.col("timestamp").isNotNull())
-    tcp = tcp.select(*CONNECTION_KEY, "TCP_flags", micros(packets).alias("_us"), optional(packets, "TCP_seq", "bigint").alias("_seq"))
+    tcp = _tcp(packets, *CONNECTION_KEY, "TCP_flags", "timestamp").where(F.col("TCP_flags").isNotNull())
+    seq = optional(packets, "TCP_seq", "bigint")
+    late = F.lit(1 << 60) + F.coalesce(F.greatest(seq, F.lit(0)) + 1, F.lit(0))  # cut into slices like times
+    tcp = tcp.select(*CONNECTION_KEY, "TCP_flags", F.coalesce(micros(packets), late).alias("_us"), seq.alias("_seq"))
     placed = with_position(tcp, CONNECTION_KEY, ["_us", "_seq", "TCP_flags"], total="packet_count")
     return placed.select(*CONNECTION_KEY, "position", "TCP_flags", "packet_count")
 
@@ -265,17 +269,9 @@ def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_c
     base = packets.select(F.col("IP_src").alias("scanner_ip"), F.col("IP_dst").alias("target_ip"), "timestamp",
                           port.alias("_port"), tumbling(config.time_window).start.alias("window_start"))
     key = ["window_start", "scanner_ip", "target_ip"]
-    found = (
+    found = scans_of_ports(
         base.groupBy(*key, "_port")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z"))
-        .groupBy(*key)
-        .agg(F.count("_port").alias("unique_ports"), F.sum("_n").alias("total_packets"),
-             F.min("_a").alias("scan_start"), F.max("_z").alias("scan_end"))
-        .where(F.col("unique_ports") > config.threshold)
-        .withColumn("scan_duration_s", seconds_between("scan_start", "scan_end"))
-        .withColumn("severity", F.when(F.col("unique_ports") > 50, "critical")
-                    .when(F.col("unique_ports") > 30, "high").otherwise("medium"))
-    )
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z")), config.threshold)
     if not ports_contacted:
         return found.orderBy(F.desc("unique_ports"), *key)
     rows = base.withColumn("_us", micros(base)).where(F.col("_port").isNotNull())
@@ -285,6 +281,19 @@ def port_scans(packets: DataFrame, port: Column, config: PortScanConfig, ports_c
     return placed.select(*found.columns, "position", F.col("_port").alias("port"))
 
 
+def scans_of_ports(ports: DataFrame, threshold: int) -> DataFrame:
+    """Scans from (window_start, scanner_ip, target_ip, _port, _n, _a, _z): packets to each port, the first and the last."""
+    return (
+        ports.groupBy("window_start", "scanner_ip", "target_ip")
+        .agg(F.count("_port").alias("unique_ports"), F.sum("_n").alias("total_packets"),
+             F.min("_a").alias("scan_start"), F.max("_z").alias("scan_end"))
+        .where(F.col("unique_ports") > threshold)
+        .withColumn("scan_duration_s", seconds_between("scan_start", "scan_end"))
+        .withColumn("severity", F.when(F.col("unique_ports") > 50, "critical")
+                    .when(F.col("unique_ports") > 30, "high").otherwise("medium"))
+    )
+
+
 def detect_port_scanning(packets: DataFrame, config: PortScanConfig | str | None = None,
                          threshold: int | None = None, time_window: str | None = None,
                          ports_contacted: bool = True) -> DataFrame:

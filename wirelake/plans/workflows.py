@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from wirelake.functions.lookups import protocol_name
 from wirelake.operators import anomaly, arp, dns, flow, icmp, ip as ips, tcp
 from wirelake.operators.filters import destination_ip, find_ip_information, source_ip
+from wirelake.plans.facts import gather
 from wirelake.plans.findings import Report, finding, section, union
 from wirelake.schema import seconds_between
 
@@ -22,35 +23,49 @@ def _largest(value: str, shown: str):
 
 def basic_stats(packets: DataFrame) -> DataFrame:
     """One info row with the number of packets and their time range."""
-    return packets.agg(
-        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("z")
-    ).select(F.lit("info").alias("severity"), F.lit("Statistics").alias("category"),
+    return _stats(packets.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
+
+
+def _stats(totals: DataFrame) -> DataFrame:
+    return totals.withColumnsRenamed({"first": "a", "last": "z"}).select(F.lit("info").alias("severity"), F.lit("Statistics").alias("category"),
              F.concat(F.lit("Analyzed "), F.format_number("n", 0), F.lit(" packets")).alias("description"),
              F.concat_ws(" to ", F.col("a").cast("string"), F.col("z").cast("string")).alias("details"), "n")
 
 
 def network_statistics(packets: DataFrame) -> DataFrame:
     """Section: packets, first and last time, duration."""
-    stats = packets.agg(F.count(F.lit(1)).alias("total_packets"), F.min("timestamp").alias("start"),
-                        F.max("timestamp").alias("end")).withColumn("duration", seconds_between("start", "end"))
+    return _network(packets.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
+
+
+def _network(totals: DataFrame) -> DataFrame:
+    stats = totals.withColumnsRenamed({"n": "total_packets", "first": "start", "last": "end"}).withColumn("duration", seconds_between("start", "end"))
     return section(stats, "Network Statistics", "total_packets", "start", "end", "duration")
 
 
 def check_port_scans(packets: DataFrame, threshold: int = 100, time_window: str = "1m") -> DataFrame:
-    scans = anomaly.detect_port_scanning(packets, threshold=threshold, time_window=time_window, ports_contacted=False)
+    return _port_scans(anomaly.detect_port_scanning(packets, threshold=threshold, time_window=time_window, ports_contacted=False))
+
+
+def _port_scans(scans: DataFrame) -> DataFrame:
     return finding(scans, "high", "Port Scan", "Detected {n} potential port scanning sources",
                    F.concat(F.lit("Top scanner: "), _largest("unique_ports", "scanner_ip")))
 
 
 def check_syn_floods(packets: DataFrame, threshold: int = 1000, time_window: str = "1m") -> DataFrame:
-    floods = anomaly.detect_syn_flood(packets, threshold, time_window)
+    return _syn_floods(anomaly.detect_syn_flood(packets, threshold, time_window))
+
+
+def _syn_floods(floods: DataFrame) -> DataFrame:
     return finding(floods, "critical", "SYN Flood", "Detected {n} potential SYN flood attacks",
                    F.concat(F.lit("Affected sources: "), F.count_distinct("src_ip").cast("string")))
 
 
 def check_udp_floods(packets: DataFrame, threshold: int = 500, time_window: str = "1m") -> DataFrame:
-    return finding(anomaly.detect_udp_flood(packets, threshold, time_window), "high", "UDP Flood",
-                   "Detected {n} potential UDP flood attacks")
+    return _udp_floods(anomaly.detect_udp_flood(packets, threshold, time_window))
+
+
+def _udp_floods(floods: DataFrame) -> DataFrame:
+    return finding(floods, "high", "UDP Flood", "Detected {n} potential UDP flood attacks")
 
 
 def check_dns_tunneling(packets: DataFrame, threshold: int = 100) -> DataFrame:
@@ -91,38 +106,56 @@ def check_icmp_threats(packets: DataFrame, flood_threshold: int = 100) -> DataFr
 
 def top_talkers(packets: DataFrame) -> DataFrame:
     """Section: the five addresses with most bytes."""
-    top = ips.get_most_active_ips(packets, 5, "bytes")
+    return _talkers(ips.get_most_active_ips(packets, 5, "bytes"))
+
+
+def _talkers(top: DataFrame) -> DataFrame:
     return top.select(F.lit("Top 5 Bandwidth Consumers").alias("section"), F.col("ip_address").alias("metric"),
                       F.col("total_bytes").cast("string").alias("value"))
 
 
 def check_failed_connections(packets: DataFrame, more_than: int = 100) -> DataFrame:
-    return finding(tcp.detect_incomplete_connections(packets), "medium", "Failed Connections",
+    return _failed(tcp.detect_incomplete_connections(packets), more_than)
+
+
+def _failed(incomplete: DataFrame, more_than: int = 100) -> DataFrame:
+    return finding(incomplete, "medium", "Failed Connections",
                    "High number of incomplete TCP connections: {n}", more_than=more_than)
 
 
 def check_hubs(packets: DataFrame, threshold: int = 50) -> DataFrame:
-    return finding(ips.detect_hub_ips(packets, threshold), "medium", "Hub IPs",
+    return _hubs(ips.detect_hub_ips(packets, threshold), threshold)
+
+
+def _hubs(hubs: DataFrame, threshold: int = 50) -> DataFrame:
+    return finding(hubs, "medium", "Hub IPs",
                    "Detected {n} IPs communicating with at least %d unique hosts" % threshold)
 
 
 def check_suspicious_ips(packets: DataFrame) -> DataFrame:
-    return union([
-        check_hubs(packets),
-        finding(ips.get_asymmetric_ips(packets, 0.9), "low", "Asymmetric Traffic",
-                "Detected {n} IPs with >90% traffic imbalance"),
-    ])
+    return union([check_hubs(packets), _asymmetric(ips.get_asymmetric_ips(packets, 0.9))])
+
+
+def _asymmetric(hosts: DataFrame) -> DataFrame:
+    return finding(hosts, "low", "Asymmetric Traffic", "Detected {n} IPs with >90% traffic imbalance")
 
 
 def check_data_exfiltration(packets: DataFrame, threshold: int = 100_000_000, category: str = "Data Exfiltration") -> DataFrame:
-    return finding(anomaly.detect_data_exfiltration(packets, threshold), "critical", category,
+    return _exfiltration(anomaly.detect_data_exfiltration(packets, threshold), threshold, category)
+
+
+def _exfiltration(sources: DataFrame, threshold: int = 100_000_000, category: str = "Data Exfiltration") -> DataFrame:
+    return finding(sources, "critical", category,
                    "Detected {n} IPs with more than %d bytes of outbound transfer" % threshold,
                    F.concat(F.lit("Top source: "), _largest("outbound_bytes", "src_ip")))
 
 
 def check_off_hours_activity(packets: DataFrame, business_hours=(9, 17)) -> DataFrame:
+    return _off_hours(anomaly.detect_off_hours_activity(packets, business_hours), business_hours)
+
+
+def _off_hours(quiet: DataFrame, business_hours=(9, 17)) -> DataFrame:
     start, end = business_hours
-    quiet = anomaly.detect_off_hours_activity(packets, business_hours)
     return finding(quiet, "low", "Off-Hours Activity", "Detected {n} sources active outside business hours",
                    F.concat(F.lit(f"Business hours: {start}-{end}; packets: "), F.sum("packets").cast("string")))
 
@@ -133,23 +166,34 @@ def check_beaconing(packets: DataFrame, tolerance: float = 0.1, category: str =
 
 
 def check_scanning_patterns(packets: DataFrame, hosts: int = 50, ports: int = 100) -> DataFrame:
+    return _patterns(anomaly.detect_vertical_scanning(packets, hosts), anomaly.detect_horizontal_scanning(packets, ports))
+
+
+def _patterns(vertical: DataFrame, horizontal: DataFrame) -> DataFrame:
     return union([
-        finding(anomaly.detect_vertical_scanning(packets, hosts), "medium", "Vertical Scan",
+        finding(vertical, "medium", "Vertical Scan",
                 "Detected {n} vertical scanning patterns"),
-        finding(anomaly.detect_horizontal_scanning(packets, ports), "medium", "Horizontal Scan",
+        finding(horizontal, "medium", "Horizontal Scan",
                 "Detected {n} horizontal scanning patterns"),
     ])
 
 
 def daily_audit(packets: DataFrame, business_hours=(9, 17)) -> Report:
-    """All checks over one packet table."""
+    """All checks over one packet table, which is scanned three times: for the facts, for the packets of small protocols
+    (both now, see `facts.gather`), and for beacons, whose flows need the time of every packet (when the report runs).
+    """
+    f = gather(packets, business_hours)
+    ends, pairs = f.traffic, f.pairs
     checks = [
-        basic_stats(packets), check_port_scans(packets), check_syn_floods(packets), check_udp_floods(packets),
-        check_dns_threats(packets), check_arp_threats(packets), check_icmp_threats(packets),
-        check_failed_connections(packets), check_suspicious_ips(packets), check_data_exfiltration(packets),
-        check_off_hours_activity(packets, business_hours), check_beaconing(packets), check_scanning_patterns(packets),
+        _stats(f.totals()), _port_scans(tcp.scans_of_ports(f.ports(), 100)), _syn_floods(anomaly.syn_floods(f.syn_counts(), 1000)),
+        _udp_floods(f.udp_counts().where("packet_count > 500")),
+        check_dns_threats(f.minor), check_arp_threats(f.minor), check_icmp_threats(f.minor),
+        _failed(tcp.incomplete(f.connections)), _hubs(ips.hubs(pairs, 50)), _asymmetric(ips.asymmetric(pairs, 0.9)),
+        _exfiltration(anomaly.exfiltration(pairs.withColumnsRenamed({"src": "src_ip", "dst": "dst_ip"}), 100_000_000)),
+        _off_hours(f.off_hours(), business_hours), check_beaconing(packets),
+        _patterns(anomaly.vertical_scans(ends, 50), anomaly.horizontal_scans(ends, 100)),
     ]
-    return Report("Daily Security Audit Report", checks, union([network_statistics(packets), top_talkers(packets)]))
+    return Report("Daily Security Audit Report", checks, union([_network(f.totals()), _talkers(ips.most_active(pairs, 5, "bytes"))]))
 
 
 def host_basics(packets: DataFrame, ip: str) -> DataFrame:

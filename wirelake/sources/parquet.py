@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wirelake.errors import one_of
 from wirelake.functions.scalars import epoch_to_timestamp, format_bytes, micros_to_timestamp
@@ -80,6 +80,36 @@ def save_packets(df: DataFrame, path: str, compression: str = "snappy", rebalanc
     _write(df, path, compression, "overwrite", rebalance)
 
 
+#: Columns by which a host is looked for.
+ADDRESSES = ("IP_src", "IP_dst", "IPv6_src", "IPv6_dst")
+
+
+def _place(df: DataFrame, bits: int = 6) -> Column:
+    """A packet's place on a Z-curve over (hash of the source, hash of the destination): 4^bits cells."""
+    ends = [F.coalesce(*[F.col(c) for c in ADDRESSES if c.endswith(end) and c in df.columns], F.lit("")) for end in ("_src", "_dst")]
+    hashes = [F.pmod(F.xxhash64(e), F.lit(1 << bits)) for e in ends]
+    return sum((F.call_function("shiftright", h, F.lit(i)).bitwiseAND(F.lit(1)) * (1 << (2 * i + k))
+                for k, h in enumerate(hashes) for i in range(bits)), F.lit(0).cast("bigint"))
+
+
+def save_clustered(df: DataFrame, path: str, compression: str = "snappy", group_bytes: int = 16 << 20) -> None:
+    """Overwrite the packet table at `path` in a layout for looking up hosts.
+
+    Inside a day, packets are range-partitioned and sorted along a Z-curve over both hosts (and then by time, which splits
+    a busy pair), in row groups of `group_bytes`. A host's packets lie in about a square root of all cells, and the
+    dictionaries and bloom filters of the address columns let a scan pass over the other row groups.
+    """
+    one_of("compression", compression, CODECS)
+    df = land_columns(df)
+    keys = [c for c in ("event_date",) if c in df.columns] + ["_place"] + [c for c in ("timestamp",) if c in df.columns]
+    ordered = df.withColumn("_place", _place(df)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
+    writer = ordered.write.mode("overwrite").option("compression", compression).option("parquet.block.size", group_bytes)
+    for column in ADDRESSES:
+        if column in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    (writer.partitionBy("event_date") if "event_date" in df.columns else writer).parquet(path)
+
+
 def append_packets(df: DataFrame, path: str, compression: str = "snappy", rebalance: bool = True) -> None:
     """Add packets to the table. Only new files are written; columns may differ from those already there."""
     _write(df, path, compression, "append", rebalance)
