@@ -23,7 +23,7 @@ def test_query(spark, con, small_dir, name):
     if not name.startswith(WRITES):  # those read back what they wrote
         text = df._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "LocalTableScan") if x in text]
-        assert ("InPandas" in text) == (name == "flow_periodic_patterns")
+        assert "InPandas" not in text and ("InArrow" in text) == (name == "flow_periodic_patterns")
     ok, message, _, _ = compare(spark, con, small_dir, lambda *_: df, ORACLES.get(name))
     assert ok, message
 

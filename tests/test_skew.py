@@ -171,6 +171,29 @@ def test_period_of_a_beacon(spark):
     assert [(r.src_ip, r.period_s) for r in flow.detect_periodic_patterns(slow).collect()] == [("3.3.3.3", 600.0)]
 
 
+def test_lag_products_of_dense_and_sparse_slices():
+    """By transform, by neighbours and straight: the same whole numbers, for slices of any density in one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.RandomState(3)
+    rows, want = [], {}
+    for source, n, span, top in (("a", 700, 900, 3), ("b", 5, 4000, 9), ("c", 900, 901, 1 << 21), ("d", 1, 1, 2), ("e", 400, 30_000, 5)):
+        t = np.sort(rnd.choice(span, n, replace=False)) - 50
+        x = rnd.randint(1, top + 1, n).astype(float)
+        mine = rnd.rand(n) < 0.8
+        rows += [(source, 0, 0, int(a), float(b), bool(c)) for a, b, c in zip(t, x, mine)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                if mine[i] and t[j] - t[i] <= 300:
+                    want[source, int(t[j] - t[i])] = want.get((source, int(t[j] - t[i])), 0.0) + x[i] * x[j]
+    table = pa.table(dict(zip(("src_ip", "level", "slice", "t", "x", "mine"), zip(*rows))))
+    for dense in (1, 600, 10_000):
+        parts = [flow.lag_products(part, 300, dense) for part in flow.whole_groups(iter(table.to_batches(max_chunksize=333)), 3)]
+        got = [(s, k, c) for p in parts for s, k, c in zip(*(p.column(i).to_pylist() for i in (0, 2, 3)))]
+        assert len(got) == len(want) and {(s, k): c for s, k, c in got} == want
+
+
 def test_result_does_not_depend_on_partitioning(spark, small_dir):
     from wirelake.operators.summary import behavioral_summary
     from wirelake.sources.events_view import packets_from_folder

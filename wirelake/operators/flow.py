@@ -6,9 +6,10 @@ Packets without both addresses belong to no flow. Ports are the TCP ones, else t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirelake.errors import InvalidThresholdError, InvalidValueError, one_of, positive
@@ -234,6 +235,76 @@ def calculate_inter_arrival_times(packets: DataFrame, group_by: str = "flow", sl
     return stats.where(F.col("n_intervals") > 0).drop("packets")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Sorted rows as tables of whole groups: no run of equal values in the first `width` columns is cut."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        new = np.flatnonzero(_begins(rows, width))
+        cut = int(new[-1])
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+        held = rows.slice(cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _begins(rows: pa.Table, width: int) -> np.ndarray:
+    """Where a row differs from the one before it in the first `width` columns."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for column in rows.columns[:width]:
+        codes = column.combine_chunks().dictionary_encode().indices.to_numpy()
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def lag_products(rows: pa.Table, lags: int, dense: int = 5_000) -> pa.RecordBatch:
+    """(src_ip, level, lag, c): sums of x[t] x[t + lag] over the bins t of each slice that are its own, from rows (src_ip,
+    level, slice, t, x, mine) sorted by the first four."""
+    begin = _begins(rows, 3)
+    first = np.flatnonzero(begin)
+    group = np.cumsum(begin) - 1
+    t, x, mine = (rows.column(c).to_numpy() for c in ("t", "x", "mine"))
+    size = np.diff(np.append(first, len(t)))
+    sums = np.zeros((len(first), lags + 1))
+    # Few bins: the step-th neighbour of every bin of all slices at once; bins are distinct, so step <= lags.
+    few = np.flatnonzero((size < dense)[group])
+    gf, tf, xf, mf = group[few], t[few], x[few], mine[few].astype(bool)
+    for step in range(1, lags + 1):
+        lag = tf[step:] - tf[:-step]
+        near = (gf[step:] == gf[:-step]) & (lag <= lags)
+        if not near.any():
+            break
+        near &= mf[:-step]
+        np.add.at(sums, (gf[:-step][near], lag[near]), (xf[:-step] * xf[step:])[near])
+    for g in np.flatnonzero(size >= dense).tolist():
+        own = slice(int(first[g]), int(first[g] + size[g]))
+        sums[g] = dense_products(t[own], x[own], mine[own].astype(bool), lags)
+    g, lag = np.nonzero(sums)
+    at = pa.array(first[g])
+    return pa.RecordBatch.from_arrays([rows.column("src_ip").combine_chunks().take(at), rows.column("level").combine_chunks().take(at),
+                                       pa.array(lag), pa.array(sums[g, lag])], names=["src_ip", "level", "lag", "c"])
+
+
+def dense_products(t: np.ndarray, x: np.ndarray, mine: np.ndarray, lags: int) -> np.ndarray:
+    """The sums of one slice by Fourier transform; where it can't be rounded to whole numbers safely, by the sums themselves."""
+    span = int(t[-1] - t[0]) + 1
+    all_bins, own_bins = np.zeros(span), np.zeros(span)
+    all_bins[t - t[0]] = x
+    own_bins[(t - t[0])[mine]] = x[mine]
+    n = 1 << (span + lags).bit_length()
+    made = np.fft.irfft(np.conj(np.fft.rfft(own_bins, n)) * np.fft.rfft(all_bins, n), n)[:lags + 1]
+    whole = np.rint(made)
+    if float(all_bins @ all_bins) >= 1 << 40 or np.abs(made - whole).max() > 0.2:
+        whole = np.array([own_bins[:span - k] @ all_bins[k:] if k < span else 0.0 for k in range(lags + 1)])
+    whole[0] = 0
+    return whole
+
+
 def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_width: str = "1s", lags: int = 300,
                              min_strength: float = 0.5, min_periods: int = 3, slice_width: str = "7d", levels: int = 7) -> DataFrame:
     """Dominant period of the packets of each source (or of one), by autocorrelation of packets per bin.
@@ -245,8 +316,9 @@ def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_widt
     wins, in it the largest strength, the shortest lag on ties; the series must span `min_periods` periods.
 
     Packets are counted per (source, bin) first. C(k) is summed over slices of the series, each with the next
-    `lags` bins as a halo, so one task holds at most one slice of one source and level: a bounded number of bins. Lag
-    products are doubles, exact up to 2^53, made by numpy inside the task; Spark sums them.
+    `lags` bins as a halo, so one task holds a batch of slices, each a bounded number of bins. Lag products are whole
+    numbers, made by numpy inside the task for all slices of a batch at once, by Fourier transform for dense ones; Spark
+    sums them.
     """
     bin_us, slice_us = window_micros(bin_width), window_micros(slice_width)
     bins_per_slice = max(slice_us // bin_us, lags)
@@ -265,22 +337,14 @@ def detect_periodic_patterns(packets: DataFrame, ip: str | None = None, bin_widt
     sliced = bins.select("src_ip", "level", "t", "x", own.alias("own"),
                          F.explode(F.when(near, F.array(own, own - 1)).otherwise(F.array(own))).alias("slice"))
 
-    def lag_products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, x = pdf["t"].to_numpy(), pdf["x"].to_numpy()
-        mine = (pdf["own"] == pdf["slice"]).to_numpy()
-        sums = np.zeros(lags + 1)
-        for step in range(1, len(t)):  # the step-th neighbour of every bin; bins are distinct, so step <= lags
-            lag = t[step:] - t[:-step]
-            near = (lag <= lags) & mine[:-step]
-            if not (lag <= lags).any():
-                break
-            np.add.at(sums, lag[near], (x[:-step] * x[step:])[near])
-        found = np.flatnonzero(sums)
-        return pd.DataFrame({"src_ip": pdf["src_ip"].iloc[0], "level": pdf["level"].iloc[0], "lag": found, "c": sums[found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, 3):
+            yield lag_products(part, lags)
 
+    ordered = sliced.select("src_ip", "level", "slice", "t", "x", (F.col("own") == F.col("slice")).alias("mine")) \
+        .repartition("src_ip", "level", "slice").sortWithinPartitions("src_ip", "level", "slice", "t")
     products = (
-        sliced.groupBy("src_ip", "level", "slice").applyInPandas(lag_products, "src_ip string, level int, lag long, c double")
+        ordered.mapInArrow(run, "src_ip string, level int, lag long, c double")
         .where((F.col("level") == 0) | (F.col("lag") > lags // 10))
         .groupBy("src_ip", "level", "lag").agg(F.sum("c").alias("c"))
     )
