@@ -202,3 +202,23 @@ def test_bad_arguments(tcp_frame):
     assert filters.sample(tcp_frame, 3, seed=1).count() == 3 and filters.sample(tcp_frame, 99).count() == 9
     assert filters.find_ip_information(tcp_frame.drop("IP_src", "IP_dst"), "x").count() == 0
     assert filters.get_by_protocol(tcp_frame.withColumn("IPv6_src", F.lit("x")), "IP").columns[-1] == "IPv6_src"
+
+
+def test_sketches_of_days_merge(spark, tmp_path):
+    from wirelake.operators import sketches
+
+    frame = spark.range(20_000).selectExpr(
+        "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 10 as int), 0, 0, id % 1000) as timestamp", "concat('10.0.', id % 40, '.', id % 50) as IP_src",
+        "if(id % 7 = 0, null, concat('11.0.0.', id % 90)) as IP_dst", "cast(id % 2000 as int) as TCP_dport", "id % 1500 as IP_len")
+    path = str(tmp_path / "days")
+    for part in ("id", "timestamp < timestamp_ntz'2024-01-05'"):  # the second time only some days are written again
+        sketches.store_sketches(frame if part == "id" else frame.where(part), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 10
+    row = sketches.report(stored, "month", (0.5, 0.9)).head()
+    hosts = frame.selectExpr("explode(array(IP_src, IP_dst)) as h").where("h is not null").distinct().count()
+    pairs = frame.where("IP_dst is not null").select("IP_src", "IP_dst").distinct().count()
+    assert row.packets == 20_000 and row.bytes == frame.agg({"IP_len": "sum"}).head()[0]
+    assert all(abs(got - want) <= 0.05 * want for got, want in ((row.hosts, hosts), (row.pairs, pairs), (row.ports, 2000)))
+    assert abs(row["size_p50"] - 750) <= 30 and abs(row["size_p90"] - 1350) <= 30
+    assert sketches.report(stored, "day").count() == 10 and sketches.report(stored.limit(0)).count() == 0

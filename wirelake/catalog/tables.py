@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wirelake.catalog.entry import bucket, packets, seconds, sql_private, tables
 from wirelake.catalog.packet_sql import oracle
 from wirelake.functions import addresses, lookups, scalars
-from wirelake.operators import filters, summary
+from wirelake.operators import filters, sketches, summary
 from wirelake.session import scratch_path
 from wirelake.sources import nested, parquet
 from wirelake.sources.events_view import packets_from_folder
@@ -220,6 +220,26 @@ def _described_fractions(p: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(c) / unit).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
+def _sketched(p: DataFrame) -> DataFrame:
+    """Weekly reports from stored daily sketches beside the exact figures, and whether they are as near as stated."""
+    path = scratch_path(p.sparkSession, "sketches")
+    for part in (p.where("timestamp < timestamp_ntz'2024-01-12'"), p.where("timestamp >= timestamp_ntz'2024-01-11'")):
+        sketches.store_sketches(part, path)  # a day that comes again is replaced
+    found = sketches.report(p.sparkSession.read.parquet(path), "week", (0.5,))
+    week = F.to_date(F.date_trunc("week", "timestamp")).alias("period")
+    exact = p.groupBy(week).agg(
+        F.count_distinct(F.when(F.col("IP_src").isNotNull(), F.concat_ws(">", "IP_src", "IP_dst"))).alias("exact_pairs"),
+        F.count_distinct(F.coalesce("TCP_dport", "UDP_dport")).alias("exact_ports"))
+    sizes = p.groupBy(week, "IP_len").count()
+    ranks = sizes.join(found.select("period", "size_p50"), "period").where("IP_len is not null").groupBy("period").agg(
+        (F.sum(F.when(F.col("IP_len") < F.col("size_p50"), F.col("count")).otherwise(0)) / F.sum("count")).alias("below"),
+        (F.sum(F.when(F.col("IP_len") <= F.col("size_p50"), F.col("count")).otherwise(0)) / F.sum("count")).alias("upto"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.05 * F.col(f"exact_{c}")).alias(f"{c}_near")
+    return found.join(exact, "period").join(ranks, "period").select(
+        "period", "packets", "bytes", "first_seen", "last_seen", "exact_pairs", "exact_ports", near("pairs"), near("ports"),
+        ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"))
+
+
 def _described(p: DataFrame) -> DataFrame:
     """All columns; seconds of the timestamp to a thousandth, as both engines add up large numbers."""
     rows = filters.describe(p, *_COLUMNS)
@@ -267,6 +287,12 @@ FILTERS = {
 }
 
 
+SKETCHES = {"sketch_weekly_report": packets(_sketched, """
+SELECT CAST(date_trunc('week', timestamp) AS DATE) AS period, count(*) AS packets, CAST(coalesce(sum(IP_len), 0) AS BIGINT) AS bytes,
+  min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+  count(DISTINCT CASE WHEN IP_src IS NOT NULL THEN concat(IP_src, '>', IP_dst) END) AS exact_pairs,
+  count(DISTINCT coalesce(TCP_dport, UDP_dport)) AS exact_ports, true AS pairs_near, true AS ports_near, true AS median_near
+FROM p GROUP BY 1""")}
 _PLAIN = {"half": "raw_size * 0.5::DOUBLE", "huge": "raw_size * 3.0::DOUBLE * 1e13::DOUBLE", "tiny": "raw_size / 1073741824.0::DOUBLE",
           "signed": "(raw_size - 100) * 0.125::DOUBLE"}
 _UNITS = {"huge": "/ 1e13", "tiny": "* 1073741824.0::DOUBLE"}
@@ -418,4 +444,4 @@ def _windows(p: DataFrame) -> DataFrame:
     return p.groupBy(*texts).count()
 
 
-ENTRIES = SOURCES | FILTERS | SUMMARIES | SCALARS
+ENTRIES = SOURCES | FILTERS | SUMMARIES | SCALARS | SKETCHES
