@@ -2,14 +2,19 @@
 
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
 from tests.oracle_check import compare, connect
+from wirelake.llm import alignment
 from wirelake.llm.queries import ORACLES, QUERIES
 
 COLUMNS = {
@@ -47,6 +52,93 @@ def test_oracle(spark, small_dir, name):
     assert ok and n and COLUMNS[name] <= set(QUERIES[name](spark, small_dir).columns), message
 
 
+def ids_of(path, text):
+    model = Tokenizer.from_file(public_tokenizers.path(path))
+    return [np.array(x.ids + [2], "<u4").tobytes() for x in model.encode_batch([t or "" for t in text], add_special_tokens=False)]
+
+
+def test_shards(spark, small_dir, documents):
+    rows = QUERIES["op1_sharding"](spark, small_dir).collect()
+    text = lambda r: (r["text"] or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], len(text(r)) + 8, zlib.crc32(text(r))) for r in documents)
+    slots, load = defaultdict(list), Counter()
+    for r in rows:
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24
+        slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mean, largest = sum(load.values()) / 24, max(r["size"] for r in rows)
+    assert max(load.values()) <= mean * 1.0006 + largest
+
+
+def test_mixed_sizes_and_targets(spark, small_dir, documents):
+    rows = {r["doc_id"]: r for r in QUERIES["op5_mixing"](spark, small_dir).collect()}
+    size = {r["doc_id"]: len(brute.words(r["text"])) for r in documents}
+    whole = Counter()
+    for r in documents:
+        whole[r["source"]] += size[r["doc_id"]]
+    want, taken = brute.targets(whole), Counter()
+    for r in documents:
+        got = rows[r["doc_id"]]
+        assert (got["size"], got["source_size"]) == (size[r["doc_id"]], whole[r["source"]]) and abs(got["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]])
+        assert 0 <= got["taken"] <= 3 * got["size"]
+        taken[r["source"]] += got["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in whole)
+
+
+def test_token_counts(spark, small_dir, documents):
+    from wirelake.llm import wordpiece
+
+    vocabulary = set(wordpiece.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = {r["doc_id"]: r for r in QUERIES["op6_token_counts"](spark, small_dir).collect()}
+    for r in documents[:60]:
+        ws = brute.words(r["text"])
+        assert (rows[r["doc_id"]]["n_words"], rows[r["doc_id"]]["n_tokens"]) == (len(ws), sum(brute.greedy(b" " + w.encode(), vocabulary) for w in ws))
+
+
+def test_token_files_of_the_plain_library(spark, small_dir, documents):
+    rows = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op7_token_files"](spark, small_dir).collect()}
+    start = 0
+    docs = sorted(documents, key=lambda r: r["doc_id"])
+    for r, ids in zip(docs, ids_of("byte_bpe_50k.json", [r["text"] for r in docs])):
+        assert rows[r["doc_id"]] == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+
+
+def test_packed_pieces_of_the_plain_library(spark, small_dir, documents):
+    pieces, sequences = defaultdict(list), Counter()
+    for r in QUERIES["op10_packing"](spark, small_dir).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        sequences[r["sequence_id"]] += 1
+        assert r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 4096
+    assert set(sequences.values()) == {1}
+    for r, ids in zip(documents, ids_of("word_bpe_49k.json", [r["text"] for r in documents])):
+        at = 0
+        for start, length, crc, total in sorted(pieces[r["doc_id"]]):
+            assert (start, total, crc) == (at, len(ids) // 4, zlib.crc32(ids[4 * at:4 * (at + length)]))
+            at += length
+        assert at == len(ids) // 4
+
+
+def test_alignment(spark, small_dir, documents):
+    from tests.llm import test_alignment
+
+    a, b = Tokenizer.from_file(test_alignment.A), sentencepiece.SentencePieceProcessor(model_file=test_alignment.B)
+    a.encode_special_tokens = True
+    models = a, b, alignment.bytes_of_a(test_alignment.A), alignment.bytes_of_b(b)
+    want, _ = test_alignment.brute(models, [r["text"] for r in documents])
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op13_alignment"](spark, small_dir).collect()}
+    assert got == {r["doc_id"]: w for r, w in zip(documents, want)}
+
+
+def test_toxicity_of_held_out_rows(spark, small_dir, documents):
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small_dir}/labels.parquet").collect() if r["toxic"] is not None}
+    rows = QUERIES["op2_toxicity"](spark, small_dir).collect()
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    kept = [r for r in rows if r["held_out"] and truth.get(r["doc_id"]) == 0]
+    assert kept and sum(r["predicted"] for r in kept) <= 0.02 * len(kept)
+
+
 def test_simhash_components(spark, small_dir, documents):
     prints = [(r["doc_id"], brute.fingerprint(r["text"], 3)) for r in documents]
     want = {i: (f"{f:016x}", c) for (i, f), c in zip(prints, brute.component_ids(prints, 2))}
