@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,14 @@ def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
+def release_memory() -> None:
+    """Gives free memory of a Python worker back to the system: the worker stays for other stages, which need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable]) -> DataFrame:
     """`df` with columns computed from the texts in `column`; a column of `df` with such a name is replaced.
 
@@ -61,6 +72,8 @@ def add_columns(df: DataFrame, column: str, fields: list[T.StructField], make: C
                 kept = [batch.column(i).slice(begin, end - begin) for i in range(len(keep))]
                 arrays = kept + [pa.array(v, type=arrow_type(f.dataType)) for v, f in zip(made, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        del compute
+        release_memory()
 
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(keep)],

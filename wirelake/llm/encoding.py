@@ -13,19 +13,20 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of a generation. The present generation and the one before are remembered; what is forgotten changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Bytes beyond which a chunk is not remembered.
 LONG = 256
 #: Chunks encoded in one call.
 BATCH = 200
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-SLICE = 16_000_000
+SLICE = 8_000_000
 
 #: By byte: 1 for what a chunk may begin with, 2 for other white space, 4 for what may be part of odd white space.
 _KIND = np.zeros(256, np.uint8)
@@ -146,8 +147,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.joined, self.alone = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.alone.encode_special_tokens = ordinary
+        self.path, self.ordinary = path, ordinary
+        self.joined = Tokenizer.from_file(path)
         specials = {i: t.content for i, t in self.joined.get_added_tokens_decoder().items()}
         self.mark = max(specials)
         self.between = specials[self.mark]
@@ -160,6 +161,15 @@ class Encoder:
         self.signs_of = byte_signs() | {0: self.between}
         self.signs, self.memory = signs, Memory(self.made, remembered)
 
+    @cached_property
+    def alone(self):
+        """The plain tokenizer, for the few chunks that are not encoded together."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = self.ordinary
+        return model
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         chunks, counts = cut(texts, self.strings, self.signs)
         coded = chunks.dictionary_encode()

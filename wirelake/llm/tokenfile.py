@@ -163,7 +163,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, store = encoder(tokenizer), TaskContext.get().partitionId(), None
-        width = 2 if model.alone.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        width = 2 if model.joined.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         number, writer = 0, None
 
         def finish() -> pa.RecordBatch:
