@@ -106,7 +106,7 @@ def ipv6_hex(ip: Column) -> Column:
 @dataclass(frozen=True)
 class AddressSet:
     """Addresses as sorted ranges of 128-bit numbers that do not touch; an IPv4 address has the number of its IPv4-mapped
-    IPv6 address. Membership is a search by position over two BIGINTs, plain comparisons inside whole-stage codegen."""
+    IPv6 address. Membership is a position among sorted bounds over two BIGINTs, inside whole-stage codegen."""
 
     ranges: tuple[tuple[int, int], ...]
 
@@ -133,26 +133,26 @@ class AddressSet:
         return AddressSet(tuple(merged))
 
     def holds(self, high: Column, low: Column) -> Column:
-        """Whether the address with these numbers (see `with_numbers`) is in the set; null for none."""
-        short = [(a, b) for a, b in self.ranges if b < 1 << 64]  # all IPv4 addresses: only the lower number differs
-        long = [r for r in self.ranges if r not in short]
-        never = F.when(high.isNotNull(), F.lit(False))
+        """Whether the address with these numbers (see `with_numbers`) is in the set; null for none.
 
-        def before(value: int) -> Column:
-            if value >> 128:
-                return F.when(high.isNotNull(), F.lit(True))
-            upper, lower = F.lit(_signed(value >> 64)), F.lit(_signed(value & _LOWER))
-            return (high < upper) | ((high == upper) & (low < lower)) if value & _LOWER else high < upper
+        The position among all bounds of ranges is odd inside of a range. It is a sum of comparisons, which makes short code
+        for columns that are never null: a tree of cases would be longer than what the JVM compiles.
+        """
+        upper, lower = high, low
+        bounds = [v for a, b in self.ranges for v in (a, b + 1)]
 
-        def search(ranges: list[tuple[int, int]], less) -> Column:
-            if not ranges:
-                return never
-            if len(ranges) == 1:
-                return ~less(ranges[0][0]) & less(ranges[0][1] + 1)
-            middle = len(ranges) // 2
-            return F.when(less(ranges[middle][0]), search(ranges[:middle], less)).otherwise(search(ranges[middle:], less))
+        def reached(value: int) -> Column:
+            if not value >> 64:
+                return lower >= F.lit(_signed(value))
+            at = F.lit(_signed(value >> 64))
+            return (upper > at) | ((upper == at) & (lower >= F.lit(_signed(value & _LOWER)))) if value & _LOWER else upper >= at
 
-        return F.when(high == _signed(0), search(short, lambda v: low < F.lit(_signed(v)) if v >> 64 == 0 else F.when(low.isNotNull(), F.lit(True)))).otherwise(search(long, before))
+        count = lambda values: sum((reached(v).cast("int") for v in values), F.lit(0))
+        # An IPv4 address has an upper number of zero, and so have the first IPv6 addresses.
+        short, long = [v for v in bounds if not v >> 64], [v for v in bounds if v >> 64 and not v >> 128]
+        before = sum(not v >> 64 for v in bounds)
+        position = F.when(upper == _signed(0), count(short)).otherwise(count(long) + before)
+        return position.bitwiseAND(F.lit(1)) == 1
 
 
 _LOWER = (1 << 64) - 1
@@ -192,14 +192,13 @@ def with_numbers(df: DataFrame, ends: dict[str, Column]) -> DataFrame:
         return F.when(valid, value)
 
     df = df.withColumns({x(n, "four"): four(n) for n in ends})
-    df = df.withColumns({x(n, "plain"): F.when(F.col(x(n, "text")).contains(":"), F.lower(F.regexp_replace(x(n, "text"), "%.+$", ""))) for n in ends})
-    df = df.withColumns({x(n, "tail"): F.when(F.col(x(n, "plain")).isNotNull(), _dotted_tail(F.col(x(n, "plain")))) for n in ends})
-    df = df.withColumns({x(n, "digits"): F.when(F.col(x(n, "tail")).isNotNull(), _digits(F.col(x(n, "tail")))) for n in ends})
+    # The patterns of IPv6 text hold a lambda, so this one projection stands between two stretches of generated code.
+    df = df.withColumns({x(n, "digits"): ipv6_hex(F.col(x(n, "text"))) for n in ends})
     half = lambda name, begin: F.when(F.col(x(name, "digits")).isNotNull(), F.conv(F.substring(x(name, "digits"), begin, 16), 16, -10)
                                       .cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
     made = {f"{n}_high": F.when(F.col(x(n, "four")).isNotNull(), F.lit(_signed(0))).otherwise(half(n, 1)) for n in ends}
     made |= {f"{n}_low": F.coalesce(x(n, "four"), half(n, 17)) for n in ends}
-    return df.withColumns(made).drop(*[x(n, part) for n in ends for part in ("text", "parts", 0, 1, 2, 3, "four", "plain", "tail", "digits")])
+    return df.withColumns(made).drop(*[x(n, part) for n in ends for part in ("text", "parts", 0, 1, 2, 3, "four", "digits")])
 
 
 PRIVATE = AddressSet.of((*PRIVATE_V4, *PRIVATE_V6), (*PUBLIC_HOLES_V4, *PUBLIC_HOLES_V6))
@@ -207,8 +206,10 @@ PRIVATE = AddressSet.of((*PRIVATE_V4, *PRIVATE_V6), (*PUBLIC_HOLES_V4, *PUBLIC_H
 
 def with_private(df: DataFrame, ends: dict[str, Column]) -> DataFrame:
     """`df` with a boolean column for each address: whether it is private; null for text that is not an address."""
-    flags = F.struct(*[PRIVATE.holds(F.col(f"{n}_high"), F.col(f"{n}_low")).alias(n) for n in ends])
-    held = with_numbers(df, ends).select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(flags)).alias("_private"))
+    known = with_numbers(df, ends).withColumns({f"{n}_known": F.col(f"{n}_high").isNotNull() for n in ends} | {
+        f"{n}_{half}": F.coalesce(f"{n}_{half}", F.lit(0)) for n in ends for half in ("high", "low")})
+    flags = F.struct(*[F.when(F.col(f"{n}_known"), PRIVATE.holds(F.col(f"{n}_high"), F.col(f"{n}_low"))).alias(n) for n in ends])
+    held = known.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(flags)).alias("_private"))
     return held.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_private.`{n}`").alias(n) for n in ends])
 
 
