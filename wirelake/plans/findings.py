@@ -7,10 +7,11 @@ columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,13 +52,28 @@ def section(rows: DataFrame, name: str, *metrics: str) -> DataFrame:
 
 @dataclass
 class Report:
-    """A title, its checks (each a DataFrame of finding rows) and sections of (section, metric, value) rows."""
+    """A title, its checks (each a DataFrame of finding rows) and sections of (section, metric, value) rows.
+
+    `parts` is the list of checks, with or without the sections, or a function that makes both when they are first needed.
+    """
 
     title: str
-    checks: list[DataFrame]
-    sections: DataFrame | None = None
+    parts: list[DataFrame] | Callable[[], tuple[list[DataFrame], DataFrame | None]]
+    own_sections: DataFrame | None = None
     timestamp: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
+    @cached_property
+    def _made(self) -> tuple[list[DataFrame], DataFrame | None]:
+        return self.parts() if callable(self.parts) else (self.parts, self.own_sections)
+
+    @property
+    def checks(self) -> list[DataFrame]:
+        return self._made[0]
+
+    @property
+    def sections(self) -> DataFrame | None:
+        return self._made[1]
+
     @property
     def findings(self) -> DataFrame:
         """All findings, as one lazy plan."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from wirelake.functions.lookups import protocol_name
 from wirelake.operators import anomaly, arp, dns, flow, icmp, ip as ips, tcp
 from wirelake.operators.filters import destination_ip, find_ip_information, source_ip
-from wirelake.plans.facts import gather
+from wirelake.plans.facts import Facts, gather
 from wirelake.plans.findings import Report, finding, section, union
 from wirelake.schema import seconds_between
 
@@ -179,10 +179,14 @@ def _patterns(vertical: DataFrame, horizontal: DataFrame) -> DataFrame:
 
 
 def daily_audit(packets: DataFrame, business_hours=(9, 17)) -> Report:
-    """All checks over one packet table, which is scanned three times: for the facts, for the packets of small protocols
-    (both now, see `facts.gather`), and for beacons, whose flows need the time of every packet (when the report runs).
+    """All checks over one packet table, which is scanned three times: for the facts and for the packets of small protocols
+    (see `facts.gather`; when the report is first looked at), and for beacons, whose flows need the time of every packet.
     """
-    f = gather(packets, business_hours)
+    return Report("Daily Security Audit Report", lambda: _audit(packets, gather(packets, business_hours), business_hours))
+
+
+def _audit(packets: DataFrame, f: Facts, business_hours) -> tuple[list[DataFrame], DataFrame]:
+    """(checks, sections) of the audit."""
     ends, pairs = f.traffic, f.pairs
     checks = [
         _stats(f.totals()), _port_scans(tcp.scans_of_ports(f.ports(), 100)), _syn_floods(anomaly.syn_floods(f.syn_counts(), 1000)),
@@ -193,7 +197,7 @@ def daily_audit(packets: DataFrame, business_hours=(9, 17)) -> Report:
         _off_hours(f.off_hours(), business_hours), check_beaconing(packets),
         _patterns(anomaly.vertical_scans(ends, 50), anomaly.horizontal_scans(ends, 100)),
     ]
-    return Report("Daily Security Audit Report", checks, union([_network(f.totals()), _talkers(ips.most_active(pairs, 5, "bytes"))]))
+    return checks, union([_network(f.totals()), _talkers(ips.most_active(pairs, 5, "bytes"))])
 
 
 def host_basics(packets: DataFrame, ip: str) -> DataFrame:
