@@ -114,6 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The documents of a mix as rows, each as often as it is taken: its whole epochs, and once more if at least
-    half of it lies before the cut. Documents without words are kept once."""
+    half of it lies before the cut. Documents without words, null texts too, are kept once; rows that are equal are taken
+    each for itself, and so as often as each other. All columns stay; an empty mix gives an empty table."""
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
     return mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")

@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
 
     `vocabulary` is the path of a byte-level vocabulary, the same on every executor. Words are `[^\\x20\\x09-\\x0D]+`
     with a leading space. Null and empty texts have zero of each; columns of such names are replaced; repeated rows
-    count each for itself.
+    count each for itself. Texts are taken whole, however long; an empty table gives an empty one.
     """
     def make():
         if vocabulary not in _MADE:
