@@ -274,6 +274,12 @@ def test_language_odd_rows(odd, odd_rows, none):
 
 # ---- mixing
 
+def test_repeated_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 7) for i in range(9)], "doc_id long, text string, source string, copy int")
+    rows = mixing.repeated(mixing.mix(docs))
+    assert rows.count() == 9 and {r["copy"] for r in rows.collect()} == {7}
+
+
 def test_mix_meets_targets(odd, odd_rows, none):
     rows = mixing.mix(odd).collect()
     sizes = Counter()

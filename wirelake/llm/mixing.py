@@ -117,4 +117,6 @@ def repeated(mixed: DataFrame) -> DataFrame:
     half of it lies before the cut. Documents without words, null texts too, are kept once; rows that are equal are taken
     each for itself, and so as often as each other. All columns stay; an empty mix gives an empty table."""
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return mixed.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+    rows = mixed.where(copies > 0).select(*[quoted(x).alias(f"c{i}") for i, x in enumerate(mixed.columns)],
+                                          F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    return rows.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(mixed.columns)])

@@ -163,7 +163,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     with an id that is null, or a vector that is null or holds null, NaN or infinite components, take no part. Vectors
     of different length compare as if filled up with zeros; an empty vector scores zero. Rows that share the id of a
     query are that query's own and no candidates; repeated query rows are answered each for itself. Fewer candidates
-    than k give all of them; an empty table gives no row. Only the two named columns are read, so no other can clash. Lengths whose product passes 2^53 raise an error.
+    than k give all of them; an empty table gives no row. Only the two named columns are read, so no other can clash.
+    Lengths whose product passes 2^53 raise an error.
     """
     spark = vectors.sparkSession
     rows = written(whole_vectors(vectors, id_col, vec_col, scale), "vectors")
