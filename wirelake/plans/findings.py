@@ -50,29 +50,29 @@ def section(rows: DataFrame, name: str, *metrics: str) -> DataFrame:
     return rows.select(F.lit(name).alias("section"), F.explode(entries).alias("m")).select("section", "m.*")
 
 
+def _made(part):
+    return part() if callable(part) else part
+
+
 @dataclass
 class Report:
     """A title, its checks (each a DataFrame of finding rows) and sections of (section, metric, value) rows.
 
-    `parts` is the list of checks, with or without the sections, or a function that makes both when they are first needed.
+    Each of `parts`, the checks, and the sections may also be a function that makes it when it is first needed.
     """
 
     title: str
-    parts: list[DataFrame] | Callable[[], tuple[list[DataFrame], DataFrame | None]]
-    own_sections: DataFrame | None = None
+    parts: list[DataFrame | Callable[[], DataFrame]]
+    own_sections: DataFrame | Callable[[], DataFrame] | None = None
     timestamp: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     @cached_property
-    def _made(self) -> tuple[list[DataFrame], DataFrame | None]:
-        return self.parts() if callable(self.parts) else (self.parts, self.own_sections)
-
-    @property
     def checks(self) -> list[DataFrame]:
-        return self._made[0]
+        return list(map(_made, self.parts))
 
-    @property
+    @cached_property
     def sections(self) -> DataFrame | None:
-        return self._made[1]
+        return _made(self.own_sections)
 
     @property
     def findings(self) -> DataFrame:
@@ -85,11 +85,15 @@ class Report:
         A check gives three rows at most, so what comes back to the driver is bounded by the number of checks.
         Compared with `findings`, stages of different checks overlap freely and each plan is re-optimised alone.
         """
-        spark = self.checks[0].sparkSession
+        def found(part):
+            check = _made(part)
+            return check, check.collect()
+
         with ThreadPoolExecutor(at_once) as pool:
-            rows = [row for found in pool.map(DataFrame.collect, self.checks) for row in found]
-        return spark.createDataFrame(
-            rows, "severity string, category string, description string, details string, n bigint")
+            done = list(pool.map(found, self.__dict__.get("checks", self.parts)))
+        self.checks = [check for check, _ in done]
+        return self.checks[0].sparkSession.createDataFrame(
+            [row for _, rows in done for row in rows], "severity string, category string, description string, details string, n bigint")
 
     def add_finding(self, more: DataFrame) -> "Report":
         return Report(self.title, [*self.checks, more], self.sections, self.timestamp)

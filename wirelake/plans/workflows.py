@@ -6,6 +6,8 @@ are missing raises when the plan is built.
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, functions as F
 
 from wirelake.functions.lookups import protocol_name
@@ -182,22 +184,34 @@ def daily_audit(packets: DataFrame, business_hours=(9, 17)) -> Report:
     """All checks over one packet table, which is scanned three times: for the facts and for the packets of small protocols
     (see `facts.gather`; when the report is first looked at), and for beacons, whose flows need the time of every packet.
     """
-    return Report("Daily Security Audit Report", lambda: _audit(packets, gather(packets, business_hours), business_hours))
+    lock, held = Lock(), []
 
+    def facts() -> Facts:
+        with lock:  # checks are made side by side; the first gathers for all
+            if not held:
+                held.append(gather(packets, business_hours))
+        return held[0]
 
-def _audit(packets: DataFrame, f: Facts, business_hours) -> tuple[list[DataFrame], DataFrame]:
-    """(checks, sections) of the audit."""
-    ends, pairs = f.traffic, f.pairs
+    pairs = lambda: facts().pairs
+    exfiltrating = lambda: anomaly.exfiltration(pairs().withColumnsRenamed({"src": "src_ip", "dst": "dst_ip"}), 100_000_000)
     checks = [
-        _stats(f.totals()), _port_scans(tcp.scans_of_ports(f.ports(), 100)), _syn_floods(anomaly.syn_floods(f.syn_counts(), 1000)),
-        _udp_floods(f.udp_counts().where("packet_count > 500")),
-        check_dns_threats(f.minor), check_arp_threats(f.minor), check_icmp_threats(f.minor),
-        _failed(tcp.incomplete(f.connections)), _hubs(ips.hubs(pairs, 50)), _asymmetric(ips.asymmetric(pairs, 0.9)),
-        _exfiltration(anomaly.exfiltration(pairs.withColumnsRenamed({"src": "src_ip", "dst": "dst_ip"}), 100_000_000)),
-        _off_hours(f.off_hours(), business_hours), check_beaconing(packets),
-        _patterns(anomaly.vertical_scans(ends, 50), anomaly.horizontal_scans(ends, 100)),
+        lambda: check_beaconing(packets),
+        lambda: _stats(facts().totals()),
+        lambda: _port_scans(tcp.scans_of_ports(facts().ports(), 100)),
+        lambda: _syn_floods(anomaly.syn_floods(facts().syn_counts(), 1000)),
+        lambda: _udp_floods(facts().udp_counts().where("packet_count > 500")),
+        lambda: check_dns_threats(facts().minor),
+        lambda: check_arp_threats(facts().minor),
+        lambda: check_icmp_threats(facts().minor),
+        lambda: _failed(tcp.incomplete(facts().connections)),
+        lambda: _hubs(ips.hubs(pairs(), 50)),
+        lambda: _asymmetric(ips.asymmetric(pairs(), 0.9)),
+        lambda: _exfiltration(exfiltrating()),
+        lambda: _off_hours(facts().off_hours(), business_hours),
+        lambda: _patterns(anomaly.vertical_scans(facts().traffic, 50), anomaly.horizontal_scans(facts().traffic, 100)),
     ]
-    return checks, union([_network(f.totals()), _talkers(ips.most_active(pairs, 5, "bytes"))])
+    return Report("Daily Security Audit Report", checks,
+                  lambda: union([_network(facts().totals()), _talkers(ips.most_active(pairs(), 5, "bytes"))]))
 
 
 def host_basics(packets: DataFrame, ip: str) -> DataFrame:
