@@ -1,11 +1,11 @@
-"""Address sets and numbers against the standard library."""
+"""Private addresses against the standard library."""
 
 import ipaddress
 import random
 
 from pyspark.sql import functions as F
 
-from wirelake.functions.addresses import PRIVATE, PRIVATE_V4, PRIVATE_V6, PUBLIC_HOLES_V4, PUBLIC_HOLES_V6, AddressSet, with_numbers, with_private
+from wirelake.functions.addresses import PRIVATE_V4, PRIVATE_V6, PUBLIC_HOLES_V4, PUBLIC_HOLES_V6, is_private_ip
 
 BAD = [None, "", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "1.2.3.-4", "+1.2.3.4", " 1.2.3.4", "1.2.3.4 ", "1..3.4", "a.b.c.d", ":::", "1:2:3", "g::1",
        "1:2:3:4:5:6:7:8:9", "::1::", "12345::", "1.2.3.4:80", "::ffff:1.2.3", "1e1.2.3.4", "1.2.3.0x4"]
@@ -28,19 +28,6 @@ def texts():
     return made + V6
 
 
-def number(text):
-    ip = ipaddress.ip_address(text.split("%")[0])
-    return int(ip) + (0xFFFF << 32 if ip.version == 4 else 0)
-
-
-def test_numbers_keep_the_order_of_addresses(spark):
-    known = texts()
-    df = spark.createDataFrame([(t,) for t in known + BAD], "ip string")
-    rows = {r["ip"]: (r["x_high"], r["x_low"]) for r in with_numbers(df, {"x": F.col("ip")}).collect()}
-    assert all(rows[t] == (None, None) for t in BAD)
-    assert all(((rows[t][0] + (1 << 63)) << 64) + rows[t][1] + (1 << 63) == number(t) for t in known)
-
-
 def test_private_addresses(spark):
     nets = [[ipaddress.ip_network(n) for n in names] for names in ((*PRIVATE_V4, *PRIVATE_V6), (*PUBLIC_HOLES_V4, *PUBLIC_HOLES_V6))]
 
@@ -50,19 +37,6 @@ def test_private_addresses(spark):
         inside, hole = (any(ip.version == n.version and ip in n for n in names) for names in nets)
         return inside and not hole
 
-    df = spark.createDataFrame([(t, BAD[-1]) for t in texts()] + [(t, "8.8.8.8") for t in BAD], "ip string, other string")
-    made = with_private(df, {"own": F.col("ip"), "is other": F.col("other")})
-    assert made.columns == ["ip", "other", "own", "is other"]
-    for r in made.collect():
+    df = spark.createDataFrame([(t,) for t in texts() + BAD], "ip string")
+    for r in df.withColumn("own", is_private_ip(F.col("ip"))).collect():
         assert r["own"] == (None if r["ip"] in BAD else private(r["ip"])), r["ip"]
-        assert r["is other"] is (False if r["other"] == "8.8.8.8" else None)
-
-
-def test_sets_of_networks(spark):
-    chosen = AddressSet.of(["10.0.0.0/8", "10.1.0.0/16", "11.0.0.0/8", "0.0.0.0/5", "ff00::/8", "::/96"], ["10.2.0.0/16", "11.255.255.255/32"])
-    assert all(a <= b for a, b in chosen.ranges) and all(x[1] + 1 < y[0] for x, y in zip(chosen.ranges, chosen.ranges[1:]))
-    df = spark.createDataFrame([(t,) for t in ["10.1.2.3", "10.2.0.0", "10.1.255.255", "11.255.255.254", "11.255.255.255", "12.0.0.0", "7.255.255.255", "8.0.0.0",
-                                               "ff00::", "feff::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "::1.2.3.4", "x"]], "ip string")
-    rows = with_numbers(df, {"x": F.col("ip")}).select("ip", chosen.holds(F.col("x_high"), F.col("x_low")).alias("in")).collect()
-    assert [r["in"] for r in rows] == [True, False, True, True, False, False, True, False, True, False, True, True, None]
-    assert AddressSet.of([]).ranges == () and len(PRIVATE.ranges) < 40

@@ -67,17 +67,6 @@ def test_the_summary_scans_the_table_once(spark, small_dir, tmp_path):
     assert plan_of(summary.generate_summary(parquet.load_landed(spark, path))).count(path) == 1
 
 
-def test_address_filters_stay_in_generated_code(spark, small_dir, tmp_path):
-    from wirelake.operators import ip
-
-    path = str(tmp_path / "packets")
-    parquet.save_packets(packets_from_folder(spark, small_dir), path)
-    plan = ip.get_border_traffic(parquet.load_landed(spark, path))._jdf.queryExecution().executedPlan().treeString()
-    nodes = [x.lstrip(" +-:") for x in plan.splitlines()]
-    assert sum(x.startswith(("*(1) Filter", "*(1) Generate")) for x in nodes) > 3
-    assert not [x for x in nodes if x.startswith(("Filter", "Generate", "Project"))] and "transform(" not in plan
-
-
 def test_a_host_is_found_in_few_row_groups(spark, tmp_path):
     from wirelake.operators.filters import find_ip_information
 
