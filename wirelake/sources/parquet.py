@@ -97,10 +97,12 @@ def save_clustered(df: DataFrame, path: str, compression: str = "snappy", group_
 
     Inside a day, packets are range-partitioned and sorted along a Z-curve over both hosts (and then by time, which splits
     a busy pair), in row groups of `group_bytes`. A host's packets lie in about a square root of all cells, and the
-    dictionaries and bloom filters of the address columns let a scan pass over the other row groups.
+    dictionaries and bloom filters of the address columns let a scan pass over the other row groups. All four address
+    columns are written, null where `df` lacks them: a test of either address reaches the files only if they have both.
     """
     one_of("compression", compression, CODECS)
     df = land_columns(df)
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ADDRESSES if c not in df.columns})
     keys = [c for c in ("event_date",) if c in df.columns] + ["_place"] + [c for c in ("timestamp",) if c in df.columns]
     ordered = df.withColumn("_place", _place(df)).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
     writer = ordered.write.mode("overwrite").option("compression", compression).option("parquet.block.size", group_bytes)
