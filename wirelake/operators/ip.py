@@ -22,8 +22,13 @@ def pair_totals(packets: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), zero_if_null(F.sum(length_column(packets))).alias("b"))
 
 
-def _host_totals(pairs: DataFrame) -> DataFrame:
+def _host_totals(packets: DataFrame) -> DataFrame:
     """Sent and received packets, bytes and distinct peers per address."""
+    return _totals_of(pair_totals(packets))
+
+
+def _totals_of(pairs: DataFrame) -> DataFrame:
+    """`_host_totals` of `pair_totals`."""
     zero = F.lit(0).cast("bigint")
     sent = F.struct(F.col("src").alias("ip_address"), F.col("dst").alias("to"), F.lit(None).cast("string").alias("from"),
                     F.col("n").alias("ps"), F.col("b").alias("bs"), zero.alias("pr"), zero.alias("br"))
@@ -40,7 +45,7 @@ def _host_totals(pairs: DataFrame) -> DataFrame:
 
 def _traffic(pairs: DataFrame) -> DataFrame:
     columns = ["ip_address", "packets_sent", "bytes_sent", "packets_received", "bytes_received"]
-    return _host_totals(pairs).select(
+    return _totals_of(pairs).select(
         *columns, (F.col("packets_sent") + F.col("packets_received")).alias("total_packets"),
         (F.col("bytes_sent") + F.col("bytes_received")).alias("total_bytes"))
 
@@ -60,7 +65,7 @@ def most_active(pairs: DataFrame, n: int, by: str) -> DataFrame:
 def get_sender_only_ips(packets: DataFrame) -> DataFrame:
     """Addresses that send and never receive."""
     return (
-        _host_totals(pair_totals(packets)).where(F.col("packets_received") == 0)
+        _host_totals(packets).where(F.col("packets_received") == 0)
         .select("ip_address", "packets_sent", "bytes_sent", "unique_destinations")
         .orderBy(F.desc("packets_sent"), "ip_address")
     )
@@ -69,7 +74,7 @@ def get_sender_only_ips(packets: DataFrame) -> DataFrame:
 def get_receiver_only_ips(packets: DataFrame) -> DataFrame:
     """Addresses that receive and never send."""
     return (
-        _host_totals(pair_totals(packets)).where(F.col("packets_sent") == 0)
+        _host_totals(packets).where(F.col("packets_sent") == 0)
         .select("ip_address", "packets_received", "bytes_received", "unique_sources")
         .orderBy(F.desc("packets_received"), "ip_address")
     )
