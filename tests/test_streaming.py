@@ -148,6 +148,18 @@ def test_one_attack_is_one_alert(spark, tmp_path):
                     (4, "i", "repeated")]
 
 
+def test_detections_of_a_micro_batch_are_made_once(spark, tmp_path):
+    def seen(batches):
+        (tmp_path / f"made-{time.time_ns()}-{os.getpid()}").touch()
+        yield from batches
+
+    rows = [detection(t, h) for t in range(0, 3000, 300) for h in "hi"]
+    made = spark.createDataFrame(rows, DETECTION).coalesce(1).mapInArrow(seen, DETECTION)
+    alerts.store(made, 0, f"{tmp_path}/feed", "10m")
+    assert len(list(tmp_path.glob("made-*"))) == 1
+    assert sorted((r.host, r.detections) for r in alerts.alerts(spark, f"{tmp_path}/feed").collect()) == [("h", 10), ("i", 10)]
+
+
 def test_a_killed_feed_goes_on(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     scan = [tcp_row(60 * w + i, dport=i) for w in range(3) for i in range(30)]

@@ -6,12 +6,14 @@ the detector has found something more than `gap` after its last.
 
 The sink is `foreachBatch` and idempotent by batch number: micro-batch n writes the folder `batch=n` with every alert
 that it opened, repeated or closed or that stays open, made of its detections and the open alerts of `batch=n-1`. A
-micro-batch that was killed writes the same folder again. Detectors report closed windows in order of time, so an
-alert does not depend on how packets fall into micro-batches.
+micro-batch that was killed writes the same folder again. Its detections are made once and held on disk while they are
+folded: to make them again would run the detector's state a second time, beside the first. Detectors report closed
+windows in order of time, so an alert does not depend on how packets fall into micro-batches.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -92,7 +94,12 @@ def store(batch: DataFrame, number: int, folder: str, gap: str = "10m") -> None:
     spark = batch.sparkSession
     reader = spark.read.schema(SCHEMA)
     before = reader.parquet(f"{folder}/batch={number - 1}") if number else spark.createDataFrame([], SCHEMA)
-    folded(before, batch, window_micros(gap)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    held = batch.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()  # all of it, before folding reads it in two places at a time
+        folded(before, held, window_micros(gap)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    finally:
+        held.unpersist()
 
 
 def write_feed(detections: DataFrame, folder: str, checkpoint: str, gap: str = "10m", every: str | None = None) -> StreamingQuery:
