@@ -7,6 +7,7 @@ import time
 import pyarrow.parquet as pq
 
 from tests.conftest import at
+from wirelake.catalog import streams
 from wirelake.operators import arp, flow
 from wirelake.streaming import alerts, detectors, ingest, late, stateful
 from wirelake.streaming.core import run_available, run_to_end, state_session, with_event_time, with_last_packets, write_parquet
@@ -78,6 +79,29 @@ def test_arp_changes_in_any_order_of_files(spark, tmp_path):
         assert arp_changes(spark, tmp_path / f"in{i}", [rows[k::5] for k in range(5)], delay="1h") == want
 
 
+def test_events_are_read_once_for_files_out_of_order(spark, small_dir, tmp_path, monkeypatch):
+    packets = streams.packets_from_folder(spark, small_dir).select("timestamp", "ARP_sender_ip", "raw_size").coalesce(1)
+
+    def seen(batches):
+        (tmp_path / f"read-{time.time_ns()}-{os.getpid()}").touch()
+        yield from batches
+
+    monkeypatch.setattr(streams, "packets_from_folder", lambda *_: packets.mapInArrow(seen, packets.schema))
+    stream = streams.shuffled_stream(spark, small_dir)
+    assert len(list(tmp_path.glob("read-*"))) == 1
+    kept = stream.selectExpr("timestamp", "raw_size", "element_at(split(_metadata.file_path, '/'), -1) AS file",
+                             "_metadata.file_modification_time AS written")
+    rows = run_available(kept, "t").collect()
+    want = packets.where("ARP_sender_ip is not null").select("timestamp", "raw_size").collect()
+    assert sorted((r.timestamp, r.raw_size) for r in rows) == sorted(map(tuple, want))
+    by_file = {}
+    for r in rows:
+        by_file.setdefault((r.written, r.file), []).append(r.timestamp)
+    files = [by_file[f] for f in sorted(by_file)]
+    assert len(files) > 5 and any(max(a) > min(b) for a, b in zip(files, files[1:]))  # out of order
+    assert all((max(a) - min(b)).days < 2 for i, a in enumerate(files) for b in files[i + 1:])
+
+
 def test_silent_addresses_are_forgotten(spark, tmp_path):
     rows = [arp_row(0, "a"), arp_row(60, "b"), arp_row(4000, "a"), arp_row(4010, "b"), arp_row(0, "x", "2.2.2.2"), arp_row(9000, "y", "3.3.3.3")]
     for i, batches in enumerate(([rows], [[r] for r in sorted(rows, key=lambda r: r[0])])):

@@ -68,10 +68,12 @@ def shuffled_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = packets_from_folder(spark, folder).where("ARP_sender_ip is not null").withColumn(
         "file", F.floor((F.unix_micros(F.col("timestamp").cast("timestamp")) + F.pmod(F.xxhash64("timestamp", "raw_size"), F.lit(172_800_000_000)))
                         / F.lit(345_600_000_000)))
-    first, last = rows.agg(F.min("file"), F.max("file")).head()
-    for file in range(first, last + 1) if first is not None else ():
-        rows.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # Events are read once; then the packets of each file, one after the other, as a stream takes files by their time.
+    rows.where("file is not null").repartition("file").write.partitionBy("file").parquet(f"{path}/dealt")
+    dealt = spark.read.schema(rows.schema).parquet(f"{path}/dealt")
+    for file in sorted(r.file for r in dealt.select("file").distinct().collect()):
+        dealt.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/files")
+    return spark.readStream.schema(rows.drop("file").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/files")
 
 
 def _live_alerts(p: DataFrame) -> dict[str, DataFrame]:
