@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from tests.llm import brute
 from wirelake.llm import similar
 
@@ -153,3 +154,35 @@ def test_classes_of_simhash_are_candidates(spark):
     wanted = spark.createDataFrame([(i,) for i in range(5)], "name long")
     got = {tuple(r) for r in similar.simhash_buckets(texts, wanted).select("bucket", "name").collect()}
     assert got == {(1, 0), (1, 1), (1, 2), (far, 3), (far, 4)}
+
+
+def test_classes_of_operator_3_and_similar_sets_make_one_group(spark):
+    """The stage of the pipeline against brute force over both kinds of links, chains of both among them."""
+    rnd = random.Random(11)
+    rows, base = [], [f"w{rnd.random()}" for _ in range(200)]
+    fresh = lambda n: [f"w{rnd.random()}" for _ in range(n)]
+    texts = [" ".join(_edited(rnd, base, rnd.randint(2, 6))) for _ in range(40)] + [" ".join(fresh(50)) for _ in range(10)]
+    # Fingerprints count repeats, sets of shingles don't.
+    texts += [" ".join(base[:20] * 6 + fresh(rnd.randint(5, 12))) for _ in range(30)]
+    texts += [texts[i] + f" {rnd.random()}" for i in range(0, 80, 7)] + [None, "", texts[3], texts[3].upper()]
+    rows = [(None if i == 5 else i // 2 * 2, x) for i, x in enumerate(texts)] + [(6, texts[6])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = list(dict.fromkeys(rows))
+    parent = list(range(len(order)))
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    prints = [brute.fingerprint(t, 3) for _, t in order]
+    only = 0
+    for i in range(len(order)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 2
+            alike = _jaccard(order[i][1] or "", order[j][1] or "") >= 0.8
+            only += near and not alike
+            if near or alike:
+                parent[root(i)] = root(j)
+    assert only > 3
+    first = {}
+    for i, (k, _) in enumerate(order):
+        k = -1 if k is None else k
+        first[root(i)] = min(first.get(root(i), k), k)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept) == sorted(first.values())

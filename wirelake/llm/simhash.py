@@ -245,6 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.coalesce("upper", "low").alias("root")), "roots")
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, simhash, check) of all documents, as a table; check is a hash of id and text."""
+    return written(with_fingerprints(docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
+                                     .withColumn("check", F.xxhash64("id", "text")), "text", shingle).select("id", "simhash", "check"), "prints")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(members, classes): `docs` with simhash and component_id, and (simhash, component_id) by distinct fingerprint.
@@ -255,8 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty one.
     """
     keep = without(docs, ["simhash", "component_id"])
-    printed = written(with_fingerprints(docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-                                        .withColumn("check", F.xxhash64("id", "text")), "text", shingle).select("id", "simhash", "check"), "prints")
+    printed = _prints(docs, id_col, text_col, shingle)
     classes = class_ids(printed, radius)
     if [x.lower() for x in keep] == [id_col.lower()]:
         return printed.join(classes, "simhash").select(F.col("id").alias(id_col), "simhash", "component_id"), classes
@@ -268,6 +273,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(keep)], "simhash", "component_id"), classes
 
 
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """(id, check, class) of all documents, rows equal in id and text once: those that `near_duplicates` gives one
+    component_id have one class, which is its smallest fingerprint and so never null."""
+    printed = _prints(docs, id_col, text_col, shingle)
+    of = class_ids(printed.select(F.col("simhash").alias("id"), "simhash"), radius)
+    return printed.join(of, "simhash").select("id", "check", F.col("component_id").alias("class")).distinct()
+
+
 def class_ids(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(simhash, component_id) from (id, simhash)."""
     distinct = written(printed.groupBy("simhash").agg(F.min("id").alias("first_id")), "distinct")
@@ -280,8 +293,7 @@ def class_ids(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row of each group of near duplicates: that with the smallest id (of equal ids, the first by text)."""
-    printed = written(with_fingerprints(docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
-                                        .withColumn("check", F.xxhash64("id", "text")), "text", shingle).select("id", "simhash", "check"), "prints")
+    printed = _prints(docs, id_col, text_col, shingle)
     classes = class_ids(printed, radius)
     marked = printed.join(classes, "simhash")
     chosen = marked.groupBy(F.coalesce("component_id", "simhash").alias("group"), F.col("component_id").isNull().alias("none")) \
